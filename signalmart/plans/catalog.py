@@ -184,7 +184,7 @@ def relevance_score(spark, sf_dir):
 @query
 def article_project(spark, sf_dir):
     a = _linked_articles(_fx(spark, sf_dir))
-    return monthly.article_project(a).select(
+    return monthly.article_project(a, RUN_DATE).select(
         "article_id", "source", "title", "link", "score", "source_region", "summary", "date",
         F.col("ai_insights.overall_6g_importance").alias("importance"),
         F.col("ai_insights.impact_score").alias("impact_score"),

@@ -33,6 +33,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, app: s
     builder = (
         builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.files.maxPartitionBytes", str(64 * 1024 * 1024))
     )
