@@ -216,3 +216,43 @@ def json_list_or_items(results: DataFrame, keep_plain: bool = False) -> DataFram
         items = items.otherwise(F.array(F.col("text")))
     out = r.select("call_id", "ord", F.posexplode(items).alias("pos", "item"))
     return out
+
+
+def standards_bundle(totals: DataFrame, meetings: DataFrame, as_of: str, data_source: str = "live") -> DataFrame:
+    """One standardization record: release progress (totals + per-group map) and the meeting list.
+
+    ``totals`` comes from ``work_item_rollup`` (one total row + one row per
+    group) and ``meetings`` is the recent list (top-k per group), so both
+    collected parts are bounded; they are combined by a union and one global
+    aggregate (no join).
+    """
+    grp = totals.where(F.col("level") == "group").select(
+        F.struct(
+            F.coalesce(F.col("working_group"), F.lit("")).alias("key"),
+            F.struct("total", "completed", "in_progress", "postponed", "progress").alias("value"),
+        ).alias("g")
+    )
+    tot = totals.where(F.col("level") == "total").select(
+        F.struct(
+            F.col("total").alias("total_work_items"), "completed", "in_progress", "postponed",
+            F.col("progress").alias("progress_percentage"),
+        ).alias("t")
+    )
+    mt = meetings.select(F.struct(*[F.col(c) for c in meetings.columns]).alias("m"))
+    u = grp.unionByName(tot, allowMissingColumns=True).unionByName(mt, allowMissingColumns=True)
+    agg = u.agg(
+        F.max("t").alias("t"),
+        F.map_from_entries(F.collect_list("g")).alias("by_group"),
+        F.collect_list("m").alias("recent_meetings"),
+    )
+    progress = F.struct(
+        F.coalesce(F.col("t.total_work_items"), F.lit(0)).cast("long").alias("total_work_items"),
+        F.coalesce(F.col("t.completed"), F.lit(0)).cast("long").alias("completed"),
+        F.coalesce(F.col("t.in_progress"), F.lit(0)).cast("long").alias("in_progress"),
+        F.coalesce(F.col("t.postponed"), F.lit(0)).cast("long").alias("postponed"),
+        F.coalesce(F.col("t.progress_percentage"), F.lit(0.0)).alias("progress_percentage"),
+        F.lit(as_of).alias("last_updated"),
+        F.lit(data_source).alias("data_source"),
+        F.col("by_group").alias("work_items_by_group"),
+    )
+    return agg.select(progress.alias("release_21_progress"), "recent_meetings")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import dims
+from .. import dims, schemas
 from ..functions import text, urls
 
 AS_OF = "2024-06-30"
@@ -120,6 +120,7 @@ def profile_struct(title: Column) -> Column:
         F.map_from_arrays(F.array(*[F.lit(t) for t in TARGETS]), F.array(*target_scores())).alias("world_power_impact"),
         terms.alias("emerging_concepts"),
         terms.alias("key_evidence"),
+        F.lit(None).cast(schemas.STD_CONTEXT).alias("standardization_context"),
     )
 
 

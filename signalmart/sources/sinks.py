@@ -83,3 +83,9 @@ def sink_discovered(found: DataFrame, path: str) -> str:
     """Append newly discovered sources (already anti-joined with the known ones)."""
     found.write.mode("append").parquet(path)
     return path
+
+
+def append_rows(df: DataFrame, path: str) -> str:
+    """Append to a versioned table by writing a new version holding old + new rows."""
+    prev = state.read_latest(df.sparkSession, path, df.schema)
+    return write_versioned(prev.unionByName(df), path)

@@ -62,19 +62,19 @@ scan_table = read_latest
 
 
 def scan_digest(spark: SparkSession, path: str) -> DataFrame:
-    """One-document digest JSON -> one-row DataFrame; missing or corrupt -> empty digest row."""
-    blank = spark.createDataFrame([("", [], None)], DIGEST_SCHEMA)
+    """One-document digest JSON -> one row per file; missing or corrupt -> the empty digest row.
+
+    Each file is read whole and parsed with the fixed schema (``from_json`` is
+    permissive: malformed text gives null, which becomes the empty digest).
+    """
     if not _exists(spark, path):
-        return blank
-    df = (
-        spark.read.schema(T.StructType(DIGEST_SCHEMA.fields + [T.StructField("_corrupt", T.StringType())]))
-        .option("multiLine", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt")
-        .json(path)
+        return spark.createDataFrame([("", [], None)], DIGEST_SCHEMA)
+    d = spark.read.text(path, wholetext=True).select(F.from_json("value", DIGEST_SCHEMA).alias("d"))
+    return d.select(
+        F.coalesce(F.col("d.date"), F.lit("")).alias("date"),
+        F.coalesce(F.col("d.articles"), F.array().cast(DIGEST_SCHEMA["articles"].dataType)).alias("articles"),
+        F.col("d.standardization").alias("standardization"),
     )
-    good = df.where(F.col("_corrupt").isNull()).drop("_corrupt")
-    return good.unionByName(blank.join(good.limit(1).select(F.lit(1).alias("_x")), F.lit(True), "left_anti"))
 
 
 def digest_articles(digest: DataFrame) -> DataFrame:
@@ -86,7 +86,7 @@ def scan_seen(spark: SparkSession, path: str) -> DataFrame:
     """Map-shaped seen file ``{md5: {url, title, processed_date}}`` -> rows; error -> empty."""
     if not _exists(spark, path):
         return empty(spark, SEEN_SCHEMA)
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     m = F.from_json("value", "map<string,struct<url:string,title:string,processed_date:string>>")
     rows = raw.select(F.explode(m).alias("article_id", "meta"))
     return rows.select("article_id", "meta.url", "meta.title", "meta.processed_date")
@@ -96,7 +96,7 @@ def scan_matrix_json(spark: SparkSession, path: str) -> DataFrame:
     """Nested matrix JSON ``{src: {tgt: w}}`` -> long (source, target, weight); wrong type -> empty."""
     if not _exists(spark, path):
         return empty(spark, MATRIX_SCHEMA)
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     m = F.from_json("value", "map<string,map<string,double>>")
     a = raw.select(F.explode(m).alias("source", "row"))
     return a.select("source", F.explode("row").alias("target", "weight"))
@@ -106,6 +106,6 @@ def scan_momentum_json(spark: SparkSession, path: str) -> DataFrame:
     """List-of-objects momentum JSON -> rows; a top-level non-list -> empty."""
     if not _exists(spark, path):
         return empty(spark, MOMENTUM_SCHEMA)
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     arr = F.from_json("value", T.ArrayType(MOMENTUM_SCHEMA))
     return raw.select(F.explode(arr).alias("m")).select("m.*")
