@@ -36,10 +36,13 @@ def py_round(x, digits: int) -> Column:
     return F.rint(_c(x) * F.lit(scale)) / F.lit(scale)
 
 
-def clamp(x, lo: int = 0, hi: int = 10):
-    """Integer clamp; plain ints are clamped on the driver (they are parameters)."""
-    if isinstance(x, (int, float)):
-        return max(lo, min(hi, int(x)))
+def clamp(x, lo: int = 0, hi: int = 10) -> int:
+    """Clamp a query parameter (``int(x)`` first, as the query API does) into lo..hi."""
+    return max(lo, min(hi, int(x)))
+
+
+def clamp_col(x, lo: int = 0, hi: int = 10) -> Column:
+    """Clamp a column of numbers into lo..hi as integers."""
     return F.greatest(F.lit(lo), F.least(F.lit(hi), _c(x).cast("int")))
 
 
