@@ -19,6 +19,17 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and pass it to ``body`` (a lambda variable).
+
+    Written as ``transform`` over a one-element array.  Expressions that test
+    one big derived value many times (lower-cased documents) use it so the
+    value is not recomputed per test, also inside filters, which get no
+    common-subexpression elimination.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 # ---------------------------------------------------------------------------
 # numbers
 # ---------------------------------------------------------------------------

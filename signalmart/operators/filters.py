@@ -111,11 +111,11 @@ def content_kind(name) -> Column:
 
 def fetch_is_html(content) -> Column:
     """Body is a bot-wall or an HTML page where a feed was expected."""
-    low = F.lower(F.coalesce(_c(content), F.lit("")))
-    return (
-        low.contains("incapsula")
+    return scalars.let(
+        F.lower(F.coalesce(_c(content), F.lit(""))),
+        lambda low: low.contains("incapsula")
         | low.contains("cloudflare")
-        | (low.contains("<html") & ~F.substring(low, 1, 100).contains("<?xml"))
+        | (low.contains("<html") & ~F.substring(low, 1, 100).contains("<?xml")),
     )
 
 

@@ -29,7 +29,6 @@ def parse_meeting_reports(reports: DataFrame, content: str = "content", content_
     """
     kind = F.col(content_type) if content_type else F.lit("text")
     t = reports.withColumn("_text", text.text_of(F.col(content), kind))
-    pos, neu, neg = text.sentiment_counts(F.col("_text"))
     return t.select(
         F.col("meeting_id").cast("string").alias("meeting_id"),
         "working_group",

@@ -289,8 +289,11 @@ def extract_tdocs(spark, sf_dir):
 @query
 def sentiment(spark, sf_dir):
     r = _fx(spark, sf_dir).reports
-    pos, neu, neg = text.sentiment_counts(F.col("content"))
-    return r.select("meeting_id", text.sentiment("content").alias("sentiment"), pos.alias("n_pos"), neu.alias("n_neu"), neg.alias("n_neg"))
+    c = r.select("meeting_id", text.sentiment_counts("content").alias("c"))
+    return c.select(
+        "meeting_id", text.sentiment_of_counts(F.col("c")).alias("sentiment"),
+        F.col("c.pos").alias("n_pos"), F.col("c.neu").alias("n_neu"), F.col("c.neg").alias("n_neg"),
+    )
 
 
 def _meetings(fx: Fixtures) -> DataFrame:
