@@ -57,9 +57,14 @@ def clamp_col(x, lo: int = 0, hi: int = 10) -> Column:
     return F.greatest(F.lit(lo), F.least(F.lit(hi), _c(x).cast("int")))
 
 
+# Characters Python's ``str.strip()`` removes: every code point with isspace(),
+# derived from Python's own rule rather than listed by hand.
+PY_WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
+
+
 def py_strip(x) -> Column:
-    """Python ``str.strip()`` (Spark ``trim`` only removes spaces)."""
-    return F.regexp_replace(_c(x), r"^\s+|\s+$", "")
+    """Python ``str.strip()``: trims all Unicode whitespace (Spark ``trim`` only removes spaces)."""
+    return F.btrim(_c(x), F.lit(PY_WHITESPACE))
 
 
 def clean_topic(topic: str, max_len: int = dims.MAX_TOPIC_LENGTH) -> str:
@@ -119,11 +124,14 @@ def region_flag(region) -> Column:
 
 
 def mean_numeric_map(m) -> Column:
-    """Mean of the non-null values of a numeric map, 0 when there are none."""
-    vals = F.filter(F.map_values(_c(m)), lambda v: v.isNotNull())
-    total = F.aggregate(vals, F.lit(0.0), lambda acc, v: acc + v.cast("double"))
-    n = F.size(vals)
-    return F.when(F.coalesce(n, F.lit(0)) > 0, total / n).otherwise(F.lit(0.0))
+    """Mean of the non-null values of a numeric map, 0 when there are none (values filtered once)."""
+
+    def mean(vals: Column) -> Column:
+        n = F.size(vals)
+        total = F.aggregate(vals, F.lit(0.0), lambda acc, v: acc + v.cast("double"))
+        return F.when(F.coalesce(n, F.lit(0)) > 0, total / n).otherwise(F.lit(0.0))
+
+    return let(F.filter(F.map_values(_c(m)), lambda v: v.isNotNull()), mean)
 
 
 def with_impact_score(ai) -> Column:

@@ -22,14 +22,18 @@ from . import filters
 # ---------------------------------------------------------------------------
 
 
+EXACT_SCALE = 1e6
+
+
 def exact_sum(x) -> Column:
-    """Order-independent sum: each term is fixed to 6 decimals and summed exactly.
+    """Order-independent sum: each term is fixed to 6 decimals (half-even) and summed as a long.
 
     Double sums depend on the order partitions are combined in, so the same data
-    on a different cluster layout could round a mean the other way; a decimal
-    sum does not.
+    on a different cluster layout could round a mean the other way; an integer
+    sum does not.  Long sums stay in codegen (a DECIMAL(28,6) buffer would fall
+    back to BigDecimal arithmetic per row).
     """
-    return F.sum(_c(x).cast("decimal(18,6)")).cast("double")
+    return F.sum(F.rint(_c(x) * F.lit(EXACT_SCALE)).cast("long")).cast("double") / F.lit(EXACT_SCALE)
 
 
 def weighted_mean(value, weight, digits: int = 2) -> Column:

@@ -6,9 +6,9 @@ fixture views of ``sources/fixtures.py`` are restated here as SQL CTEs
 vocabularies (keywords, aliases, flags) are expanded from ``dims`` into CASE
 expressions so both sides use the same fixed values.
 
-Numeric conventions shared with the Spark side: ``ESUM`` sums each term as
-DECIMAL(18,6) (order-independent), ``PYROUND`` is round-half-even on the scaled
-double (Python ``round``).
+Numeric conventions shared with the Spark side: ``esum`` sums each term fixed
+to 6 decimals as an integer (order-independent), ``pyround`` is round-half-even
+on the scaled double (Python ``round``).
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ REGIONS_VALUES = (
 AUTH_RX = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)"
 SCHEME_RX = r"^([A-Za-z][A-Za-z0-9+.-]*):"
 HREF_RX = r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"']*)["']""".replace("'", "''")
-STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+PY_WS = "(" + " || ".join(f"chr({ord(ch)})" for ch in map(chr, range(0x3001)) if ch.isspace()) + ")"
 
 
 def q(s: str) -> str:
@@ -30,11 +30,13 @@ def q(s: str) -> str:
 
 
 def strip(x: str) -> str:
-    return STRIP.format(x=x)
+    """Python str.strip(): trim every whitespace code point."""
+    return f"trim({x}, {PY_WS})"
 
 
 def esum(x: str) -> str:
-    return f"CAST(sum(CAST({x} AS DECIMAL(18,6))) AS DOUBLE)"
+    """Order-independent sum: terms fixed to 6 decimals half-even, summed as integers."""
+    return f"(CAST(sum(CAST(round_even(CAST({x} AS DOUBLE) * 1000000.0, 0) AS BIGINT)) AS DOUBLE) / 1000000.0)"
 
 
 def pyround(x: str, d: int) -> str:
