@@ -118,7 +118,13 @@ def matrix_densify(matrix: DataFrame, regions=dims.CANONICAL_REGIONS, value: str
     rows: broadcasting it is bounded by the region list, not by the data.
     """
     grid = region_grid(matrix.sparkSession, regions)
-    m = F.broadcast(matrix.select("source", "target", value))
+    # at most one row per region pair goes to the broadcast side: its size is
+    # bounded by len(regions)^2 whatever the input holds
+    m = F.broadcast(
+        matrix.where(F.col("source").isin(list(regions)) & F.col("target").isin(list(regions)))
+        .groupBy("source", "target")
+        .agg(F.sum(value).alias(value))
+    )
     return grid.join(m, ["source", "target"], "left").select(
         "source", "target", F.coalesce(F.col(value), F.lit(0.0)).alias(value)
     )

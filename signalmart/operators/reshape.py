@@ -22,7 +22,8 @@ def pivot_momentum(momentum_rows: DataFrame, quarters: list[str], regions=dims.C
     ``quarters`` is passed explicitly so that the pivot does not run a job to
     discover them; the grid has len(regions) rows.
     """
-    piv = momentum_rows.groupBy("region").pivot("time_window", quarters).agg(F.first(value))
+    rows = momentum_rows.where(F.col("region").isin(list(regions)))
+    piv = rows.groupBy("region").pivot("time_window", quarters).agg(F.first(value))
     return regions_table(momentum_rows.sparkSession, regions).select("region", "region_ord").join(F.broadcast(piv), "region", "left")
 
 
@@ -33,7 +34,8 @@ def grid_long(pivoted: DataFrame, quarters: list[str], value: str = "momentum_sc
 
 def pivot_matrix(matrix: DataFrame, regions=dims.CANONICAL_REGIONS) -> DataFrame:
     """6 x 6 table: one row per source, one column per target, absent 0, rounded half up."""
-    piv = matrix.groupBy("source").pivot("target", list(regions)).agg(F.first("weight"))
+    rows = matrix.where(F.col("source").isin(list(regions)))
+    piv = rows.groupBy("source").pivot("target", list(regions)).agg(F.first("weight"))
     src = regions_table(matrix.sparkSession, regions).select(F.col("region").alias("source"), "region_ord")
     out = src.join(F.broadcast(piv), "source", "left")
     return out.select(

@@ -217,14 +217,18 @@ def json_list_or_items(results: DataFrame, keep_plain: bool = False) -> DataFram
     return out
 
 
-def standards_bundle(totals: DataFrame, meetings: DataFrame, as_of: str, data_source: str = "live") -> DataFrame:
-    """One standardization record: release progress (totals + per-group map) and the meeting list.
+def standards_bundle(totals: DataFrame, meetings: DataFrame, as_of: str, data_source: str = "live", per_group: int = 3) -> DataFrame:
+    """One standardization record: release progress (totals + per-group map) and the recent meetings.
 
     ``totals`` comes from ``work_item_rollup`` (one total row + one row per
-    group) and ``meetings`` is the recent list (top-k per group), so both
-    collected parts are bounded; they are combined by a union and one global
-    aggregate (no join).
+    group); the meeting list is the newest ``per_group`` meetings of each
+    working group (the tracked pipeline's per-group limit), so both collected
+    parts are bounded by the number of groups.  They are combined by a union
+    and one global aggregate (no join).
     """
+    from .topk import top_k_per_group
+
+    meetings = top_k_per_group(meetings, ["working_group"], [F.desc("date"), F.desc("meeting_id")], per_group, salt_cols=["meeting_id"]).drop("rank")
     grp = totals.where(F.col("level") == "group").select(
         F.struct(
             F.coalesce(F.col("working_group"), F.lit("")).alias("key"),

@@ -19,9 +19,13 @@ BASE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Broadcast joins are only ever requested explicitly, for tables whose size
-    # is bounded (dimension tables); everything else is planned from stats.
-    "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    # No broadcast from planner estimates (they can be far off after filters):
+    # explicit hints are used only for tables bounded by construction
+    # (dimension tables, region-keyed aggregates); any other join side is
+    # broadcast only by AQE, after its shuffle stage has run and its real
+    # size is known to be under the adaptive threshold.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
 }
 
 

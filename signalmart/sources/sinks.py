@@ -41,19 +41,21 @@ def write_digest(articles: DataFrame, path: str, run_date: str, partition: str =
     return path
 
 
-def digest_json(articles: DataFrame, run_date: str, standardization: DataFrame | None = None) -> DataFrame:
-    """One-document digest JSON string (small runs / the dashboard): ``{date, articles[, standardization]}``.
+def write_digest_json(articles: DataFrame, path: str, run_date: str, partition: str = "run_date") -> str:
+    """Digest as JSON lines (one article per line) partitioned by run date.
 
-    The ``standardization`` key is only written when a record is given.
+    The dashboard's single-document file is a presentation format; written
+    as one document it would pass every article through one task, so the
+    job writes JSON lines from every task instead.
     """
-    arts = articles.agg(F.collect_list(F.struct(*articles.columns)).alias("articles"))
-    doc = arts.select(F.lit(run_date).alias("date"), "articles")
-    if standardization is not None:
-        std = standardization.limit(1).select(F.struct(*standardization.columns).alias("standardization"))
-        doc = doc.unionByName(std, allowMissingColumns=True).agg(
-            F.max("date").alias("date"), F.max("articles").alias("articles"), F.max("standardization").alias("standardization")
-        )
-    return doc.select(F.to_json(F.struct(*doc.columns)).alias("value"))
+    (
+        articles.withColumn(partition, F.lit(run_date))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(partition)
+        .json(path)
+    )
+    return path
 
 
 def digest_resource(spark, path: str) -> DataFrame:
