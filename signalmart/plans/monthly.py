@@ -188,6 +188,7 @@ def run_monthly(spark, entries: DataFrame, responses: DataFrame, paths: RunPaths
         out["matrix_snapshots"] = sinks.append_snapshot(mtx.withColumn("date", F.lit(run_date)), paths.matrix_snapshots)
     else:
         out["digest"] = sinks.write_digest(state.read_latest(spark, paths.recent, state.ARTICLE_SCHEMA), paths.digest, run_date)
-    cache_add = new.select("article_id", F.col("link").alias("url"), "title", F.lit(run_date).alias("processed_date"))
+    # from the checkpointed articles: the accepted set is not recomputed
+    cache_add = arts.select("article_id", F.col("link").alias("url"), "title", F.lit(run_date).alias("processed_date"))
     out["seen"] = sinks.write_versioned(joins.upsert(seen.select(*cache_add.columns), cache_add, ["article_id"]), paths.seen)
     return out
