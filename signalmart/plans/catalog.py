@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions import scalars, text, urls
-from ..operators import aggs, filters, joins, reshape, standards, topk
+from ..operators import aggs, enrich, filters, joins, reshape, standards, topk
 from ..sources import pages as pages_src
 from ..sources.fixtures import AS_OF, RUN_DATE, Fixtures
 from . import api, monthly
@@ -716,3 +716,108 @@ def influence_star(spark, sf_dir):
     fx = _fx(spark, sf_dir)
     arts, regions = monthly.star_articles(fx)
     return aggs.influence_matrix(arts, regions=regions, normalize=False)
+
+
+# ---------------------------------------------------------------------------
+# listing, file, fetch-log and model-text operators (views of fixtures.py)
+# ---------------------------------------------------------------------------
+
+
+@query
+def extract_location(spark, sf_dir):
+    return _fx(spark, sf_dir).reports.select("meeting_id", text.extract_location("content").alias("location"))
+
+
+@query
+def filter_meeting_dirs(spark, sf_dir):
+    return filters.filter_meeting_dirs(_fx(spark, sf_dir).listing).select("working_group", "href")
+
+
+@query
+def dir_name_trim(spark, sf_dir):
+    return _fx(spark, sf_dir).listing.select("doc_id", urls.dir_name_trim("href").alias("name"))
+
+
+@query
+def listing_to_meetings(spark, sf_dir):
+    dirs = filters.filter_meeting_dirs(_fx(spark, sf_dir).listing).withColumnRenamed("href", "meeting_dir")
+    top = topk.top_meetings_per_group(dirs, 3)
+    return standards.listing_to_meetings(top, RUN_DATE).select(
+        "meeting_id", "working_group", "date", "location", F.size("key_agreements").alias("n_agreements"), "sentiment", "data_source"
+    )
+
+
+@query
+def filter_report_files(spark, sf_dir):
+    return filters.filter_report_files(_fx(spark, sf_dir).report_files).select("doc_id", "pos", "href")
+
+
+@query
+def content_kind(spark, sf_dir):
+    f = _fx(spark, sf_dir).report_files
+    first = topk.first_report_file(f, filters.is_report_file(F.col("href")), page="doc_id")
+    return first.select("doc_id", "report_file", filters.content_kind("report_file").alias("content_kind"))
+
+
+@query
+def filter_work_plan_files(spark, sf_dir):
+    f = _fx(spark, sf_dir).work_plan_files
+    return filters.filter_work_plan_files(f).select("doc_id", urls.file_name("href").alias("file_name"))
+
+
+@query
+def latest_by_name(spark, sf_dir):
+    f = filters.filter_work_plan_files(_fx(spark, sf_dir).work_plan_files, http_variant=True)
+    return topk.latest_by_name(f.select(urls.file_name("href").alias("file_name")))
+
+
+@query
+def resolve_url(spark, sf_dir):
+    p = _fx(spark, sf_dir).pages
+    links = pages_src.page_links(p).join(p.select("page_id", "url"), "page_id")
+    return links.select("page_id", "pos", urls.resolve_url("url", "href").alias("resolved"))
+
+
+@query
+def fetch_needs_fallback(spark, sf_dir):
+    log = _fx(spark, sf_dir).fetch_log
+    return log.select("page_id", filters.fetch_needs_fallback("status_code", "error", "success", "content").alias("needs_fallback"))
+
+
+@query
+def feed_autodiscovery(spark, sf_dir):
+    log = _fx(spark, sf_dir).fetch_log.withColumnRenamed("content", "html")
+    return pages_src.feed_autodiscovery(log).select("url", "feed_url")
+
+
+@query
+def unpivot_matrix(spark, sf_dir):
+    nested = reshape.nest_matrix(aggs.influence_matrix(_fx(spark, sf_dir).articles))
+    return reshape.unpivot_matrix(nested)
+
+
+@query
+def build_prompt(spark, sf_dir):
+    e = _fx(spark, sf_dir).entries
+    tmpl = "Site: {site_name}\nTitle: {title}\nSummary: {summary}\nReturn {{json}}."
+    return e.select("entry_ord", enrich.build_prompt(tmpl, "source", "title", "summary").alias("prompt"))
+
+
+@query
+def parse_profile(spark, sf_dir):
+    t = _fx(spark, sf_dir).model_texts.select("doc_id", enrich.parse_profile("raw_text").alias("p"))
+    return t.select(
+        "doc_id",
+        F.col("p").isNotNull().alias("has_profile"),
+        F.col("p.is_6g_relevant").alias("is_6g_relevant"),
+        F.col("p.overall_6g_importance").alias("importance"),
+        F.col("p.source_region").alias("source_region"),
+        F.array_join(F.col("p.6g_topics"), ",").alias("topics"),
+    )
+
+
+@query
+def json_list_or_items(spark, sf_dir):
+    ev = _fx(spark, sf_dir).table("events")
+    res = ev.select(F.col("user_id").alias("call_id"), F.col("event_id").alias("ord"), F.col("props").alias("text"))
+    return standards.json_list_or_items(res).select("call_id", "ord", "pos", "item")

@@ -572,3 +572,118 @@ ORACLE["influence_star"] = (
     + f"sm AS (SELECT region AS source, cust_region AS target, {esum('1.0 * w')} AS weight FROM star_rows WHERE region IN {TPCH} AND cust_region IN {TPCH} GROUP BY 1, 2)\n"
     + "SELECT g.source, g.target, coalesce(sm.weight, 0.0) AS weight FROM g LEFT JOIN sm ON sm.source = g.source AND sm.target = g.target"
 )
+
+# -- listing, file, fetch-log and model-text views ---------------------------
+
+LISTING = """
+fx_listing AS (
+  SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'RAN1' WHEN 1 THEN 'SA2' ELSE 'RAN2' END AS working_group,
+    CASE WHEN doc_id % 10 = 0 THEN 'Templates/'
+         ELSE 'TSG' || CASE doc_id % 3 WHEN 0 THEN 'R1' WHEN 1 THEN 'S2' ELSE 'R2' END || '_' || CAST(doc_id AS VARCHAR) || '/' END AS href
+  FROM documents),
+fx_dirs AS (SELECT * FROM fx_listing WHERE regexp_matches(href, '^TSG[RS]\\d+_\\d+/'))
+"""
+
+REPORT_FILES = """
+fx_report_files AS (
+  SELECT doc_id, CAST(u.pos - 1 AS INTEGER) AS pos, u.href FROM documents, unnest([
+    'Agenda_' || CAST(doc_id AS VARCHAR) || '.txt',
+    CASE doc_id % 4 WHEN 0 THEN 'Final_Report_' || CAST(doc_id AS VARCHAR) || '.htm'
+      WHEN 1 THEN 'Draft_' || CAST(doc_id AS VARCHAR) || '.doc'
+      WHEN 2 THEN 'summary_' || CAST(doc_id AS VARCHAR) || '.pdf'
+      ELSE 'notes_' || CAST(doc_id AS VARCHAR) || '.txt' END,
+    'Report_' || CAST(doc_id AS VARCHAR) || '.html']) WITH ORDINALITY AS u(href, pos)),
+fx_reportable AS (
+  SELECT * FROM fx_report_files
+  WHERE regexp_matches(lower(href), '\\.htm|\\.html|\\.doc|\\.pdf') AND regexp_matches(lower(href), 'report|summary|final'))
+"""
+
+WORK_PLAN_FILES = """
+fx_wp_files AS (
+  SELECT doc_id,
+    CASE doc_id % 3 WHEN 0 THEN 'Work_plan_3gpp_' || CAST(doc_id + 240000 AS VARCHAR) || '.xlsx'
+      WHEN 1 THEN 'archive/work_plan_3gpp_' || CAST(doc_id AS VARCHAR) || '.XLSX'
+      ELSE 'readme_' || CAST(doc_id AS VARCHAR) || '.txt' END AS href
+  FROM documents),
+fx_wp_names AS (SELECT doc_id, string_split(href, '/')[-1] AS file_name FROM fx_wp_files)
+"""
+
+FETCH_LOG = """
+fx_fetch_log AS (
+  SELECT page_id, url, page_id % 5 <> 1 AS success, html AS content,
+    CASE page_id % 5 WHEN 1 THEN 403 WHEN 2 THEN 429 ELSE 200 END AS status_code,
+    CASE page_id % 5 WHEN 1 THEN 'Forbidden' WHEN 3 THEN 'Bot check failed' END AS error,
+    CASE WHEN page_id % 7 = 0 THEN 'application/rss+xml' ELSE 'text/html' END AS content_type
+  FROM pages)
+"""
+
+SCHEME = "[A-Za-z][A-Za-z0-9+.-]*"
+
+
+def resolve_sql(base: str, href: str) -> str:
+    origin = f"regexp_extract({base}, '^({SCHEME}://[^/?#]*)', 1)"
+    folder = f"regexp_extract({base}, '^({SCHEME}://[^/?#]*/(?:[^?#]*/)?)', 1)"
+    return (
+        f"(CASE WHEN {href} IS NULL OR {href} = '' THEN {base} "
+        f"WHEN regexp_matches({href}, '^{SCHEME}:') THEN {href} "
+        f"WHEN starts_with({href}, '//') THEN regexp_extract({base}, '^({SCHEME}):', 1) || ':' || {href} "
+        f"WHEN starts_with({href}, '/') THEN {origin} || {href} "
+        f"WHEN starts_with({href}, '?') OR starts_with({href}, '#') THEN regexp_extract({base}, '^([^?#]*)', 1) || {href} "
+        f"ELSE (CASE WHEN {folder} <> '' THEN {folder} ELSE {origin} || '/' END) || {href} END)"
+    )
+
+
+def attr(tag: str, name: str) -> str:
+    return f"""regexp_extract({tag}, '(?i)\\b{name}\\s*=\\s*["'']([^"'']*)["'']', 1)"""
+
+
+def html_is_page(c: str) -> str:
+    low = f"lower(coalesce({c}, ''))"
+    return f"(contains({low}, 'incapsula') OR contains({low}, 'cloudflare') OR (contains({low}, '<html') AND NOT contains(substr({low}, 1, 100), '<?xml')))"
+
+
+FEED_TYPES = "(" + ", ".join(q(t) for t in dims.FEED_LINK_TYPES) + ")"
+ALT_LINKS = (
+    "list_filter(regexp_extract_all(coalesce(content, ''), '(?is)<link\\b[^>]*>', 0), lambda t: "
+    f"contains(lower({attr('t', 'rel')}), 'alternate') AND {attr('t', 'type')} IN {FEED_TYPES} AND {attr('t', 'href')} <> '')"
+)
+
+MODEL_REGION = case_mod("doc_id % 9", PROFILE_REGIONS)
+
+ORACLE.update(
+    {
+        "extract_location": with_() + "SELECT CAST(meeting_id AS BIGINT) AS meeting_id, location FROM fx_meetings",
+        "filter_meeting_dirs": with_(LISTING) + "SELECT working_group, href FROM fx_dirs",
+        "dir_name_trim": with_(LISTING) + "SELECT doc_id, regexp_replace(href, '/+$', '') AS name FROM fx_listing",
+        "listing_to_meetings": with_(LISTING)
+        + """SELECT regexp_replace(href, '/+$', '') AS meeting_id, working_group, '2024-06-30' AS date, 'TBD' AS location,
+  0 AS n_agreements, 'neutral' AS sentiment, 'live' AS data_source
+FROM (SELECT *, row_number() OVER (PARTITION BY working_group ORDER BY href DESC) AS rn FROM fx_dirs) WHERE rn <= 3""",
+        "filter_report_files": with_(REPORT_FILES) + "SELECT doc_id, pos, href FROM fx_reportable",
+        "content_kind": with_(REPORT_FILES)
+        + """SELECT doc_id, report_file, CASE WHEN regexp_matches(lower(report_file), '\\.htm|\\.html') THEN 'html' ELSE 'text' END AS content_kind
+FROM (SELECT doc_id, arg_min(href, pos) AS report_file FROM fx_reportable GROUP BY doc_id)""",
+        "filter_work_plan_files": with_(WORK_PLAN_FILES)
+        + "SELECT doc_id, file_name FROM fx_wp_names WHERE starts_with(lower(file_name), 'work_plan_3gpp_') AND ends_with(lower(file_name), '.xlsx')",
+        "latest_by_name": with_(WORK_PLAN_FILES)
+        + "SELECT max(file_name) AS file_name FROM fx_wp_names WHERE regexp_matches(file_name, '(?i)^Work_plan_3gpp_\\d+\\.xlsx$')",
+        "resolve_url": with_(PAGE_LINKS) + f"SELECT l.page_id, l.pos, {resolve_sql('p.url', 'l.href')} AS resolved FROM links l JOIN pages p ON p.page_id = l.page_id",
+        "fetch_needs_fallback": with_(FETCH_LOG)
+        + f"""SELECT page_id, (status_code IN (403, 429) OR contains(lower(coalesce(error, '')), 'bot') OR contains(lower(coalesce(error, '')), 'cloudflare')
+  OR (coalesce(success, false) AND {html_is_page('content')})) AS needs_fallback FROM fx_fetch_log""",
+        "feed_autodiscovery": with_(FETCH_LOG)
+        + f"""SELECT url, CASE WHEN contains(lower(content_type), 'xml') OR contains(lower(content_type), 'rss') THEN url
+  WHEN len({ALT_LINKS}) > 0 THEN {resolve_sql('url', attr(ALT_LINKS + '[1]', 'href'))} END AS feed_url FROM fx_fetch_log""",
+        "unpivot_matrix": with_() + f"SELECT * FROM {influence_sql()}",
+        "build_prompt": with_()
+        + "SELECT entry_ord, 'Site: ' || coalesce(source, '') || chr(10) || 'Title: ' || coalesce(title, '') || chr(10) || 'Summary: ' || coalesce(summary, '') || chr(10) || 'Return {json}.' AS prompt FROM fx_entries",
+        "parse_profile": with_()
+        + f"""SELECT doc_id, doc_id % 4 <> 3 AS has_profile,
+  CASE WHEN doc_id % 4 = 3 THEN NULL WHEN doc_id % 5 IN (0, 1) THEN true ELSE false END AS is_6g_relevant,
+  CASE WHEN doc_id % 4 = 3 THEN NULL ELSE CAST(doc_id % 10 + 1 AS DOUBLE) END AS importance,
+  CASE WHEN doc_id % 4 = 3 THEN NULL ELSE {MODEL_REGION} END AS source_region,
+  CASE WHEN doc_id % 4 = 3 THEN NULL ELSE 't' || CAST(doc_id % 3 AS VARCHAR) END AS topics
+FROM documents""",
+        "json_list_or_items": with_() + "SELECT user_id AS call_id, event_id AS ord, 0 AS pos, CAST(json(props) AS VARCHAR) AS item FROM events",
+    }
+)

@@ -214,3 +214,74 @@ class Fixtures:
     @property
     def pages(self) -> DataFrame:
         return self.table("pages")
+
+    # -- listings, report files, work-plan files, fetch log, model texts ----
+    @property
+    def listing(self) -> DataFrame:
+        """Meeting-folder listing per working group: real folders plus a junk folder every tenth report."""
+        d = self.table("documents").select(_doc().alias("doc_id"))
+        wg = _case(_doc() % 3, ["RAN1", "SA2", "RAN2"])
+        code = _case(_doc() % 3, ["R1", "S2", "R2"])
+        href = F.when(_doc() % 10 == 0, F.lit("Templates/")).otherwise(
+            F.concat(F.lit("TSG"), code, F.lit("_"), _doc().cast("string"), F.lit("/"))
+        )
+        return d.select("doc_id", wg.alias("working_group"), href.alias("href"))
+
+    @property
+    def report_files(self) -> DataFrame:
+        """Files of each meeting folder, in listing order (pos)."""
+        d = self.table("documents").select(_doc().alias("doc_id"))
+        names = F.array(
+            F.concat(F.lit("Agenda_"), _doc().cast("string"), F.lit(".txt")),
+            F.when(_doc() % 4 == 0, F.concat(F.lit("Final_Report_"), _doc().cast("string"), F.lit(".htm")))
+            .when(_doc() % 4 == 1, F.concat(F.lit("Draft_"), _doc().cast("string"), F.lit(".doc")))
+            .when(_doc() % 4 == 2, F.concat(F.lit("summary_"), _doc().cast("string"), F.lit(".pdf")))
+            .otherwise(F.concat(F.lit("notes_"), _doc().cast("string"), F.lit(".txt"))),
+            F.concat(F.lit("Report_"), _doc().cast("string"), F.lit(".html")),
+        )
+        return d.select("doc_id", F.posexplode(names).alias("pos", "href"))
+
+    @property
+    def work_plan_files(self) -> DataFrame:
+        """Work-plan folder listing: workbook files in two spellings, plus other files."""
+        d = self.table("documents").select(_doc().alias("doc_id"))
+        href = (
+            F.when(_doc() % 3 == 0, F.concat(F.lit("Work_plan_3gpp_"), (_doc() + 240000).cast("string"), F.lit(".xlsx")))
+            .when(_doc() % 3 == 1, F.concat(F.lit("archive/work_plan_3gpp_"), _doc().cast("string"), F.lit(".XLSX")))
+            .otherwise(F.concat(F.lit("readme_"), _doc().cast("string"), F.lit(".txt")))
+        )
+        return d.select("doc_id", href.alias("href"))
+
+    @property
+    def fetch_log(self) -> DataFrame:
+        """Fetch log over the pages: status, error text and content type vary with the page id."""
+        p = self.table("pages")
+        pid = F.col("page_id")
+        return p.select(
+            "page_id",
+            "url",
+            (pid % 5 != 1).alias("success"),
+            F.col("html").alias("content"),
+            F.when(pid % 5 == 1, 403).when(pid % 5 == 2, 429).otherwise(200).alias("status_code"),
+            F.when(pid % 5 == 1, F.lit("Forbidden")).when(pid % 5 == 3, F.lit("Bot check failed")).alias("error"),
+            F.when(pid % 7 == 0, F.lit("application/rss+xml")).otherwise(F.lit("text/html")).alias("content_type"),
+        )
+
+    @property
+    def model_texts(self) -> DataFrame:
+        """Raw scorer answers per entry: plain, fenced, wrapped in prose, or not JSON."""
+        d = self.table("documents").select(_doc().alias("doc_id"))
+        flag = _case(_doc() % 5, ["true", '"yes"', '"false"', "0", "null"])
+        region = _case(_doc() % 9, PROFILE_REGIONS)
+        body = F.concat(
+            F.lit('{"is_6g_relevant": '), flag,
+            F.lit(', "overall_6g_importance": '), (_doc() % 10 + 1).cast("string"),
+            F.lit(', "source_region": "'), region, F.lit('", "6g_topics": ["t'), (_doc() % 3).cast("string"), F.lit('"]}'),
+        )
+        raw = (
+            F.when(_doc() % 4 == 0, body)
+            .when(_doc() % 4 == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+            .when(_doc() % 4 == 2, F.concat(F.lit("Sure. "), body, F.lit(" Hope this helps.")))
+            .otherwise(F.lit("I cannot answer that."))
+        )
+        return d.select("doc_id", raw.alias("raw_text"))
