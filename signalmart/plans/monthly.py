@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions import scalars, text, urls
 from ..operators import aggs, filters, joins, topk
-from ..session import cut_lineage
+from ..session import materialize
 from ..sources import sinks, state
 
 
@@ -170,9 +170,10 @@ def run_monthly(spark, entries: DataFrame, responses: DataFrame, paths: RunPaths
     seen = filters.evict_stale(state.scan_table(spark, paths.seen, state.SEEN_SCHEMA), as_of)
     new = new_articles(entries, seen, responses, as_of, languages)
     arts = article_project(new, run_date)
-    # the accepted articles feed five sinks: cut the lineage once into the
-    # shared checkpoint folder (survives executor loss, unlike a local cache)
-    arts = cut_lineage(arts)
+    # the accepted articles feed five sinks: cut the lineage once, as a
+    # columnar table in the shared checkpoint folder (survives executor loss,
+    # unlike a local cache; each sink reads only its columns)
+    arts = materialize(arts, "accepted-articles")
     out: dict = {}
     quiet = len(arts.take(1)) == 0
     prev_recent = state.scan_table(spark, paths.recent, state.ARTICLE_SCHEMA)

@@ -8,6 +8,7 @@ session, and only read settings from it (``checkpoint_dir``).
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,3 +70,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (never a local one)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage by writing a Parquet table under the shared checkpoint folder and reading it back.
+
+    Unlike ``checkpoint()`` (row-serialised RDD blocks), the table is columnar,
+    so each consumer reads only the columns it needs.  The folder name is
+    unique per call; a lost executor only costs re-reading files.
+    """
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/signalmart-tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
