@@ -16,11 +16,12 @@ def union_groups(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def pivot_momentum(momentum_rows: DataFrame, quarters: list[str], regions=dims.CANONICAL_REGIONS, value: str = "momentum_score") -> DataFrame:
+def pivot_momentum(momentum_rows: DataFrame, quarters: list[str] | None, regions=dims.CANONICAL_REGIONS, value: str = "momentum_score") -> DataFrame:
     """Region x quarter grid (one column per quarter), absent cells null, every region present.
 
-    ``quarters`` is passed explicitly so that the pivot does not run a job to
-    discover them; the grid has len(regions) rows.
+    With ``quarters`` given the pivot needs no extra job; with None Spark first
+    finds the distinct quarter labels (a small aggregate: one row per quarter).
+    The grid has len(regions) rows.
     """
     rows = momentum_rows.where(F.col("region").isin(list(regions)))
     piv = rows.groupBy("region").pivot("time_window", quarters).agg(F.first(value))
@@ -29,7 +30,9 @@ def pivot_momentum(momentum_rows: DataFrame, quarters: list[str], regions=dims.C
 
 def grid_long(pivoted: DataFrame, quarters: list[str], value: str = "momentum_score") -> DataFrame:
     """Long form (region, time_window, value) of a pivoted grid."""
-    return pivoted.unpivot(["region"], [F.col(f"`{q}`").alias(q) for q in quarters], "time_window", value) if quarters else pivoted.select("region")
+    if not quarters:
+        return pivoted.select("region", F.lit(None).cast("string").alias("time_window"), F.lit(None).cast("double").alias(value)).limit(0)
+    return pivoted.unpivot(["region"], [F.col(f"`{q}`").alias(q) for q in quarters], "time_window", value)
 
 
 def pivot_matrix(matrix: DataFrame, regions=dims.CANONICAL_REGIONS) -> DataFrame:

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions import scalars, text, urls
-from ..functions.scalars import _c
 from . import aggs, filters
 
 
