@@ -67,12 +67,13 @@ def article_project(df: DataFrame, run_date: str | None = None) -> DataFrame:
     )
 
 
-def digest_lines(kept: DataFrame, existing_links: DataFrame, run_date: str) -> DataFrame:
+def digest_lines(kept: DataFrame, existing_links: DataFrame, run_date: str, existing_headers: DataFrame | None = None) -> DataFrame:
     """Markdown digest as rows (source, feed_ord, score, entry_ord, line_no, line).
 
-    One header per source, then per article: title/link, score line, summary,
-    rule.  Links already in the existing digest are skipped (anti-join on the
-    link).  Ordering keys stay as columns; ``write_digest_text`` sorts once.
+    One header per source (unless ``existing_headers`` already holds it), then
+    per article: title/link, score line, summary, rule.  Links already in the
+    existing digest are skipped (anti-join on the link).  Ordering keys stay as
+    columns; ``write_digest_text`` sorts once.
     """
     ai = F.col("ai_insights")
     score = F.coalesce(F.col("score"), F.lit(0))
@@ -97,6 +98,8 @@ def digest_lines(kept: DataFrame, existing_links: DataFrame, run_date: str) -> D
         "source", "feed_ord", F.lit(None).cast("int").alias("score"), F.lit(-1).cast("long").alias("entry_ord"),
         F.lit(0).alias("line_no"), F.concat(F.lit("## "), F.col("source"), F.lit(" — " + run_date)).alias("line"),
     )
+    if existing_headers is not None:
+        hdr = hdr.join(existing_headers.select("line").distinct(), "line", "left_anti")
     return hdr.unionByName(art.withColumn("entry_ord", F.col("entry_ord").cast("long")))
 
 
@@ -168,20 +171,23 @@ def run_monthly(spark, entries: DataFrame, responses: DataFrame, paths: RunPaths
     """
     as_of = as_of or run_date
     seen = filters.evict_stale(state.scan_table(spark, paths.seen, state.SEEN_SCHEMA), as_of)
-    new = new_articles(entries, seen, responses, as_of, languages)
+    # the accepted entries feed six sinks: cut the lineage once, as a columnar
+    # table in the shared checkpoint folder (survives executor loss, unlike a
+    # local cache; each sink reads only its columns)
+    new = materialize(new_articles(entries, seen, responses, as_of, languages), "accepted-entries")
     arts = article_project(new, run_date)
-    # the accepted articles feed five sinks: cut the lineage once, as a
-    # columnar table in the shared checkpoint folder (survives executor loss,
-    # unlike a local cache; each sink reads only its columns)
-    arts = materialize(arts, "accepted-articles")
     out: dict = {}
-    quiet = len(arts.take(1)) == 0
+    quiet = len(new.take(1)) == 0
     prev_recent = state.scan_table(spark, paths.recent, state.ARTICLE_SCHEMA)
     merged = joins.upsert(prev_recent, arts.select(*prev_recent.columns), ["article_id"])
     recent = topk.rolling_recent(merged, as_of, order="article_id")
     out["recent"] = sinks.write_versioned(recent, paths.recent)
     if not quiet:
         out["digest"] = sinks.write_digest(arts, paths.digest, run_date)
+        before = state.read_text_lines(spark, f"{paths.digest_md}/{run_date}")
+        links = before.select(F.regexp_extract("line", r"^### \[.*\]\((.*)\)$", 1).alias("link")).where(F.col("link") != "")
+        heads = before.where(F.col("line").startswith("## "))
+        out["digest_md"] = sinks.write_digest_text(digest_lines(new, links, run_date, heads), f"{paths.digest_md}/{run_date}")
         mom = joins.upsert_momentum(state.scan_table(spark, paths.momentum, state.MOMENTUM_SCHEMA), aggs.momentum(arts))
         out["momentum"] = sinks.write_versioned(mom, paths.momentum)
         mtx = joins.accumulate_matrix(state.scan_table(spark, paths.matrix, state.MATRIX_SCHEMA), aggs.influence_matrix(arts))
@@ -189,7 +195,7 @@ def run_monthly(spark, entries: DataFrame, responses: DataFrame, paths: RunPaths
         out["matrix_snapshots"] = sinks.append_snapshot(mtx.withColumn("date", F.lit(run_date)), paths.matrix_snapshots)
     else:
         out["digest"] = sinks.write_digest(state.read_latest(spark, paths.recent, state.ARTICLE_SCHEMA), paths.digest, run_date)
-    # from the checkpointed articles: the accepted set is not recomputed
-    cache_add = arts.select("article_id", F.col("link").alias("url"), "title", F.lit(run_date).alias("processed_date"))
+    # from the materialized entries: the accepted set is not recomputed
+    cache_add = new.select("article_id", F.col("link").alias("url"), "title", F.lit(run_date).alias("processed_date"))
     out["seen"] = sinks.write_versioned(joins.upsert(seen.select(*cache_add.columns), cache_add, ["article_id"]), paths.seen)
     return out

@@ -65,10 +65,17 @@ def digest_resource(spark, path: str) -> DataFrame:
 
 
 def write_digest_text(lines: DataFrame, path: str) -> str:
-    """Markdown digest lines in reading order (feed order, score desc, entry order, line)."""
+    """Append markdown digest lines, in reading order, as the next batch folder under ``path``.
+
+    The sort is range-partitioned, so the part files of a batch hold
+    consecutive slices of the order (no task receives the whole digest); the
+    digest is the batches in version order, each batch's part files in name
+    order (``state.read_text_lines``).
+    """
     ordered = lines.orderBy("feed_ord", F.desc_nulls_first("score"), "entry_ord", "line_no")
-    ordered.select("line").coalesce(1).write.mode("overwrite").text(path)
-    return path
+    target = _next_version(lines, path)
+    ordered.select("line").write.mode("errorifexists").text(target)
+    return target
 
 
 def append_snapshot(snapshot: DataFrame, path: str, key: str = "date") -> str:

@@ -109,3 +109,16 @@ def scan_momentum_json(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.text(path, wholetext=True)
     arr = F.from_json("value", T.ArrayType(MOMENTUM_SCHEMA))
     return raw.select(F.explode(arr).alias("m")).select("m.*")
+
+
+def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of a batched text sink (``sinks.write_digest_text``); empty when nothing was written."""
+    versions = []
+    if _exists(spark, path):
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        versions = [st.getPath().toString() for st in fs.listStatus(p) if st.isDirectory() and st.getPath().getName().startswith("v=")]
+    if not versions:
+        return spark.createDataFrame([], "line string")
+    return spark.read.text(versions).select(F.col("value").alias("line"))

@@ -140,6 +140,10 @@ def test_matrix_nest_unpivot_round_trip(spark):
     assert piv["US"]["EU"] == 3 and piv["EU"]["US"] == 0  # Math.round(2.5) = 3
 
 
+def n_new_links(spark, paths):
+    return state.read_latest(spark, paths.seen, schemas.SEEN).count()
+
+
 def test_run_monthly_full_and_quiet(spark, tmp_dir):
     from signalmart.sources.fixtures import Fixtures
 
@@ -147,7 +151,10 @@ def test_run_monthly_full_and_quiet(spark, tmp_dir):
     paths = monthly.RunPaths(f"{tmp_dir}/state")
     responses = fx.articles.select("entry_ord", "ai_insights")
     out = monthly.run_monthly(spark, fx.entries, responses, paths, AS_OF)
-    assert {"recent", "momentum", "matrix", "seen", "digest"} <= set(out)
+    assert {"recent", "momentum", "matrix", "seen", "digest", "digest_md"} <= set(out)
+    md = state.read_text_lines(spark, f"{paths.digest_md}/{AS_OF}")
+    heads = [r.line for r in md.where(F.col("line").startswith("## ")).collect()]
+    assert len(heads) == len(set(heads)) > 0 and md.where(F.col("line").startswith("### [")).count() == n_new_links(spark, paths)
     n_seen = state.read_latest(spark, paths.seen, schemas.SEEN).count()
     assert n_seen > 0
     mtx1 = {(r.source, r.target): r.weight for r in state.read_latest(spark, paths.matrix, schemas.MATRIX).collect()}
