@@ -53,9 +53,18 @@ def unpivot_matrix(nested: DataFrame, col: str = "matrix") -> DataFrame:
     return a.select("source", F.explode("row").alias("target", "weight"))
 
 
-def nest_matrix(long: DataFrame, col: str = "matrix") -> DataFrame:
-    """Long (source, target, weight) -> one row holding the nested map (sink side; 36 cells)."""
-    rows = long.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("target", "weight"))).alias("row"))
+def nest_matrix(long: DataFrame, col: str = "matrix", regions=dims.CANONICAL_REGIONS) -> DataFrame:
+    """Long (source, target, weight) -> one row holding the nested map (sink side).
+
+    Only region pairs are nested, one cell per pair, so the collected map holds
+    at most len(regions)^2 cells whatever the input size.
+    """
+    cells = (
+        long.where(F.col("source").isin(list(regions)) & F.col("target").isin(list(regions)))
+        .groupBy("source", "target")
+        .agg(F.sum("weight").alias("weight"))
+    )
+    rows = cells.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("target", "weight"))).alias("row"))
     return rows.agg(F.map_from_entries(F.collect_list(F.struct("source", "row"))).alias(col))
 
 

@@ -227,7 +227,7 @@ def standards_bundle(totals: DataFrame, meetings: DataFrame, as_of: str, data_so
     """
     from .topk import top_k_per_group
 
-    meetings = top_k_per_group(meetings, ["working_group"], [F.desc("date"), F.desc("meeting_id")], per_group, salt_cols=["meeting_id"]).drop("rank")
+    meetings = top_k_per_group(meetings, ["working_group"], [F.desc("date"), F.desc("meeting_id")], per_group).drop("rank")
     grp = totals.where(F.col("level") == "group").select(
         F.struct(
             F.coalesce(F.col("working_group"), F.lit("")).alias("key"),

@@ -60,7 +60,7 @@ def top_meetings_per_group(df: DataFrame, k: int | None = 3, name: str = "meetin
     """Newest k meeting folders per group by name, descending (``_99`` sorts above ``_115``)."""
     if k is None:
         return df
-    return top_k_per_group(df, [group], [F.desc(name)], k, salt_cols=[name]).drop("rank")
+    return top_k_per_group(df, [group], [F.desc(name)], k).drop("rank")
 
 
 def first_report_file(links: DataFrame, qualifies: Column, page: str = "page_id", pos: str = "pos", href: str = "href") -> DataFrame:
