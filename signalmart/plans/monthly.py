@@ -154,11 +154,20 @@ TPCH_REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 
 @dataclass
 class RunPaths:
-    """Where the run reads and writes its state (shared storage on a cluster)."""
+    """Where the run reads and writes its state (shared storage on a cluster).
+
+    Every state table lives under ``root/<name>`` unless ``overrides`` names
+    another folder for it.
+    """
 
     root: str
+    overrides: dict | None = None
 
     def __getattr__(self, name):
+        if name.startswith("__"):
+            raise AttributeError(name)
+        if self.overrides and name in self.overrides:
+            return self.overrides[name]
         return f"{self.root.rstrip('/')}/{name}"
 
 
@@ -190,7 +199,13 @@ def run_monthly(spark, entries: DataFrame, responses: DataFrame, paths: RunPaths
         out["digest_md"] = sinks.write_digest_text(digest_lines(new, links, run_date, heads), f"{paths.digest_md}/{run_date}")
         mom = joins.upsert_momentum(state.scan_table(spark, paths.momentum, state.MOMENTUM_SCHEMA), aggs.momentum(arts))
         out["momentum"] = sinks.write_versioned(mom, paths.momentum)
-        mtx = joins.accumulate_matrix(state.scan_table(spark, paths.matrix, state.MATRIX_SCHEMA), aggs.influence_matrix(arts))
+        # the cumulative matrix is the starting matrix plus one contribution per
+        # run date; a run's contribution replaces its own partition, so re-running
+        # a date (e.g. after a failure between two sinks) never adds it twice
+        contrib = aggs.influence_matrix(arts).withColumn("run_date", F.lit(run_date))
+        sinks.write_partitioned(contrib, paths.matrix_runs, "run_date")
+        runs = spark.read.parquet(paths.matrix_runs).select("source", "target", "weight")
+        mtx = joins.accumulate_matrix(state.scan_table(spark, paths.matrix_base, state.MATRIX_SCHEMA), runs)
         out["matrix"] = sinks.write_versioned(mtx, paths.matrix)
         out["matrix_snapshots"] = sinks.append_snapshot(mtx.withColumn("date", F.lit(run_date)), paths.matrix_snapshots)
     else:

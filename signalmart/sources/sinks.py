@@ -29,6 +29,12 @@ def write_versioned(df: DataFrame, path: str) -> str:
     return target
 
 
+def write_partitioned(df: DataFrame, path: str, partition: str) -> str:
+    """Write ``df`` replacing only the partitions it holds (dynamic overwrite): idempotent per partition."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    return path
+
+
 def write_digest(articles: DataFrame, path: str, run_date: str, partition: str = "run_date") -> str:
     """Articles table partitioned by run date; re-running a date replaces only that partition."""
     (

@@ -164,3 +164,22 @@ def test_run_monthly_full_and_quiet(spark, tmp_dir):
     mtx2 = {(r.source, r.target): r.weight for r in state.read_latest(spark, paths.matrix, schemas.MATRIX).collect()}
     assert mtx1 == mtx2  # quiet cycle leaves the matrix untouched
     assert state.read_latest(spark, paths.seen, schemas.SEEN).count() == n_seen
+
+
+def test_run_monthly_rerun_of_a_date_does_not_add_twice(spark, tmp_dir):
+    from signalmart.sources.fixtures import Fixtures
+
+    fx = Fixtures(spark, "/root/testdata/sf0.001")
+    responses = fx.articles.select("entry_ord", "ai_insights")
+    first = monthly.RunPaths(f"{tmp_dir}/state")
+    monthly.run_monthly(spark, fx.entries, responses, first, AS_OF)
+    m1 = {(r.source, r.target): r.weight for r in state.read_latest(spark, first.matrix, schemas.MATRIX).collect()}
+    # same date again, as after a failure before the seen cache was saved
+    again = monthly.RunPaths(f"{tmp_dir}/state", {"seen": f"{tmp_dir}/fresh-seen"})
+    monthly.run_monthly(spark, fx.entries, responses, again, AS_OF)
+    m2 = {(r.source, r.target): r.weight for r in state.read_latest(spark, first.matrix, schemas.MATRIX).collect()}
+    assert m1 == m2 and sum(m1.values()) > 0
+    # a later date adds its own contribution
+    monthly.run_monthly(spark, fx.entries, responses, monthly.RunPaths(f"{tmp_dir}/state", {"seen": f"{tmp_dir}/seen2"}), "2024-07-01", AS_OF)
+    m3 = {(r.source, r.target): r.weight for r in state.read_latest(spark, first.matrix, schemas.MATRIX).collect()}
+    assert all(abs(m3[k] - 2 * m1[k]) < 1e-9 for k in m1)
