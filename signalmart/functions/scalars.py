@@ -123,15 +123,32 @@ def region_flag(region) -> Column:
 # ---------------------------------------------------------------------------
 
 
-def mean_numeric_map(m) -> Column:
-    """Mean of the non-null values of a numeric map, 0 when there are none (values filtered once)."""
+def mean_numeric_map(m, known_keys=None) -> Column:
+    """Mean of the non-null values of a numeric map, 0 when there are none.
+
+    With ``known_keys`` (the usual dimension names), maps holding only those
+    keys take a branch of plain ``element_at`` lookups that stays in generated
+    code; any other map goes through the general higher-order path (values
+    filtered once).  Both give the same result.
+    """
+    mc = _c(m)
 
     def mean(vals: Column) -> Column:
         n = F.size(vals)
         total = F.aggregate(vals, F.lit(0.0), lambda acc, v: acc + v.cast("double"))
         return F.when(F.coalesce(n, F.lit(0)) > 0, total / n).otherwise(F.lit(0.0))
 
-    return let(F.filter(F.map_values(_c(m)), lambda v: v.isNotNull()), mean)
+    general = let(F.filter(F.map_values(mc), lambda v: v.isNotNull()), mean)
+    if not known_keys:
+        return general
+    vals = [F.element_at(mc, F.lit(k)) for k in known_keys]
+    n_keys = sum((F.when(F.map_contains_key(mc, F.lit(k)), 1).otherwise(0) for k in known_keys), F.lit(0))
+    n_vals = sum((F.when(v.isNotNull(), 1).otherwise(0) for v in vals), F.lit(0))
+    total = F.lit(0.0)
+    for v in vals:
+        total = total + F.coalesce(v.cast("double"), F.lit(0.0))
+    fast = F.when(n_vals > 0, total / n_vals).otherwise(F.lit(0.0))
+    return F.when(mc.isNull(), F.lit(0.0)).when(F.size(mc) == n_keys, fast).otherwise(general)
 
 
 def with_impact_score(ai) -> Column:

@@ -83,7 +83,7 @@ def momentum(df: DataFrame, regions=dims.CANONICAL_REGIONS, ai: str = "ai_insigh
         F.col("src_region").alias("region"),
         scalars.quarter_label(F.col(date)).alias("time_window"),
         w.alias("w"),
-        scalars.mean_numeric_map(dmap).alias("m"),
+        scalars.mean_numeric_map(dmap, dims.DIMENSIONS).alias("m"),
         *[F.coalesce(F.element_at(dmap, F.lit(k)), F.lit(0.0)).alias(k) for k in dims.DIMENSIONS],
     )
     return rows.groupBy("region", "time_window").agg(

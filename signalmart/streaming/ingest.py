@@ -60,7 +60,7 @@ def stream_momentum(df: DataFrame, event_ts: str = "event_ts", delay: str = f"{d
         F.col("src_region").alias("region"),
         F.date_trunc("quarter", F.col(event_ts)).alias("quarter_start"),
         w.alias("w"),
-        scalars.mean_numeric_map(dmap).alias("m"),
+        scalars.mean_numeric_map(dmap, dims.DIMENSIONS).alias("m"),
         *[F.coalesce(F.element_at(dmap, F.lit(k)), F.lit(0.0)).alias(k) for k in dims.DIMENSIONS],
     )
     g = rows.withWatermark("quarter_start", delay).groupBy("region", "quarter_start").agg(
