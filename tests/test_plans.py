@@ -52,3 +52,13 @@ def test_aggregations_are_two_phase(spark):
     for key in ("momentum", "influence_matrix", "concept_counts", "upsert_momentum", "dedup_cross_feed"):
         plan = _plan(queries()[key](spark, SF_SMALL))
         assert "partial_" in plan, key
+
+
+def test_per_group_top_k_limits_before_the_shuffle(spark):
+    from __spark_entry__ import queries
+
+    plan = _plan(queries()["top_meetings_per_group"](spark, SF_SMALL))
+    # a partial group limit sits below the exchange: each task forwards <= k rows per group
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+    partial_at = plan.index("Partial")
+    assert plan.rfind("Exchange", 0, partial_at) != -1

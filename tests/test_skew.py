@@ -43,3 +43,15 @@ def test_aggregates_with_hot_region(spark):
     assert m["US"] == round(sum(us) / len(us), 2)
     mx = {(r.source, r.target): r.weight for r in aggs.influence_matrix(arts).collect()}
     assert mx[("US", "Japan")] == 2.0 * 1000 and mx[("EU", "Japan")] == 2.0 * 2000
+
+
+def test_salted_rounds_for_large_k(spark):
+    df = _hot(spark)
+    old = spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "1")
+    try:
+        got = sorted((r.working_group, r.meeting_dir) for r in topk.top_meetings_per_group(df, 3).collect())
+    finally:
+        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", old)
+    base = sorted((r.working_group, r.meeting_dir) for r in topk.top_meetings_per_group(df, 3).collect())
+    assert got == base and len(got) == 3 * 201
