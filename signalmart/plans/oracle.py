@@ -147,8 +147,8 @@ fx_profiles AS (
     CAST((doc_id * 11 + 4) % 6 AS DOUBLE) AS ecosystem_maturity
   FROM documents),
 fx_targets AS (
-  SELECT d.doc_id, r.target, CAST((d.doc_id * (r.k + 1) + r.k) % 6 AS DOUBLE) AS score
-  FROM documents d CROSS JOIN (VALUES {", ".join(f"({i}, {q(t)})" for i, t in enumerate(TARGETS))}) AS r(k, target)),
+  SELECT d.doc_id, u.target, CAST((d.doc_id * u.k + u.k - 1) % 6 AS DOUBLE) AS score
+  FROM documents d, unnest([{", ".join(q(t) for t in TARGETS)}]) WITH ORDINALITY AS u(target, k)),
 fx_terms AS (
   SELECT doc_id, 0 AS pos, 'concept' || CAST(doc_id % 13 AS VARCHAR) AS term FROM documents
   UNION ALL SELECT doc_id, 1 AS pos, 'concept' || CAST((doc_id * doc_id) % 29 AS VARCHAR) AS term FROM documents),
@@ -180,7 +180,8 @@ fx_pairs AS (
   WHERE a.present AND coalesce(a.is_relevant, false) AND {norm('a.region_raw')} IN {CANON}
     AND {norm('t.target')} IN {CANON} AND t.score > 0),
 fx_grid AS (
-  SELECT s.region AS source, t.region AS target FROM {REGIONS_VALUES.replace('rg(', 's(')} CROSS JOIN {REGIONS_VALUES.replace('rg(', 't(')}),
+  SELECT u.source, v.target FROM unnest([{", ".join(q(r) for r in dims.CANONICAL_REGIONS)}]) AS u(source),
+    unnest([{", ".join(q(r) for r in dims.CANONICAL_REGIONS)}]) AS v(target)),
 fx_regions AS (SELECT * FROM {REGIONS_VALUES}),
 fx_meetings AS (
   SELECT CAST(meeting_id AS VARCHAR) AS meeting_id, working_group,
@@ -501,8 +502,9 @@ FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id, pos) AS rn
     # 2.8
     "union_groups": with_() + "SELECT meeting_id, working_group FROM fx_meetings WHERE working_group IN ('RAN1', 'SA2', 'RAN2')",
     "pivot_momentum": with_(MOMENTUM_ROWS)
-    + """SELECT r.region, q.time_window, m.momentum_score FROM fx_regions r CROSS JOIN (SELECT DISTINCT time_window FROM mom) q
-LEFT JOIN mom m ON m.region = r.region AND m.time_window = q.time_window""",
+    + """SELECT g.region, g.time_window, m.momentum_score
+FROM (SELECT r.region, unnest(q.windows) AS time_window FROM fx_regions r, (SELECT list(DISTINCT time_window) AS windows FROM mom) q) g
+LEFT JOIN mom m ON m.region = g.region AND m.time_window = g.time_window""",
     "pivot_matrix": with_(f"mx AS {influence_sql()}")
     + "SELECT r.region AS source, "
     + ", ".join(
@@ -567,8 +569,8 @@ ORACLE["momentum_star"] = (
 )
 ORACLE["influence_star"] = (
     "WITH " + STAR.strip() + ",\n"
-    + "g AS (SELECT s.r AS source, t.r AS target FROM (VALUES ('AFRICA'), ('AMERICA'), ('ASIA'), ('EUROPE'), ('MIDDLE EAST')) s(r) "
-    + "CROSS JOIN (VALUES ('AFRICA'), ('AMERICA'), ('ASIA'), ('EUROPE'), ('MIDDLE EAST')) t(r)),\n"
+    + "g AS (SELECT u.source, v.target FROM unnest(['AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST']) AS u(source), "
+    + "unnest(['AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST']) AS v(target)),\n"
     + f"sm AS (SELECT region AS source, cust_region AS target, {esum('1.0 * w')} AS weight FROM star_rows WHERE region IN {TPCH} AND cust_region IN {TPCH} GROUP BY 1, 2)\n"
     + "SELECT g.source, g.target, coalesce(sm.weight, 0.0) AS weight FROM g LEFT JOIN sm ON sm.source = g.source AND sm.target = g.target"
 )
