@@ -34,10 +34,10 @@ def keyword_candidates(entries: DataFrame, as_of: str, seen: DataFrame | None =
     return filters.filter_relevance(e)
 
 
-def new_articles(entries: DataFrame, seen: DataFrame | None, responses: DataFrame, as_of: str, languages: DataFrame | None = None) -> DataFrame:
-    """Accepted articles of this run: candidates + profile, gate, cross-feed de-dup."""
+def new_articles(entries: DataFrame, seen: DataFrame | None, responses: DataFrame, as_of: str, languages: DataFrame | None = None, key: str = "entry_ord") -> DataFrame:
+    """Accepted articles of this run: candidates + profile (joined on ``key``), gate, cross-feed de-dup."""
     cands = keyword_candidates(entries, as_of, seen, languages)
-    enriched = joins.enrich_join(cands, responses.select("entry_ord", "ai_insights"), "entry_ord")
+    enriched = joins.enrich_join(cands, responses.select(key, "ai_insights").dropDuplicates([key]), key)
     gated = filters.gate_profile(enriched)
     return joins.dedup_cross_feed(gated)
 
@@ -171,7 +171,7 @@ class RunPaths:
         return f"{self.root.rstrip('/')}/{name}"
 
 
-def run_monthly(spark, entries: DataFrame, responses: DataFrame, paths: RunPaths, run_date: str, as_of: str | None = None, languages: DataFrame | None = None) -> dict:
+def run_monthly(spark, entries: DataFrame, responses: DataFrame, paths: RunPaths, run_date: str, as_of: str | None = None, languages: DataFrame | None = None, key: str = "entry_ord") -> dict:
     """Run one cycle; returns the paths written, keyed by sink.
 
     Quiet cycle (no new article): the recent list is still refreshed and
@@ -183,7 +183,7 @@ def run_monthly(spark, entries: DataFrame, responses: DataFrame, paths: RunPaths
     # the accepted entries feed six sinks: cut the lineage once, as a columnar
     # table in the shared checkpoint folder (survives executor loss, unlike a
     # local cache; each sink reads only its columns)
-    new = materialize(new_articles(entries, seen, responses, as_of, languages), "accepted-entries")
+    new = materialize(new_articles(entries, seen, responses, as_of, languages, key), "accepted-entries")
     arts = article_project(new, run_date)
     out: dict = {}
     quiet = len(new.take(1)) == 0
@@ -214,3 +214,44 @@ def run_monthly(spark, entries: DataFrame, responses: DataFrame, paths: RunPaths
     cache_add = new.select("article_id", F.col("link").alias("url"), "title", F.lit(run_date).alias("processed_date"))
     out["seen"] = sinks.write_versioned(joins.upsert(seen.select(*cache_add.columns), cache_add, ["article_id"]), paths.seen)
     return out
+
+
+def main(argv: list[str] | None = None) -> None:
+    """Command line: one monthly cycle over feed XML files and a profile table.
+
+        spark-submit -m signalmart.plans.monthly --feeds DIR --profiles PARQUET --state DIR --run-date YYYY-MM-DD
+
+    ``--profiles`` holds (article_id, raw_text) scorer answers (parsed with
+    ``parse_profile``) or (article_id, ai_insights) profiles; article_id is the
+    md5 of the entry link.
+    """
+    import argparse
+
+    from pyspark.sql import SparkSession
+
+    from ..operators import enrich
+    from ..session import BASE_CONF
+    from ..sources import feeds
+
+    ap = argparse.ArgumentParser(description=main.__doc__)
+    ap.add_argument("--feeds", required=True)
+    ap.add_argument("--profiles", required=True)
+    ap.add_argument("--state", required=True)
+    ap.add_argument("--run-date", required=True)
+    ap.add_argument("--as-of")
+    a = ap.parse_args(argv)
+    spark = SparkSession.builder.appName("signalmart-monthly").getOrCreate()
+    for k, v in BASE_CONF.items():
+        spark.conf.set(k, v)
+    entries = feeds.scan_feeds_xml(spark, a.feeds, dims.feeds_df(spark).select(
+        F.col("source").alias("file_stem"), "source", "feed_ord"))
+    prof = spark.read.parquet(a.profiles)
+    if "raw_text" in prof.columns:
+        prof = prof.select("article_id", enrich.parse_profile("raw_text").alias("ai_insights"))
+    out = run_monthly(spark, entries, prof, RunPaths(a.state), a.run_date, a.as_of, key="article_id")
+    for k, v in out.items():
+        print(f"{k}\t{v}")
+
+
+if __name__ == "__main__":
+    main()

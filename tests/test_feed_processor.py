@@ -153,3 +153,25 @@ def test_feed_autodiscovery(spark):
     )
     got = dict((r.url, r.feed_url) for r in pages.feed_autodiscovery(df).collect())
     assert got == {"https://x.org/news/page.html": "https://x.org/feed.xml", "https://y.org/rss": "https://y.org/rss", "https://z.org/": None}
+
+
+def test_monthly_command_line_over_xml_feeds(spark, tmp_dir):
+    import hashlib
+
+    from signalmart.sources import state
+
+    os_dir = f"{tmp_dir}/feeds"
+    import os
+
+    os.makedirs(os_dir)
+    for name, body in (("Nokia", RSS), ("Ericsson", ATOM)):
+        with open(f"{os_dir}/{name}.xml", "w") as f:
+            f.write(body)
+    raw = [
+        (hashlib.md5(b"https://a.org/1").hexdigest(), '{"is_6g_relevant": true, "source_region": "EU", "overall_6g_importance": 7}'),
+        (hashlib.md5(b"https://b.org/1").hexdigest(), '```json\n{"is_6g_relevant": false}\n```'),
+    ]
+    spark.createDataFrame(raw, "article_id string, raw_text string").write.parquet(f"{tmp_dir}/profiles")
+    monthly.main(["--feeds", os_dir, "--profiles", f"{tmp_dir}/profiles", "--state", f"{tmp_dir}/state", "--run-date", AS_OF])
+    seen = state.read_latest(spark, f"{tmp_dir}/state/seen", state.SEEN_SCHEMA).collect()
+    assert [r.url for r in seen] == ["https://a.org/1"]  # the Atom entry was rejected by its profile
