@@ -22,22 +22,31 @@ from ..sources import sinks, state
 
 
 def keyword_candidates(entries: DataFrame, as_of: str, seen: DataFrame | None = None, languages: DataFrame | None = None) -> DataFrame:
-    """Entries that reach enrichment: link present, not seen, recent, keyword score (or bypass)."""
+    """Entries that reach enrichment: link present, not seen, recent, keyword score (or bypass).
+
+    The predicates are independent, so the row-local ones run first (in the
+    scan's stage) and the seen-cache anti-join, the only one that shuffles
+    whole entries, sees only the entries that pass them.
+    """
     e = filters.filter_has_link(entries).withColumn("article_id", urls.url_hash("link"))
-    if seen is not None:
-        e = joins.anti_seen(e, seen)
     e = filters.filter_recent(e, as_of)
     e = e.withColumn("score", text.relevance_score("title", "summary"))
     if languages is not None:
-        e = joins.bypass_lookup(e, languages, "source")
-        return filters.filter_relevance(e, "score", "bypass")
-    return filters.filter_relevance(e)
+        e = filters.filter_relevance(joins.bypass_lookup(e, languages, "source"), "score", "bypass")
+    else:
+        e = filters.filter_relevance(e)
+    if seen is not None:
+        e = joins.anti_seen(e, seen)
+    return e
 
 
 def new_articles(entries: DataFrame, seen: DataFrame | None, responses: DataFrame, as_of: str, languages: DataFrame | None = None, key: str = "entry_ord") -> DataFrame:
-    """Accepted articles of this run: candidates + profile (joined on ``key``), gate, cross-feed de-dup."""
+    """Accepted articles of this run: candidates + profile (joined on ``key``), gate, cross-feed de-dup.
+
+    ``responses`` holds at most one profile per key.
+    """
     cands = keyword_candidates(entries, as_of, seen, languages)
-    enriched = joins.enrich_join(cands, responses.select(key, "ai_insights").dropDuplicates([key]), key)
+    enriched = joins.enrich_join(cands, responses.select(key, "ai_insights"), key)
     gated = filters.gate_profile(enriched)
     return joins.dedup_cross_feed(gated)
 
@@ -248,6 +257,8 @@ def main(argv: list[str] | None = None) -> None:
     prof = spark.read.parquet(a.profiles)
     if "raw_text" in prof.columns:
         prof = prof.select("article_id", enrich.parse_profile("raw_text").alias("ai_insights"))
+    # one profile per article (a scorer may have answered twice): keep the greatest
+    prof = prof.groupBy("article_id").agg(F.max_by("ai_insights", F.to_json("ai_insights")).alias("ai_insights"))
     out = run_monthly(spark, entries, prof, RunPaths(a.state), a.run_date, a.as_of, key="article_id")
     for k, v in out.items():
         print(f"{k}\t{v}")
