@@ -50,7 +50,7 @@ def main() -> None:
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    repeat = int(os.environ.get("BENCH_REPEAT", "2"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     only = [k for k in os.environ.get("BENCH_QUERIES", "").split(",") if k]
     spark = build_session(master=f"local[{cpus}]", shuffle_partitions=max(8, cpus))
 
