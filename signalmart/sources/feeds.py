@@ -54,34 +54,28 @@ def _file_stem() -> Column:
     return F.regexp_replace(name, r"\.[^.]*$", "")
 
 
-def scan_feeds_xml(spark: SparkSession, path: str, registry: DataFrame | None = None) -> DataFrame:
-    """All feed files under ``path`` -> (source, feed_ord, entry_ord, title, link, summary, published).
-
-    ``registry`` (file_stem, source, feed_ord) names the sources; without it the
-    file stem is the source.  ``entry_ord`` increases in file order.
-    """
-    rss = (
-        spark.read.format("xml").option("rowTag", "item").schema(RSS_ITEM).load(path)
-        .select(
-            _file_stem().alias("file_stem"),
-            "title",
-            "link",
-            F.col("description").alias("summary"),
-            parse_feed_date("pubDate").alias("published"),
-        )
+def _entries(rss: DataFrame, atom: DataFrame, registry: DataFrame | None, streaming: bool = False) -> DataFrame:
+    rss = rss.select(
+        _file_stem().alias("file_stem"),
+        "title",
+        "link",
+        F.col("description").alias("summary"),
+        parse_feed_date("pubDate").alias("published"),
     )
     alt = F.filter("link", lambda l: F.coalesce(l.getField("_rel"), F.lit("alternate")) == "alternate")
-    atom = (
-        spark.read.format("xml").option("rowTag", "entry").schema(ATOM_ENTRY).load(path)
-        .select(
-            _file_stem().alias("file_stem"),
-            "title",
-            F.coalesce(F.get(alt, 0).getField("_href"), F.get(F.col("link"), 0).getField("_href")).alias("link"),
-            F.coalesce(F.col("summary"), F.col("content")).alias("summary"),
-            parse_feed_date("published").alias("published"),
-        )
+    atom = atom.select(
+        _file_stem().alias("file_stem"),
+        "title",
+        F.coalesce(F.get(alt, 0).getField("_href"), F.get(F.col("link"), 0).getField("_href")).alias("link"),
+        F.coalesce(F.col("summary"), F.col("content")).alias("summary"),
+        parse_feed_date("published").alias("published"),
     )
-    rows = rss.unionByName(atom).withColumn("entry_ord", F.monotonically_increasing_id())
+    rows = rss.unionByName(atom)
+    if streaming:
+        # streams have no global row order: a stable id from the file and the entry
+        rows = rows.withColumn("entry_ord", F.xxhash64("file_stem", "link", "title"))
+    else:
+        rows = rows.withColumn("entry_ord", F.monotonically_increasing_id())
     if registry is None:
         return rows.select(
             F.col("file_stem").alias("source"), F.lit(None).cast("int").alias("feed_ord"), "entry_ord", "title", "link", "summary", "published"
@@ -90,3 +84,31 @@ def scan_feeds_xml(spark: SparkSession, path: str, registry: DataFrame | None =
     return rows.join(reg, "file_stem", "left").select(
         F.coalesce(F.col("source"), F.col("file_stem")).alias("source"), "feed_ord", "entry_ord", "title", "link", "summary", "published"
     )
+
+
+def scan_feeds_xml(spark: SparkSession, path: str, registry: DataFrame | None = None) -> DataFrame:
+    """All feed files under ``path`` -> (source, feed_ord, entry_ord, title, link, summary, published).
+
+    ``registry`` (file_stem, source, feed_ord) names the sources (a small,
+    fixed table: broadcast); without it the file stem is the source.
+    ``entry_ord`` increases in file order.
+    """
+    rss = spark.read.format("xml").option("rowTag", "item").schema(RSS_ITEM).load(path)
+    atom = spark.read.format("xml").option("rowTag", "entry").schema(ATOM_ENTRY).load(path)
+    return _entries(rss, atom, registry)
+
+
+def stream_feeds_xml(spark: SparkSession, path: str, registry: DataFrame | None = None, max_files: int | None = None) -> DataFrame:
+    """Streaming form of ``scan_feeds_xml``: new feed files landing under ``path`` become entry rows.
+
+    ``entry_ord`` is a hash of (file, link, title) here: a stream has no global
+    row order to number.
+    """
+
+    def reader(tag: str, schema: T.StructType) -> DataFrame:
+        r = spark.readStream.format("xml").option("rowTag", tag).schema(schema)
+        if max_files:
+            r = r.option("maxFilesPerTrigger", max_files)
+        return r.load(path)
+
+    return _entries(reader("item", RSS_ITEM), reader("entry", ATOM_ENTRY), registry, streaming=True)

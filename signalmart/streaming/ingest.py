@@ -21,21 +21,28 @@ from ..operators import aggs, filters, joins
 from ..sources import sinks, state
 
 
-def stream_ingest(spark: SparkSession, folder: str, schema: T.StructType, as_of: str | None = None, max_files: int | None = None) -> DataFrame:
-    """Stream of candidate entries: link present, recent (when ``as_of``), keyword score >= threshold.
+def stream_ingest(spark: SparkSession, folder: str, schema: T.StructType, as_of: str | None = None, max_files: int | None = None, seen: DataFrame | None = None) -> DataFrame:
+    """Stream of candidate entries from Parquet files of entries (see ``stream_candidates``)."""
+    reader = spark.readStream.schema(schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return stream_candidates(reader.parquet(folder), as_of, seen)
+
+
+def stream_candidates(entries: DataFrame, as_of: str | None = None, seen: DataFrame | None = None) -> DataFrame:
+    """Candidate entries of an entry stream: link present, recent (when ``as_of``), keyword
+    score >= threshold, and not in the (static) seen cache when one is given.
 
     Adds ``article_id`` and ``ingest_ts`` (processing time; the TTL watermark
     runs on it, as the cache TTL counts from processing, not publication).
     """
-    reader = spark.readStream.schema(schema)
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    e = reader.parquet(folder)
-    e = filters.filter_has_link(e).withColumn("article_id", urls.url_hash("link"))
+    e = filters.filter_has_link(entries).withColumn("article_id", urls.url_hash("link"))
     if as_of:
         e = filters.filter_recent(e, as_of)
     e = e.withColumn("score", text.relevance_score("title", "summary"))
     e = filters.filter_relevance(e)
+    if seen is not None:
+        e = joins.anti_seen(e, seen)  # stream-static anti-join
     return e.withColumn("ingest_ts", F.current_timestamp())
 
 

@@ -62,3 +62,27 @@ def test_foreach_batch_fold_is_exactly_once(spark, tmp_dir):
     fold(arts, 1)  # a new batch adds
     m3 = {(r.source, r.target): r.weight for r in state.read_latest(spark, paths.matrix, schemas.MATRIX).collect()}
     assert all(abs(m3[k] - 2 * m1[k]) < 1e-9 for k in m1)
+
+
+def test_stream_feed_xml_matches_batch_scan(spark, tmp_dir):
+    import os
+
+    from signalmart.sources import feeds
+
+    from .test_feed_processor import ATOM, RSS
+
+    folder = f"{tmp_dir}/feeds"
+    os.makedirs(folder)
+    for name, body in (("alpha", RSS), ("beta", ATOM)):
+        with open(f"{folder}/{name}.xml", "w") as f:
+            f.write(body)
+    seen = spark.createDataFrame([("https://b.org/1",)], "url string").selectExpr("md5(url) AS article_id")
+    s = ingest.stream_candidates(feeds.stream_feeds_xml(spark, folder), AS_OF, seen)
+    q = (
+        s.select("source", "title").writeStream.format("memory").queryName("xml_out")
+        .option("checkpointLocation", f"{tmp_dir}/ckx").trigger(availableNow=True).start()
+    )
+    q.awaitTermination(300)
+    got = sorted(tuple(r) for r in spark.sql("SELECT source, title FROM xml_out").collect())
+    batch = monthly.keyword_candidates(feeds.scan_feeds_xml(spark, folder), AS_OF, seen)
+    assert got == sorted((r.source, r.title) for r in batch.collect()) == [("alpha", "6G news")]
