@@ -2,8 +2,9 @@
 
 Lookups against fixed dimension tables (source languages, region aliases) are
 broadcast: their size is set by ``dims``.  Lookups against data-sized tables
-(seen cache, profiles, prior state) are plain equi-joins that Spark plans from
-statistics (sort-merge or shuffled hash); AQE splits skewed partitions.
+(seen cache, profiles, prior state) are plain equi-joins: sort-merge by
+default, turned into broadcasts by AQE only once the build side's measured
+size is small; AQE also splits skewed partitions.
 Upserts without a MERGE-capable table format are written as union + a
 keyed ``max_by`` aggregate, which pre-aggregates in every task and so stays
 safe when one key is hot.
@@ -100,11 +101,12 @@ def append_snapshot_if_absent(history: DataFrame, snapshot: DataFrame, key: str
 def fallback_if_empty(primary: DataFrame, fallback: DataFrame, primary_tag: str = "live", fallback_tag: str = "cached", tag: str = "data_source") -> DataFrame:
     """Primary rows if there are any, else the fallback rows; tagged with their origin.
 
-    Lazy: the fallback side is anti-joined with at most one primary row (a
-    one-row build side), so no count action runs on the driver.
+    Lazy and join-free: "is there a primary row?" is a scalar subquery over
+    ``primary.limit(1)`` (Spark runs it once, reading at most one row), and the
+    fallback rows are kept only when it is 0.  No action runs on the driver.
     """
-    probe = primary.limit(1).select(F.lit(1).alias("_any"))
-    fb = fallback.join(probe, F.lit(True), "left_anti")
+    has_primary = primary.limit(1).agg(F.count(F.lit(1)).alias("n")).scalar()
+    fb = fallback.where(has_primary == 0)
     return primary.withColumn(tag, F.lit(primary_tag)).unionByName(fb.withColumn(tag, F.lit(fallback_tag)))
 
 
