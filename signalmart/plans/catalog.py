@@ -821,3 +821,21 @@ def json_list_or_items(spark, sf_dir):
     ev = _fx(spark, sf_dir).table("events")
     res = ev.select(F.col("user_id").alias("call_id"), F.col("event_id").alias("ord"), F.col("props").alias("text"))
     return standards.json_list_or_items(res).select("call_id", "ord", "pos", "item")
+
+
+@query
+def standards_bundle(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    b = standards.standards_bundle(_tool_totals(fx), _meetings(fx), AS_OF)
+    p = F.col("release_21_progress")
+    return b.select(
+        p.getField("total_work_items").alias("total_work_items"),
+        p.getField("completed").alias("completed"),
+        p.getField("in_progress").alias("in_progress"),
+        p.getField("postponed").alias("postponed"),
+        p.getField("progress_percentage").alias("progress_percentage"),
+        p.getField("last_updated").alias("last_updated"),
+        p.getField("data_source").alias("data_source"),
+        F.size(F.map_keys(p.getField("work_items_by_group"))).alias("n_groups"),
+        F.array_join(F.array_sort(F.transform("recent_meetings", lambda m: m.getField("meeting_id"))), ",").alias("meeting_ids"),
+    )

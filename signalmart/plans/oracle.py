@@ -689,3 +689,19 @@ FROM documents""",
         "json_list_or_items": with_() + "SELECT user_id AS call_id, event_id AS ord, 0 AS pos, CAST(json(props) AS VARCHAR) AS item FROM events",
     }
 )
+
+ORACLE["standards_bundle"] = (
+    with_(
+        """top_meet AS (SELECT meeting_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY working_group ORDER BY date DESC, meeting_id DESC) AS rn FROM fx_meetings2) WHERE rn <= 3)"""
+    )
+    + """SELECT coalesce(max(total) FILTER (WHERE level = 'total'), 0) AS total_work_items,
+  coalesce(max(completed) FILTER (WHERE level = 'total'), 0) AS completed,
+  coalesce(max(in_progress) FILTER (WHERE level = 'total'), 0) AS in_progress,
+  coalesce(max(postponed) FILTER (WHERE level = 'total'), 0) AS postponed,
+  coalesce(max(progress) FILTER (WHERE level = 'total'), 0.0) AS progress_percentage,
+  '2024-06-30' AS last_updated, 'live' AS data_source,
+  CAST(count(*) FILTER (WHERE level = 'group') AS INTEGER) AS n_groups,
+  (SELECT string_agg(meeting_id, ',' ORDER BY meeting_id) FROM top_meet) AS meeting_ids
+FROM fx_totals2"""
+)
