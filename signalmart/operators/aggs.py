@@ -36,6 +36,18 @@ def exact_sum(x) -> Column:
     return F.sum(F.rint(_c(x) * F.lit(EXACT_SCALE)).cast("long")).cast("double") / F.lit(EXACT_SCALE)
 
 
+def exact_units(x) -> Column:
+    """Per-row term of ``exact_sum`` as an integer count of 1e-6 units (for sums taken in two levels)."""
+    return F.rint(_c(x) * F.lit(EXACT_SCALE)).cast("long")
+
+
+def mean_of_units(num_units, den_units, digits: int = 2) -> Column:
+    """Finalize a weighted mean from summed ``exact_units``: round(num/den, digits), 0 when den is 0."""
+    num = _c(num_units).cast("double") / F.lit(EXACT_SCALE)
+    den = _c(den_units).cast("double") / F.lit(EXACT_SCALE)
+    return F.coalesce(scalars.py_round(F.try_divide(num, F.when(den != 0, den)), digits), F.lit(0.0))
+
+
 def weighted_mean(value, weight, digits: int = 2) -> Column:
     """round(sum(v*w)/sum(w), digits); 0 when the weights sum to 0 (Python would divide by zero)."""
     num = exact_sum(_c(value) * _c(weight))

@@ -706,16 +706,12 @@ def q_emerging_concepts(spark, sf_dir):
 
 @query
 def momentum_star(spark, sf_dir):
-    fx = _fx(spark, sf_dir)
-    arts, regions = monthly.star_articles(fx)
-    return aggs.momentum(arts, regions=regions, normalize=False)
+    return monthly.star_momentum(_fx(spark, sf_dir))
 
 
 @query
 def influence_star(spark, sf_dir):
-    fx = _fx(spark, sf_dir)
-    arts, regions = monthly.star_articles(fx)
-    return aggs.influence_matrix(arts, regions=regions, normalize=False)
+    return monthly.star_influence(_fx(spark, sf_dir))
 
 
 # ---------------------------------------------------------------------------

@@ -112,44 +112,71 @@ def digest_lines(kept: DataFrame, existing_links: DataFrame, run_date: str, exis
     return hdr.unionByName(art.withColumn("entry_ord", F.col("entry_ord").cast("long")))
 
 
-def star_articles(fx) -> tuple[DataFrame, list[str]]:
-    """Lineitem-sized M2 rows over the star schema, for scale runs of momentum / matrix.
-
-    source region = supplier's region, target = customer's region, quarter of
-    the order date, importance = quantity, integer-valued impact dimensions.
-    nation / region are fixed-size dimension tables (25 / 5 rows), broadcast;
-    lineitem x orders x customer x supplier are planned from statistics.
-    """
-    li = fx.table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
-    o = fx.table("orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    c = fx.table("customer").select("c_custkey", "c_nationkey")
-    s = fx.table("supplier").select("s_suppkey", "s_nationkey")
+def _star_dims(fx):
+    li = fx.table("lineitem")
+    o = fx.table("orders")
     geo = F.broadcast(
         fx.table("nation").join(F.broadcast(fx.table("region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
     )
-    sup = s.join(geo, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("r_name").alias("supp_region"))
-    cus = c.join(geo, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("r_name").alias("cust_region"))
-    rows = (
-        li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(cus, F.col("o_custkey") == F.col("c_custkey"))
-        .join(sup, F.col("l_suppkey") == F.col("s_suppkey"))
-    )
-    dvals = {
+    sup = fx.table("supplier").join(geo, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("r_name").alias("supp_region"))
+    cus = fx.table("customer").join(geo, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("r_name").alias("cust_region"))
+    return li, o, sup, cus
+
+
+def star_momentum(fx) -> DataFrame:
+    """``momentum`` over the star schema with aggregation pushed below the joins.
+
+    Same result as ``aggs.momentum(star_articles(fx))`` (exact integer sums
+    are associative), but lineitem is shuffled once (joined with orders on the
+    order key for the quarter), then pre-aggregated per (supplier, quarter)
+    before the supplier-region join and the final per-(region, quarter) sums.
+    """
+    li, o, sup, _ = _star_dims(fx)
+    rows = li.join(o.select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+    dv = {
         "research_intensity": F.col("l_linenumber").cast("double"),
         "standardization_influence": (F.col("l_quantity") % 6).cast("double"),
         "industrial_deployment": (F.col("l_partkey") % 6).cast("double"),
         "spectrum_policy_signal": (F.col("l_suppkey") % 6).cast("double"),
         "ecosystem_maturity": (F.col("l_orderkey") % 6).cast("double"),
     }
-    ai = F.struct(
-        F.lit(True).alias("is_6g_relevant"),
-        F.col("supp_region").alias("source_region"),
-        F.col("l_quantity").alias("overall_6g_importance"),
-        F.create_map(*[x for k in dims.DIMENSIONS for x in (F.lit(k), dvals[k])]).alias("impact_dimensions"),
-        F.create_map(F.col("cust_region"), F.lit(1.0)).alias("world_power_impact"),
+    w = F.col("l_quantity")
+    m = sum((dv[k] for k in dims.DIMENSIONS), F.lit(0.0)) / F.lit(float(len(dims.DIMENSIONS)))
+    per_row = rows.select(
+        "l_suppkey",
+        scalars.quarter_label(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("time_window"),
+        aggs.exact_units(w).alias("w_u"),
+        aggs.exact_units(m * w).alias("m_u"),
+        *[aggs.exact_units(dv[k] * w).alias(f"{k}_u") for k in dims.DIMENSIONS],
+    )
+    cols = ["w_u", "m_u"] + [f"{k}_u" for k in dims.DIMENSIONS]
+    pre = per_row.groupBy("l_suppkey", "time_window").agg(*[F.sum(c).alias(c) for c in cols])
+    per_region = pre.join(sup, F.col("l_suppkey") == F.col("s_suppkey")).where(F.col("supp_region").isin(TPCH_REGIONS))
+    g = per_region.groupBy(F.col("supp_region").alias("region"), "time_window").agg(*[F.sum(c).alias(c) for c in cols])
+    return g.select(
+        "region",
+        "time_window",
+        aggs.mean_of_units("m_u", "w_u").alias("momentum_score"),
+        *[aggs.mean_of_units(f"{k}_u", "w_u").alias(k) for k in dims.DIMENSIONS],
+    )
+
+
+def star_influence(fx) -> DataFrame:
+    """``influence_matrix`` over the star schema with aggregation pushed below the joins.
+
+    orders get their customer region first (one orders-sized shuffle);
+    lineitem is shuffled once to join them, then pre-aggregated per
+    (supplier, customer region) before the supplier-region join.
+    """
+    li, o, sup, cus = _star_dims(fx)
+    orders = o.join(cus, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "cust_region")
+    rows = li.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).where(F.col("cust_region").isin(TPCH_REGIONS))
+    pre = rows.groupBy("l_suppkey", "cust_region").agg(F.sum(aggs.exact_units(F.lit(1.0) * F.col("l_quantity"))).alias("u"))
+    pairs = pre.join(sup, F.col("l_suppkey") == F.col("s_suppkey")).where(F.col("supp_region").isin(TPCH_REGIONS))
+    sums = pairs.groupBy(F.col("supp_region").alias("source"), F.col("cust_region").alias("target")).agg(
+        (F.sum("u").cast("double") / F.lit(aggs.EXACT_SCALE)).alias("weight")
     )
-    arts = rows.select(ai.alias("ai_insights"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"))
-    return arts, TPCH_REGIONS
+    return aggs.matrix_densify(sums, TPCH_REGIONS)
 
 
 # FIXED VALUES: the five region names of the TPC-H region table.
