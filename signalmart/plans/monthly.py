@@ -126,10 +126,13 @@ def _star_dims(fx):
 def star_momentum(fx) -> DataFrame:
     """``momentum`` over the star schema with aggregation pushed below the joins.
 
-    Same result as ``aggs.momentum(star_articles(fx))`` (exact integer sums
-    are associative), but lineitem is shuffled once (joined with orders on the
-    order key for the quarter), then pre-aggregated per (supplier, quarter)
-    before the supplier-region join and the final per-(region, quarter) sums.
+    Source region = the supplier's region, quarter of the order date, weight =
+    quantity, five integer-valued dimensions from lineitem columns.  Same
+    result as building one profile row per lineitem and calling
+    ``aggs.momentum`` (exact integer sums are associative), but lineitem is
+    shuffled once (joined with orders on the order key for the quarter), then
+    pre-aggregated per (supplier, quarter) before the supplier-region join
+    and the final per-(region, quarter) sums.
     """
     li, o, sup, _ = _star_dims(fx)
     rows = li.join(o.select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
