@@ -38,6 +38,7 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from signalmart.llm.common import map_batches
 
@@ -291,8 +292,9 @@ def _per_worker(tokens: Broadcast, pattern: str) -> tuple[Encoder, Decoder]:
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str = DEFAULT_PATTERN, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``docs`` with ``ids_col``, an array of token ids, appended."""
+    """``docs`` with ``ids_col``, an array of token ids, appended (a column of that name is replaced)."""
     tokens = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    docs = docs.drop(ids_col)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,13 +305,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str = DEFAULT_PATTERN, tex
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<u4").astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*names, ids_col])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"`{ids_col}` array<int>"])
-    return map_batches(docs, run, schema)
+    return map_batches(docs, run, T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(docs: DataFrame, ranks_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """``docs`` with ``text_col``, the text of an array of token ids (null: no ids), appended."""
+    """``docs`` with ``text_col``, the text of an array of token ids (null: no ids), appended (a column of that name is replaced)."""
     tokens = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    docs = docs.drop(text_col)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,8 +320,7 @@ def decode(docs: DataFrame, ranks_path: str, ids_col: str = "ids", text_col: str
             texts = [decoder.text(np.array(ids if ids is not None else [], np.int64)) for ids in batch.column(names.index(ids_col)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, text_col])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"`{text_col}` string"])
-    return map_batches(docs, run, schema)
+    return map_batches(docs, run, T.StructType([*docs.schema.fields, T.StructField(text_col, T.StringType())]))
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str = DEFAULT_PATTERN, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

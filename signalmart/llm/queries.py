@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalmart.llm import bpe, simhash
+from signalmart.llm import bpe, quality, simhash
 from signalmart.llm.common import read_table
 
 
@@ -21,8 +21,14 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learn quality from the labels that aren't held out; score every whole text of ``documents``."""
+    return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op10_quality": op10_quality,
 }
 ORACLE: dict[str, str] = {}
