@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalmart.llm import bpe, quality, simhash
+from signalmart.llm import bpe, decontaminate, quality, simhash
 from signalmart.llm.common import read_table
 
 
@@ -15,6 +15,20 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 13 words of every ``benchmark`` item, looked for in every whole text of ``documents``."""
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = decontaminate.find_phrases(docs, read_table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.select(
+        "doc_id",
+        F.col("found.n_words").alias("n_words"),
+        F.col("found.n_hit").alias("n_hit"),
+        F.size("found.items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", F.array_sort("found.items")), 256).alias("items_sha256"),
+        decontaminate.contaminated().alias("contaminated"),
+    )
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, at most two differing bits, over whole ``documents``."""
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, max_distance=2)
@@ -28,6 +42,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op4_decontaminate": op4_decontaminate,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op10_quality": op10_quality,
 }
