@@ -69,3 +69,8 @@ def ascii_lower(col: Column) -> Column:
 
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def small_side(table: DataFrame, max_rows: int = 400_000) -> DataFrame:
+    """Hint a broadcast for a narrow table in files, if its counted rows are few enough; otherwise leave it to a shuffle."""
+    return F.broadcast(table) if table.count() <= max_rows else table

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalmart.llm import bpe, decontaminate, quality, simhash
+from signalmart.llm import bpe, decontaminate, line_dedup, quality, simhash
 from signalmart.llm.common import read_table
 
 
@@ -15,6 +15,45 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of whole ``documents`` with Jaccard similarity 0.8 to an earlier one go; what is left of each text."""
+    return line_dedup.summary(read_table(spark, sf_dir, "documents"), threshold=0.8, min_tokens=5)
+
+
+OP2_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents
+), sets AS (
+  SELECT doc_id, place, line, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(line), '[ \t\n\x0B\f\r]+'), lambda x: x <> ''))) AS words FROM lines
+), judged AS (
+  SELECT words, len(words) AS n, min((doc_id, place)) AS first FROM sets WHERE len(words) >= 5 GROUP BY words
+), numbered AS (
+  SELECT *, row_number() OVER (ORDER BY first) AS id FROM judged
+), tokens AS (
+  SELECT id, n, unnest(words) AS word FROM numbered
+), freq AS (
+  SELECT word, count(*) AS f FROM tokens GROUP BY word
+), ranked AS (
+  SELECT id, n, word, row_number() OVER (PARTITION BY id ORDER BY f, word) AS pos FROM tokens JOIN freq USING (word)
+), heads AS (
+  SELECT * FROM ranked WHERE pos <= n - ceil(0.8 * n) + 1
+), pairs AS (
+  SELECT DISTINCT a.id AS later, b.id AS earlier FROM heads a JOIN heads b ON a.word = b.word AND b.id < a.id AND least(a.n, b.n) * 5 >= greatest(a.n, b.n) * 4
+), similar_to AS (
+  SELECT DISTINCT later AS id FROM (
+    SELECT later, x.n + y.n AS both_n, len(list_intersect(x.words, y.words)) AS o
+    FROM pairs JOIN numbered x ON x.id = later JOIN numbered y ON y.id = earlier
+  ) WHERE 5 * o >= 4 * (both_n - o)
+), verdict AS (
+  SELECT s.doc_id, s.place, s.line, m.id IS NOT NULL AND ((s.doc_id, s.place) <> m.first OR v.id IS NOT NULL) AS removed
+  FROM sets s LEFT JOIN numbered m ON s.words = m.words LEFT JOIN similar_to v ON v.id = m.id
+)
+SELECT d.doc_id, coalesce(count(place), 0)::BIGINT AS n_lines, coalesce(sum(removed::INT), 0)::BIGINT AS n_removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT removed), '')) AS kept_sha256
+FROM documents d LEFT JOIN verdict v ON v.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 13 words of every ``benchmark`` item, looked for in every whole text of ``documents``."""
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -42,8 +81,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_line_dedup": op2_line_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op10_quality": op10_quality,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_line_dedup": OP2_SQL,
+}
