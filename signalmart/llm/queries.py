@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalmart.llm import bpe, decontaminate, line_dedup, quality, simhash
+from signalmart.llm import bpe, decontaminate, line_dedup, quality, simhash, token_files
 from signalmart.llm.common import read_table
 
 
@@ -68,6 +68,12 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode every whole text of ``documents``, write the files in doc_id order, read them back."""
+    files = token_files.write_files(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_files.read_files(files)
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, at most two differing bits, over whole ``documents``."""
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, max_distance=2)
@@ -83,6 +89,7 @@ QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_line_dedup": op2_line_dedup,
     "op4_decontaminate": op4_decontaminate,
+    "op7_token_files": op7_token_files,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op10_quality": op10_quality,
 }
