@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalmart.llm import bpe, decontaminate, line_dedup, quality, simhash, token_files
+from signalmart.llm import bpe, decontaminate, line_dedup, quality, sharding, simhash, token_files
 from signalmart.llm.common import read_table
 
 
@@ -54,6 +54,21 @@ FROM documents d LEFT JOIN verdict v ON v.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` into 24 shards whose row counts are at most one apart."""
+    dealt = sharding.assign(read_table(spark, sf_dir, "documents"), shards=24)
+    return dealt.select(
+        "doc_id",
+        (F.col("bytes") + 8).alias("size"),
+        F.col("crc32").alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+        "row",
+    )
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 13 words of every ``benchmark`` item, looked for in every whole text of ``documents``."""
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -88,6 +103,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_line_dedup": op2_line_dedup,
+    "op3_sharding": op3_sharding,
     "op4_decontaminate": op4_decontaminate,
     "op7_token_files": op7_token_files,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
