@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalmart.llm import bpe, decontaminate, line_dedup, quality, sharding, simhash, token_files
+from signalmart.llm import bpe, decontaminate, embedding_dedup, line_dedup, quality, sharding, simhash, token_files
 from signalmart.llm.common import read_table
 
 
@@ -83,6 +83,30 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of ``embeddings``, within equal labels, at cosine 0.98 or more."""
+    return embedding_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"), least=0.98)
+
+
+OP6_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) = len(list_filter(embedding, lambda x: isfinite(x))) AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+)
+SELECT e.vec_id, (SELECT count(*) FROM links WHERE a = e.vec_id)::BIGINT AS n_links,
+  (SELECT min(b) FROM reach WHERE a = e.vec_id) AS component_id,
+  e.vec_id = (SELECT min(b) FROM reach WHERE a = e.vec_id) AS kept
+FROM embeddings e
+"""
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every whole text of ``documents``, write the files in doc_id order, read them back."""
     files = token_files.write_files(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
@@ -105,10 +129,12 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_sharding": op3_sharding,
     "op4_decontaminate": op4_decontaminate,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_token_files": op7_token_files,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op10_quality": op10_quality,
 }
 ORACLE: dict[str, str] = {
     "op2_line_dedup": OP2_SQL,
+    "op6_embedding_near_dedup": OP6_SQL,
 }
