@@ -42,6 +42,7 @@ from signalmart.llm.components import connected_components
 BLOCK = 4096
 MAX_CENTRES = 1024
 LEAF = 64
+GATHERS = 8
 # Rounding of a dot product moves a small distance by about 1e-8.
 SLACK = 1e-6
 
@@ -72,9 +73,12 @@ class CoverTree:
                 waiting.extend(node.children)
 
     def _split(self, node: Node) -> list[Node]:
+        """Its children; none where half the radius would gather fewer than ``GATHERS`` vectors a child."""
         reach, children = node.radius / 2, []
         left = np.concatenate(([node.centre], node.members[node.members != node.centre]))  # nested: the centre stays one
         while len(left):
+            if len(children) * GATHERS > len(node.members):
+                return []
             centre = int(left[0])
             away = distances(self.points[left] @ self.points[centre])
             away[0] = 0.0
@@ -146,12 +150,14 @@ def dual_traversal(points: np.ndarray, weights: np.ndarray, split: int, least: f
     while stack:
         a, b = stack.pop()
         if not a.children and not b.children:
-            own, other = a.members, b.members + shift
-            close = points[own] @ points[other].T >= least
-            if not split:
-                close &= own[:, None] != other[None, :]
-            if close.any():
-                links.add(own, other, close, both)
+            other = b.members + shift
+            for begin in range(0, len(a.members), 512):
+                own = a.members[begin : begin + 512]
+                close = points[own] @ points[other].T >= least
+                if not split:
+                    close &= own[:, None] != other[None, :]
+                if close.any():
+                    links.add(own, other, close, both)
             continue
         mine, others = a.children or [a], b.children or [b]
         radius_a, radius_b = (np.array([n.radius for n in side]) for side in (mine, others))
