@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalmart.llm import bpe, decontaminate, embedding_dedup, line_dedup, quality, sharding, simhash, token_files
+from signalmart.llm import bpe, chat, decontaminate, embedding_dedup, line_dedup, quality, secret_scan, sharding, simhash, token_files
 from signalmart.llm.common import read_table
 
 
@@ -83,6 +83,17 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text of ``documents``: the base kinds and linked multipart credentials."""
+    found = secret_scan.find_secrets(read_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *(secret_scan.count_of("base", kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")),
+        F.sha2(secret_scan.listed("base"), 256).alias("base_sha256"),
+        secret_scan.listed("spans").alias("spans"),
+    )
+
+
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rows of ``embeddings``, within equal labels, at cosine 0.98 or more."""
     return embedding_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"), least=0.98)
@@ -119,6 +130,30 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal conversations of the whole ``conversations``, rendered."""
+    return chat.format_chats(read_table(spark, sf_dir, "conversations"))
+
+
+OP9_SQL = """
+WITH placed AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place, role, text
+  FROM conversations WHERE conv_id IS NOT NULL
+), whole AS (
+  SELECT conv_id, list({'r': role, 't': text} ORDER BY place) AS turns FROM placed GROUP BY conv_id
+), distinct_whole AS (
+  SELECT min(conv_id) AS conv_id, turns FROM whole GROUP BY turns
+), prefixes AS (
+  SELECT DISTINCT turns[1:n] AS turns FROM (SELECT turns, unnest(range(1, len(turns))) AS n FROM distinct_whole)
+), kept AS (
+  SELECT conv_id FROM distinct_whole w WHERE NOT EXISTS (SELECT 1 FROM prefixes p WHERE p.turns = w.turns)
+)
+SELECT conv_id, ((place - 1) // 256)::INT AS part, count(*)::BIGINT AS n_turns,
+  string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY place) AS rendered
+FROM placed JOIN kept USING (conv_id) GROUP BY 1, 2
+"""
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learn quality from the labels that aren't held out; score every whole text of ``documents``."""
     return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
@@ -129,12 +164,15 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_sharding": op3_sharding,
     "op4_decontaminate": op4_decontaminate,
+    "op5_secret_scan": op5_secret_scan,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_token_files": op7_token_files,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_chat_format": op9_chat_format,
     "op10_quality": op10_quality,
 }
 ORACLE: dict[str, str] = {
     "op2_line_dedup": OP2_SQL,
     "op6_embedding_near_dedup": OP6_SQL,
+    "op9_chat_format": OP9_SQL,
 }

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalmart.llm.common import map_batches, shared_table
+from signalmart.llm.common import map_batches, shared_table, small_side
 from signalmart.llm.components import connected_components
 
 SEED = 42
@@ -137,7 +137,7 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_distance: int = 2, text_col:
     rows with a null id stay, once, only if their class has no other id.
     """
     classes = shared_table(near_duplicates(docs, shingle, max_distance, text_col, id_col), "classes")
-    gone = classes.filter("doc_id is distinct from component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = small_side(shared_table(classes.filter("doc_id is distinct from component_id").select(F.col("doc_id").alias("__gone")).distinct(), "copies"))
     kept = docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
     if classes.filter("doc_id is not distinct from component_id").groupBy("doc_id").count().filter("count > 1").isEmpty():
         return kept
