@@ -8,10 +8,10 @@ to 3-grams are hashed into ``2 ** bits`` buckets; a bucket's value is
 log(1 + count), and the vector is scaled to length 1.  Bucket 0 is the bias.
 
 **Training.**  FTRL-Proximal keeps, per bucket, the sums z and n and derives the
-weight from them.  The labelled rows are dealt by a hash of their id over
-``shards``; each shard's task makes ``epochs`` passes over its rows, and the
-weights are the mean over shards (exact decimal sums, so no order matters).  At
-most ``max_train_rows`` labelled rows are used, those with the smallest id
+weight from them.  The labelled rows are dealt by a hash of their id over shards
+of about ``shard_rows``; each shard's task makes as many passes over its rows as give
+``min_updates`` updates over all shards (three at the full ``max_train_rows``), and the weights
+are the mean over shards (exact decimal sums, so no order matters).  At most ``max_train_rows`` labelled rows are used, those with the smallest id
 hashes: a documented bound, chosen before any text is read.  Labels 0 and 1
 count; a row's other labels are ignored, and of several labels of one id the
 smallest holds.  Nothing but texts and labels enters.
@@ -39,15 +39,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalmart.llm.common import map_batches
+from signalmart.llm.common import map_batches, shared_table
 
 
 @dataclass(frozen=True)
 class Settings:
     bits: int = 18
     max_train_rows: int = 20_000
-    shards: int = 8
-    epochs: int = 3
+    shard_rows: int = 2_500
+    min_updates: int = 60_000
     alpha: float = 0.5
     beta: float = 1.0
     l1: float = 0.02
@@ -126,24 +126,27 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), t
     """The weights by bucket, learned from labelled rows that aren't held out."""
     usable = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).cast("int").alias("label"))
     chosen = usable.orderBy(F.xxhash64("__id"), "__id").limit(settings.max_train_rows)
+    chosen = shared_table(chosen, "training-labels")
+    n_rows = max(1, chosen.count())
+    shards, passes = -(-n_rows // settings.shard_rows), -(-settings.min_updates // n_rows)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "__id")
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         model, words = Ftrl(settings), Words()
         rows = rows.assign(order=[zlib.crc32(str(i).encode()) for i in rows["id"]]).sort_values(["order", "id", "text"], kind="stable", na_position="first")
         examples = [(*features(t, words, settings.bits), y) for t, y in zip(rows["text"], rows["label"])]
-        for _ in range(settings.epochs):
+        for _ in range(passes):
             for bucket, value, label in examples:
                 model.update(bucket, value, label)
         weights = model.weights()
         found = np.flatnonzero(weights)
         return pd.DataFrame({"bucket": found, "weight": weights[found]})
 
-    dealt = rows.select(F.col("__id").cast("long").alias("id"), "text", "label", F.pmod(F.xxhash64("__id"), F.lit(settings.shards)).alias("shard"))
+    dealt = rows.select(F.col("__id").cast("long").alias("id"), "text", "label", F.pmod(F.xxhash64("__id"), F.lit(shards)).alias("shard"))
     fitted = dealt.groupBy("shard").applyInPandas(lambda pdf: fit(pdf).assign(shard=int(pdf["shard"].iloc[0])), "bucket long, weight double, shard long")
     sums = fitted.groupBy("bucket").agg(F.sum(F.col("weight").cast("decimal(28,14)")).cast("double").alias("total")).toPandas()
     weights = np.zeros(1 << settings.bits, np.float64)
-    weights[sums["bucket"].to_numpy(np.int64)] = sums["total"].to_numpy(np.float64) / settings.shards
+    weights[sums["bucket"].to_numpy(np.int64)] = sums["total"].to_numpy(np.float64) / shards
     return weights
 
 
