@@ -335,6 +335,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str = DEFAULT_PATTERN,
         for batch in batches:
             counts, ids_sha, decoded_sha, exact = [], [], [], []
             for text in batch.column(1).to_pylist():
+                text = text or ""
                 packed, back, at, same = encoder.packed(text), hashlib.sha256(), 0, True
                 for block in decoder.stream(np.frombuffer(packed, "<u4")):
                     back.update(block.encode("utf-8"))
@@ -343,7 +344,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str = DEFAULT_PATTERN,
                 counts.append(len(packed) // 4)
                 ids_sha.append(hashlib.sha256(packed).hexdigest())
                 decoded_sha.append(back.hexdigest())
-                exact.append(same and at == len(text or ""))
+                exact.append(same and at == len(text))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(decoded_sha), pa.array(exact)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "exact"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
