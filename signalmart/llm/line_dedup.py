@@ -5,23 +5,25 @@ at least ``min_tokens``.  It is removed if any earlier line has Jaccard
 similarity of at least ``threshold`` with it, whether that one is itself removed
 or not.  Lines are ordered by (doc_id, text hash, place in the text).
 
-1. Rarity: every word of the corpus is counted in one of 65,536 hash buckets;
-   a token is its hash with the bucket replaced by the bucket's place from
-   rare to frequent, so sorting tokens sorts them by rarity.  (Any total order
-   keeps the filters exact; this one has a fixed size.)
+1. Rarity: every word of the corpus is counted in one of 2**18 hash buckets, and
+   the buckets' sizes are kept as 16 classes by powers of two.
+   A token is its word's hash below the class of its bucket, so sorting tokens
+   sorts them by rarity.  (Any total order keeps the filters exact; this one
+   has a fixed size and travels as a constant.)
 2. Lines with equal token sets collapse to the earliest; the others go.
 3. Prefix filter: similar sets share one of their first n - ceil(t n) + 1
    tokens.  Rows (token, line) meet by token; length, positional and bitmap
-   filters bound the overlap from above, and pairs that stay are verified on
-   the whole token sets, tokenised anew from the texts.
+   filters bound the overlap from above, as do a pair's number of shared prefix
+   tokens and a quarter of its words; pairs that stay are verified on the
+   whole token sets, tokenised anew from the texts.
 4. First each line is compared with the earliest line of each of its tokens,
    which is linear; only lines without a match there enter the full join, so
-   large groups of near-equal lines aren't compared pair by pair.  Tokens in
-   the ``HOT`` fullest buckets are dealt over ``PARTS`` parts there (any other
-   token has at most 1/HOT of all words); the full join is an equi-join that
-   adaptive execution can split.
+   large groups of near-equal lines aren't compared pair by pair.  Tokens of
+   the classes from ``HOT_CLASS`` are dealt over ``PARTS`` parts there (any
+   other bucket has at most 1/1024 of all words); the full join is an equi-join
+   that adaptive execution can split.
 
-Tokens are 63-bit hashes of words; two words of one pair of lines sharing a
+Tokens are 63-bit hashes of words (59 bits and a class), verified on 64 bits; two words of one pair of lines sharing a
 hash is the only way in which a result could differ from one on the words.
 
 Defined cases: null or empty texts have no lines; lines with too few words stay;
@@ -34,15 +36,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalmart.llm.common import shared_table, small_side
+from signalmart.llm.common import drop_shared, shared_table, small_side
+from signalmart.llm.sharding import row_numbers
 
 THRESHOLD = 0.8
 MIN_TOKENS = 5
-BUCKETS = 1 << 16
-HOT = 1024
+BUCKET_BITS = 18
+HOT_CLASS = 10
 PARTS = 64
-SPACE = r"[ \t\n\x0B\f\r]+"
-EDGE = " \t\x0b\f\r"
+OTHER_SPACE = "\t\x0b\f\r"
 LINE_BITS = 36
 
 
@@ -50,6 +52,17 @@ def _ceil_div(top: str, by: int) -> str:
     return f"(({top}) + {by - 1}) div {by}"
 
 
+def spaced(text: str = "text") -> Column:
+    """The lower-cased text with blanks for the other white space within lines."""
+    low = F.lower(F.col(text))
+    return F.when(low.rlike(f"[{OTHER_SPACE}]"), F.translate(low, OTHER_SPACE, " " * len(OTHER_SPACE))).otherwise(low)
+
+
+def word_hashes(line: str) -> Column:
+    """The different words of a line, as 64-bit hashes."""
+    return F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w)))
+
+
 def part_of(text: str = "text") -> Column:
     """The upper bits of a text's hash, which tell documents of one id apart."""
     return F.shiftrightunsigned(F.xxhash64(F.col(text)), LINE_BITS + 1)
@@ -61,48 +74,53 @@ def own_id(id_col: str = "doc_id") -> Column:
 
 
 def rarity(docs: DataFrame) -> Column:
-    """A constant array: for each hash bucket its place from rare to frequent among all words of ``docs``.
+    """A constant array: the class of each bucket of words of ``docs``.
 
-    The driver reads one row per bucket, so at most ``BUCKETS``.
+    Class c > 0 holds buckets with from 2**(c - 2) times the mean number of
+    words.  The driver reads 16 lists of buckets, 2**18 small integers in all.
     """
-    words = docs.select(F.explode(F.split(F.lower("text"), SPACE)).alias("word"))
-    counts = {r["bucket"]: r["count"] for r in words.groupBy(F.shiftrightunsigned(F.xxhash64("word"), 48).alias("bucket")).count().collect()}
-    order = sorted(range(BUCKETS), key=lambda bucket: (counts.get(bucket, 0), bucket))
-    places = [0] * BUCKETS
-    for place, bucket in enumerate(order):
-        places[bucket] = place
-    return F.split(F.lit(",".join(map(str, places))), ",").cast("array<int>")
-
-
-def tokenised(lines: DataFrame, ranks: Column, num: int, den: int, min_tokens: int) -> DataFrame:
+    words = docs.select(F.explode(F.split(spaced(), "\n")).alias("line")).select(F.explode(F.split("line", " ")).alias("word"))
+    counts = shared_table(words.groupBy(F.shiftrightunsigned(F.xxhash64("word"), 64 - BUCKET_BITS).cast("int").alias("bucket")).count(), "word-buckets")
+    total = counts.agg(F.sum("count")).first()[0] or 1
+    ratio = F.col("count") * float(1 << BUCKET_BITS) / float(total)
+    classed = counts.select("bucket", F.least(F.lit(15), F.greatest(F.lit(0), F.floor(F.log2(ratio)).cast("int") + 2)).alias("class"))
+    out = ["0"] * (1 << BUCKET_BITS)
+    for row in classed.filter("class > 0").groupBy("class").agg(F.collect_list("bucket").alias("buckets")).collect():
+        for bucket in row["buckets"]:
+            out[bucket] = str(row["class"])
+    drop_shared(counts)
+    return F.split(F.lit(",".join(out)), ",").cast("array<bigint>")
+
+
+def tokenised(lines: DataFrame, classes: Column, num: int, den: int, min_tokens: int) -> DataFrame:
     """Of rows with ``line``: number of tokens, set hash, bitmap and prefix (none where there are too few tokens).
 
-    A prefix token is a 31-bit hash of the token, negative if its bucket is hot;
-    such hashes only bring pairs together.  There is no filter here: pushed
-    down, it would tokenise every line twice.
+    A prefix token is a hash of the token, odd if its class is hot; such hashes
+    only bring pairs together.  The bitmap holds the odd tokens, about half,
+    which bounds differences better than all would.  There is no filter here:
+    pushed down, it would tokenise every line twice.
     """
-    hashed = F.transform(F.split(F.trim(F.lower("line"), F.lit(EDGE)), SPACE), lambda w: F.xxhash64(w))
-    relabelled = F.transform(
-        F.array_distinct(hashed),
-        lambda h: F.shiftleft(F.element_at(ranks, (F.shiftrightunsigned(h, 48) + 1).cast("int")).cast("long"), 47).bitwiseOR(h.bitwiseAND(F.lit((1 << 47) - 1))),
-    )
-    rows = lines.select("doc_id", "lkey", F.sort_array(relabelled).alias("keys"))
+
+    def token(h: Column) -> Column:
+        return F.shiftleft(F.get(classes, F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int")), 59).bitwiseOR(F.shiftrightunsigned(h, 5))
+
+    rows = lines.select("doc_id", "lkey", F.sort_array(F.transform(word_hashes("line"), token)).alias("keys"))
     return rows.select(
         "doc_id",
         "lkey",
         F.size("keys").alias("n"),
         F.xxhash64("keys").alias("sig"),
-        F.expr("aggregate(keys, 0L, (acc, k) -> acc | shiftleft(1L, cast(k & 63 as int)))").alias("bits"),
+        F.expr("aggregate(keys, 0L, (acc, k) -> acc | shiftleft(k & 1L, hash(k)))").alias("bits"),  # a shift takes its distance modulo 64
         F.expr(
             f"if(size(keys) < {min_tokens}, array(), transform(slice(keys, 1, cast(size(keys) - {_ceil_div(f'{num}L * size(keys)', den)} + 1 as int)),"
-            f" k -> if(shiftright(k, 47) >= {BUCKETS - HOT}, -1 - (hash(k) & 2147483647), hash(k) & 2147483647)))"
+            f" k -> if(k >= {HOT_CLASS << 59}L, hash(k) | 1, hash(k) & -2)))"
         ).alias("prefix"),
     )
 
 
 def exploded(docs: DataFrame) -> DataFrame:
     """(doc_id, lkey, line): lkey orders the lines of a doc_id, by text hash and then place."""
-    lines = docs.select("doc_id", part_of().alias("part"), F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    lines = docs.select("doc_id", part_of().alias("part"), F.posexplode(F.split(spaced(), "\n")).alias("place", "line"))
     return lines.select("doc_id", F.shiftleft("part", LINE_BITS).bitwiseOR(F.col("place").cast("long")).alias("lkey"), "line")
 
 
@@ -116,20 +134,27 @@ def _may_match(a: str, b: str, num: int, den: int) -> Column:
     )
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
-    """Of pairs (doc_id, lkey, p_doc, p_lkey), the lines (doc_id, lkey) similar to their partner."""
-    ends = pairs.select("doc_id", "lkey").union(pairs.select("p_doc", "p_lkey")).distinct()
-    wanted = ends.groupBy("doc_id", F.shiftright("lkey", LINE_BITS).alias("part")).agg(F.collect_set("lkey").alias("lkeys"))
-    wanted = small_side(shared_table(wanted, "wanted-lines"), 200_000)
-    keyed = docs.withColumn("part", part_of())
-    lines = keyed.join(wanted, ["doc_id", "part"]).select("doc_id", F.split("text", "\n").alias("lines"), F.explode("lkeys").alias("lkey")).select(
-        "doc_id", "lkey", F.element_at("lines", (F.col("lkey").bitwiseAND(F.lit((1 << LINE_BITS) - 1)) + 1).cast("int")).alias("line")
+def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, num: int, den: int, name: str) -> DataFrame:
+    """Of pairs of line numbers (lid, p_lid), the lids whose partner is similar; the pairs' table goes."""
+    ends = pairs.select("lid").union(pairs.select("p_lid")).distinct().join(firsts.select("lid", "doc_id", "lkey"), "lid")
+    wanted = ends.groupBy("doc_id", F.shiftright("lkey", LINE_BITS).alias("part")).agg(F.collect_list(F.struct("lid", "lkey")).alias("ends"))
+    wanted = shared_table(wanted, "wanted-lines")
+    keyed = docs.select("doc_id", part_of().alias("part"), F.split(spaced(), "\n").alias("lines"))  # before the join, so that a text is split once
+    lines = keyed.join(small_side(wanted, 200_000), ["doc_id", "part"]).select("lines", F.explode("ends").alias("end")).select(
+        "end.lid", F.element_at("lines", (F.col("end.lkey").bitwiseAND(F.lit((1 << LINE_BITS) - 1)) + 1).cast("int")).alias("line")
     )
-    sets = lines.select("doc_id", "lkey", F.array_distinct(F.transform(F.split(F.trim(F.lower("line"), F.lit(EDGE)), SPACE), lambda w: F.xxhash64(w))).alias("words"))
-    sets = shared_table(sets.dropDuplicates(["doc_id", "lkey"]), "line-words")
-    both = pairs.join(sets, ["doc_id", "lkey"]).join(sets.select(F.col("doc_id").alias("p_doc"), F.col("lkey").alias("p_lkey"), F.col("words").alias("p_words")), ["p_doc", "p_lkey"])
-    shared = both.select("doc_id", "lkey", F.size(F.array_intersect("words", "p_words")).alias("o"), (F.size("words") + F.size("p_words")).alias("both"))
-    return shared.filter(F.expr(f"o * {den} >= {num} * (both - o)")).select("doc_id", "lkey").distinct()
+    sets = shared_table(lines.select("lid", word_hashes("line").alias("words")).dropDuplicates(["lid"]).withColumn("sample", F.filter("words", lambda w: w.bitwiseAND(F.lit(3)) == 0)), "line-words")
+    # a quarter of the words bounds the overlap of most pairs well enough; only the rest carry all words
+    half = sets.select("lid", F.size("words").alias("n"), "sample")
+    near = pairs.join(half, "lid").join(half.select(*(F.col(c).alias(f"p_{c}") for c in half.columns)), "p_lid")
+    apart = F.size("sample") + F.size("p_sample") - 2 * F.size(F.array_intersect("sample", "p_sample"))
+    near = near.filter((F.col("n") + F.col("p_n") - apart) * (num + den) >= 2 * num * (F.col("n") + F.col("p_n"))).select("lid", "p_lid")
+    both = near.join(sets.select("lid", "words"), "lid").join(sets.select(F.col("lid").alias("p_lid"), F.col("words").alias("p_words")), "p_lid")
+    shared = both.select("lid", F.size(F.array_intersect("words", "p_words")).alias("o"), (F.size("words") + F.size("p_words")).alias("both"))
+    found = shared_table(shared.filter(F.expr(f"o * {den} >= {num} * (both - o)")).select("lid").distinct(), name)
+    for used in (pairs, wanted, sets):
+        drop_shared(used)
+    return found
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, min_tokens: int = MIN_TOKENS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -139,28 +164,33 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, min_tokens: int
     lines = shared_table(tokenised(exploded(docs), rarity(docs), num, den, min_tokens), "lines").filter(F.col("n") >= min_tokens)
     firsts = lines.groupBy("sig").agg(F.min(F.struct("doc_id", "lkey")).alias("first"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits"), F.any_value("prefix").alias("prefix"))
     firsts = shared_table(firsts.select("sig", "first.doc_id", "first.lkey", "n", "bits", "prefix"), "first-lines")
+    # numbered in order, so that a line is one number in the rows that meet by token
+    firsts = row_numbers(firsts, ["doc_id", "lkey"]).withColumnRenamed("row", "lid")
 
-    rows = firsts.select("doc_id", "lkey", "n", "bits", F.posexplode("prefix").alias("pos", "token"))
-    rows = rows.withColumn("deal", F.when(F.col("token") < 0, F.pmod(F.hash("doc_id", "lkey"), F.lit(PARTS)) + 1).otherwise(0))
+    rows = firsts.select("lid", "n", "bits", F.posexplode("prefix").alias("pos", "token"))
+    rows = rows.withColumn("deal", F.when(F.col("token").bitwiseAND(F.lit(1)) == 1, F.pmod(F.hash("lid"), F.lit(PARTS)) + 1).otherwise(0))
     group = Window.partitionBy("token", "deal")
-    lead = F.first(F.struct("doc_id", "lkey", "n", "pos", "bits")).over(group.orderBy("doc_id", "lkey"))
+    lead = F.first(F.struct("lid", "n", "pos", "bits")).over(group.orderBy("lid"))
     rows = rows.select("*", lead.alias("p"), F.count(F.lit(1)).over(group).alias("rows")).filter("rows > 1 or deal > 0")
-    other = F.expr("doc_id <> p.doc_id or lkey <> p.lkey")
-    close = other & _may_match("", "p.", num, den)
-    rows = shared_table(rows.select("token", "doc_id", "lkey", "n", "pos", "bits", F.when(close, F.col("p.doc_id")).alias("p_doc"), F.when(close, F.col("p.lkey")).alias("p_lkey")), "prefixes")
-
-    with_first = shared_table(rows.filter("p_lkey is not null").select("doc_id", "lkey", "p_doc", "p_lkey").distinct(), "pairs-with-first")
-    gone = shared_table(_verified(with_first, docs, num, den), "similar-to-first")
-
-    left = rows.join(small_side(gone), ["doc_id", "lkey"], "left_anti").select("token", "doc_id", "lkey", "n", "pos", "bits")
-    earlier = rows.select(F.col("token").alias("p_token"), *(F.col(c).alias(f"p_{c}") for c in ("doc_id", "lkey", "n", "pos", "bits")))
-    before = F.expr("p_doc_id < doc_id or (p_doc_id = doc_id and p_lkey < lkey)")
-    found = left.join(earlier, (F.col("token") == F.col("p_token")) & before & _may_match("", "p_", num, den))
-    rest = shared_table(found.select("doc_id", "lkey", F.col("p_doc_id").alias("p_doc"), "p_lkey").distinct(), "pairs")
-    more = shared_table(_verified(rest, docs, num, den), "similar")
+    close = (F.col("lid") != F.col("p.lid")) & _may_match("", "p.", num, den)
+    rows = shared_table(rows.select("token", "lid", "n", "pos", "bits", F.when(close, F.col("p.lid")).alias("p_lid")), "prefixes")
+
+    with_first = shared_table(rows.filter("p_lid is not null").select("lid", "p_lid").distinct(), "pairs-with-first")
+    gone = _verified(with_first, firsts, docs, num, den, "similar-to-first")
+
+    left = rows.join(small_side(gone), "lid", "left_anti").select("token", "lid", "n", "pos", "bits")
+    earlier = rows.select(*(F.col(c).alias(f"p_{c}") for c in ("token", "lid", "n", "pos", "bits")))
+    found = left.join(earlier, (F.col("token") == F.col("p_token")) & (F.col("p_lid") < F.col("lid")) & _may_match("", "p_", num, den))
+    # all shared prefix tokens of a pair are known here: they, and what lies behind the last of them, bound the overlap
+    counted = found.groupBy("lid", "p_lid").agg(F.count(F.lit(1)).alias("shared"), F.max("pos").alias("pos"), F.max("p_pos").alias("p_pos"), F.max("n").alias("n"), F.max("p_n").alias("p_n"))
+    bound = F.expr(f"shared + least(n - pos, p_n - p_pos) - 1 >= {_ceil_div(f'{num}L * (n + p_n)', num + den)}")
+    rest = shared_table(counted.filter(bound).select("lid", "p_lid"), "pairs")
+    drop_shared(rows)
+    more = _verified(rest, firsts, docs, num, den, "similar")
 
     copies = lines.select("sig", "doc_id", "lkey").join(firsts.select("sig", F.col("doc_id").alias("f_doc"), F.col("lkey").alias("f_lkey")), "sig")
-    every = copies.filter("doc_id <> f_doc or lkey <> f_lkey").select("doc_id", "lkey").unionByName(gone).unionByName(more)
+    similar = firsts.join(gone.union(more), "lid").select("doc_id", "lkey")
+    every = copies.filter("doc_id <> f_doc or lkey <> f_lkey").select("doc_id", "lkey").unionByName(similar)
     return every.groupBy("doc_id", F.shiftright("lkey", LINE_BITS).alias("part")).agg(
         F.array_sort(F.collect_set(F.col("lkey").bitwiseAND(F.lit((1 << LINE_BITS) - 1)).cast("int"))).alias("places")
     )
