@@ -2,7 +2,8 @@
 
 **Encoding.**  The tokenizers library encodes; since this kind of vocabulary drops
 white space, a text's ids are those of its white-space-separated chunks, and a
-chunk's are remembered (at most ``MAX_CHUNKS``, then the memo is emptied).  A
+chunk's are remembered (in two generations of at most ``MAX_CHUNKS``: a full one
+becomes the old one, from which what is met again is taken over).  A
 chunk of letters before plain punctuation is split there, as the library's own
 pattern does, and lower-cased as its normaliser does; such words go to the
 library's model many to a call.
@@ -38,11 +39,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer, pre_tokenizers
 
-from signalmart.llm.common import map_batches, shared_table, small_side
+from signalmart.llm.common import keep, map_batches, shared_table, small_side
 
 MAX_VOCABULARY_BYTES = 64 << 20
-MAX_CHUNKS = 400_000
+MAX_CHUNKS = 200_000
 SEGMENT_IDS = 1 << 20
 RANGE_ROWS = 20_000
 MAGIC = b"EFID"
@@ -54,73 +56,92 @@ WORDS_TO_A_CALL = 512
 # ---------------------------------------------------------------- encoding
 
 
+class Memo(dict):
+    """Chunks' ids; remembers what was asked for in vain."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.unknown: set[str] = set()
+        self.misses = 0
+
+    def __missing__(self, chunk: str) -> bytes:
+        self.unknown.add(chunk)
+        self.misses += 1
+        return b""
+
+
 class ChunkEncoder:
     """Texts to packed ids through a memo of chunks."""
 
     def __init__(self, tokenizer_json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
-
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         vocabulary = self.tokenizer.get_vocab()
         self.width = id_width(len(vocabulary))
         self.kind = np.dtype(f"<u{self.width}")
-        self.memo: dict[str, bytes] = {}
+        self.memo, self.old = Memo(), Memo()
         # The library's model alone, for lower-case words that its normaliser and
         # split pattern leave as they are: many to a call, told apart by the word ends.
-        self.words = Tokenizer(self.tokenizer.model)
+        self.words, self.ascii_words = Tokenizer(self.tokenizer.model), Tokenizer(self.tokenizer.model)
         self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ascii_words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()  # the byte alphabet leaves ASCII letters as they are
         suffix = self.tokenizer.model.end_of_word_suffix
         self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
         self.tells_ends = bool(suffix)
         if suffix:
             self.is_end[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
 
-    def _plain_words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        for at in range(0, len(words), WORDS_TO_A_CALL):
-            block = words[at : at + WORDS_TO_A_CALL]
-            ids = np.array(self.words.encode(" ".join(block), add_special_tokens=False).ids, self.kind)
-            ends = (np.flatnonzero(self.is_end[ids]) + 1) * self.width
+    def _plain_words(self, words: list[str], tokenizer: Tokenizer) -> Iterator[tuple[str, bytes]]:
+        blocks = [words[at : at + WORDS_TO_A_CALL] for at in range(0, len(words), WORDS_TO_A_CALL)]
+        for block, found in zip(blocks, tokenizer.encode_batch_fast([" ".join(b) for b in blocks], add_special_tokens=False)):
+            ids = np.array(found.ids, self.kind)
+            ends = ((np.flatnonzero(self.is_end[ids]) + 1) * self.width).tolist()
             if len(ends) != len(block):
                 raise ValueError("the vocabulary does not mark word ends")
             packed = ids.tobytes()
-            yield from zip(block, (packed[b:e] for b, e in zip([0, *ends[:-1].tolist()], ends.tolist())))
+            yield from zip(block, map(packed.__getitem__, map(slice, [0, *ends[:-1]], ends)))
+
+    def _library(self, chunks: list[str]) -> Iterator[tuple[str, bytes]]:
+        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
+        return ((chunk, np.array(x.ids, self.kind).tobytes()) for chunk, x in zip(chunks, found))
 
     def _learn(self, chunks: set[str]) -> None:
         """Take the ids of these chunks into the memo."""
-        split: dict[str, tuple[str, ...]] = {}
-        words: set[str] = set()
-        others: set[str] = set()
-        match = PLAIN.fullmatch if self.tells_ends else lambda chunk: None
+        memo, plain, rest = self.memo, [], []
         for chunk in chunks:
-            plain = match(chunk)
-            if plain:
-                split[chunk] = (plain[1].lower(), plain[2])
-                words.add(split[chunk][0])
-                others.add(plain[2])
+            if not self.tells_ends:
+                rest.append(chunk)
+            elif chunk.isascii() and chunk.isalpha():
+                plain.append((chunk, chunk.lower(), ""))
+            elif m := PLAIN.fullmatch(chunk):
+                plain.append((chunk, m[1].lower(), m[2]))
             else:
-                split[chunk] = (chunk,)
-                others.add(chunk)
-        parts = dict(self._plain_words(list(words)))
-        rest = [x for x in others if x]
-        parts[""] = b""
-        parts.update((x, np.array(found.ids, self.kind).tobytes()) for x, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)))
-        self.memo.update((chunk, b"".join(map(parts.__getitem__, own))) for chunk, own in split.items())
+                rest.append(chunk)
+        memo.update(self._library([chunk for chunk in rest if chunk]))
+        memo[""] = b""
+        memo.update(self._library(list({tail for _, _, tail in plain}.difference(memo))))
+        words = {word for _, word, _ in plain}
+        parts = {word: memo[word] for word in words.intersection(memo)}
+        new = words.difference(parts)
+        parts.update(self._plain_words([w for w in new if w.isascii()], self.ascii_words))
+        parts.update(self._plain_words([w for w in new if not w.isascii()], self.words))
+        memo.update({chunk: parts[word] + memo[tail] if tail else parts[word] for chunk, word, tail in plain})
 
     def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
         """Packed ids of each whole text, with the end id."""
         end = np.array([end_id], self.kind).tobytes()
-        out: list[bytes | None] = []
+        out: list[bytes] = []
         waiting: list[tuple[int, list[str]]] = []
-        unknown: set[str] = set()
 
         def settle() -> None:
-            room = len(self.memo) + len(unknown) <= MAX_CHUNKS
-            if not room:
-                self.memo.clear()
+            unknown = self.memo.unknown
+            if len(self.memo) + len(unknown) > MAX_CHUNKS:
+                self.old, self.memo = self.memo, Memo()
                 unknown.update(*(chunks for _, chunks in waiting))
-            self._learn(unknown)
+            again = {chunk: self.old[chunk] for chunk in unknown if chunk in self.old}
+            self.memo.update(again)
+            self._learn(unknown.difference(again))
             for place, chunks in waiting:
                 out[place] = b"".join(map(self.memo.__getitem__, chunks)) + end
             waiting.clear()
@@ -131,16 +152,12 @@ class ChunkEncoder:
             for blank in "\n\t\r":
                 if blank in text:
                     text = text.replace(blank, " ")
-            chunks = text.split(" ")
-            parts = list(map(self.memo.get, chunks))
-            if None in parts:
-                unknown.update(chunk for chunk, part in zip(chunks, parts) if part is None)
-                waiting.append((len(out), chunks))
-                out.append(None)
-                if len(unknown) > MAX_CHUNKS // 8:
+            chunks, misses = text.split(" "), self.memo.misses
+            out.append(b"".join(map(self.memo.__getitem__, chunks)) + end)
+            if self.memo.misses > misses:
+                waiting.append((len(out) - 1, chunks))
+                if len(self.memo.unknown) > MAX_CHUNKS // 8:
                     settle()
-            else:
-                out.append(b"".join(parts) + end)
         settle()
         return out
 
@@ -278,7 +295,7 @@ def write_files(docs: DataFrame, tokenizer_path: str, end_id: int, text_col: str
             ids = encoder.encode(batch.column(1).to_pylist(), end_id)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(places, pa.int32()), pa.array(ids, pa.binary()), pa.array([encoder.width] * len(ids), pa.int32())], ["doc_id", "range", "ids", "width"])
 
-    encoded = map_batches(docs, encode, "doc_id long, range int, ids binary, width int")
+    encoded = map_batches(docs, encode, "doc_id long, range int, ids binary, width int", keeps=True)
     dealt = encoded.repartition(len(cuts) + 1, "range").sortWithinPartitions("range", F.asc_nulls_first("doc_id"), "ids")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,15 +323,9 @@ def write_files(docs: DataFrame, tokenizer_path: str, end_id: int, text_col: str
     return shared_table(map_batches(dealt, pack, "range int, segment int, n_docs long, n_ids long, payload binary"), "token-files")
 
 
-_KEPT: dict[int, ChunkEncoder] = {}
-
-
 def _per_worker(vocabulary: str) -> ChunkEncoder:
     """One encoder for all tasks that a Python worker runs with this vocabulary."""
-    if hash(vocabulary) not in _KEPT:
-        _KEPT.clear()
-        _KEPT[hash(vocabulary)] = ChunkEncoder(vocabulary)
-    return _KEPT[hash(vocabulary)]
+    return keep(("chunks", hash(vocabulary)), lambda: ChunkEncoder(vocabulary))
 
 
 def read_files(files: DataFrame) -> DataFrame:
