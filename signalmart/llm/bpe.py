@@ -40,11 +40,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from signalmart.llm.common import map_batches
+from signalmart.llm.common import keep, map_batches
 
 MAX_VOCABULARY_BYTES = 64 << 20
-MAX_TRANSITIONS = 1 << 19
-MAX_PIECES = 400_000
+MAX_TRANSITIONS = 1 << 18
+MAX_PIECES = 200_000
 # Bytes of a piece that wait before what is settled is emitted.
 SETTLE = 4096
 DECODE_BLOCK = 1 << 16
@@ -279,16 +279,9 @@ class Decoder:
         yield machine.finish()
 
 
-_KEPT: dict[tuple, tuple[Encoder, Decoder]] = {}
-
-
 def _per_worker(tokens: Broadcast, pattern: str) -> tuple[Encoder, Decoder]:
     """One encoder and decoder for all tasks that a Python worker runs with this vocabulary."""
-    own = hash(tuple(tokens.value)), pattern
-    if own not in _KEPT:
-        _KEPT.clear()
-        _KEPT[own] = Encoder(tokens.value, pattern), Decoder(tokens.value)
-    return _KEPT[own]
+    return keep(("bpe", hash(tuple(tokens.value)), pattern), lambda: (Encoder(tokens.value, pattern), Decoder(tokens.value)))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str = DEFAULT_PATTERN, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
@@ -305,7 +298,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str = DEFAULT_PATTERN, tex
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<u4").astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*names, ids_col])
 
-    return map_batches(docs, run, T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
+    return map_batches(docs, run, T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]), keeps=True)
 
 
 def decode(docs: DataFrame, ranks_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -348,4 +341,4 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str = DEFAULT_PATTERN,
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(decoded_sha), pa.array(exact)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "exact"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_batches(rows, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, exact boolean")
+    return map_batches(rows, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, exact boolean", keeps=True)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,15 +33,23 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_table(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` as a Parquet table in the shared folder and read it back.
 
     A lost executor only costs re-reading files; each reader reads only the
-    columns it needs.
+    columns it needs.  The write's shuffle files go when it ends.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -56,15 +65,40 @@ def drop_shared(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    """``mapInArrow`` over batches of at most ``TEXT_BATCH_ROWS`` rows."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
-    return df.mapInArrow(fn, schema)
+_KEPT: dict = {}
+
+
+def keep(key, make: Callable):
+    """What ``make`` makes, kept by a Python worker until another operator's task runs in it: one thing at a time."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
 
+def forget() -> None:
+    _KEPT.clear()
 
-def ascii_lower(col: Column) -> Column:
-    """Lower-case A to Z only."""
-    return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, keeps: bool = False) -> DataFrame:
+    """``mapInArrow`` over batches of at most ``TEXT_BATCH_ROWS`` rows.
+
+    Python's search for reference cycles is off meanwhile: the functions make
+    many objects but no cycles, and it takes a quarter of their time.  What an
+    earlier operator kept in the worker goes, unless ``fn`` ``keeps`` something.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            forget()
+        gc.disable()
+        try:
+            yield from fn(batches)
+        finally:
+            gc.enable()
+
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
+    return df.mapInArrow(run, schema)
 
 
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -54,7 +54,7 @@ class Settings:
     l2: float = 0.1
 
 
-MAX_WORDS = 300_000
+MAX_WORDS = 150_000
 SAME = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0x100000001B3)
 SHAPES = [(re.compile(r"[^\W\d_]+"), lambda m: "A" if m[0].isupper() else "Aa" if m[0][0].isupper() else "a"), (re.compile(r"\d+"), "0"), (re.compile(r"([^\w\s])\1{2,}"), r"\1\1")]
