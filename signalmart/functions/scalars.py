@@ -1,8 +1,8 @@
 """Row-local expressions: numbers, dates, regions, profiles, work-item status.
 
-All helpers return ``Column`` objects built from ``pyspark.sql.functions`` so
-that they stay inside whole-stage codegen; none of them needs Python at run
-time.
+All helpers return ``Column`` objects built from ``pyspark.sql.functions``;
+none of them needs Python at run time.  Higher-order functions (``let``, maps)
+are interpreted, the rest is generated code.
 """
 
 from __future__ import annotations
@@ -36,15 +36,22 @@ def let(value: Column, body) -> Column:
 
 
 def py_round(x, digits: int) -> Column:
-    """Round half-to-even on the scaled binary value, like Python ``round``.
+    """Correctly rounded to ``digits`` decimals, ties to even, like Python ``round``.
 
-    ``rint(x * 10^d) / 10^d`` works on the IEEE product, so 2.675 -> 2.67 as in
-    Python (Spark's ``round``/``bround`` go through the decimal string and give
-    2.68).  The SQL oracle uses ``round_even(x * 10^d, 0) / 10^d``, which is the
-    same double computation.
+    The double product x * 10^d can land on a tie that the exact product is not
+    (0.015 * 100 is 1.5, but 0.015 is below it).  There, the product's rounding
+    error, computed exactly by splitting x into halves of its bits, decides.
     """
-    scale = float(10**digits)
-    return F.rint(_c(x) * F.lit(scale)) / F.lit(scale)
+    scale = F.lit(float(10**digits))
+    v = _c(x).cast("double")
+    product = v * scale
+    wide = v * F.lit(134217729.0)  # 2^27 + 1 splits a double in two
+    high = wide - (wide - v)
+    error = (high * scale - product) + (v - high) * scale
+    down = F.floor(product).cast("double")
+    tie = (product - down == 0.5) & (F.abs(product) < F.lit(2.0**51))
+    rounded = F.when(tie & (error < 0), down).when(tie & (error > 0), down + 1.0).otherwise(F.rint(product))
+    return rounded / scale
 
 
 def clamp(x, lo: int = 0, hi: int = 10) -> int:

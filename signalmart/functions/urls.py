@@ -11,7 +11,9 @@ from .scalars import _c
 _SCHEME = r"[A-Za-z][A-Za-z0-9+.-]*"
 AUTHORITY_RX = r"^(?:" + _SCHEME + r":)?//([^/?#]*)"
 SCHEME_RX = r"^(" + _SCHEME + r"):"
-HREF_RX = r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""
+COMMENT_RX = r"(?s)<!--.*?-->"
+# A whole <a ...> tag; quoted values may hold ">".  Possessive, so no stack is needed.
+A_TAG_RX = r"""(?is)<a\s(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
 
 
 def url_hash(url) -> Column:
@@ -44,11 +46,24 @@ def file_name(href) -> Column:
     return F.element_at(F.split(_c(href), "/"), -1)
 
 
-def resolve_url(base, href) -> Column:
-    """Join a link to its page URL: absolute, scheme-relative, root-relative, or relative to the base folder.
+def fold_dots(url) -> Column:
+    """``.`` and ``..`` segments of a URL's path folded as a browser does."""
+    u = _c(url)
+    origin = F.regexp_extract(u, r"^(" + _SCHEME + r"://[^/?#]*)", 1)
+    path = F.regexp_extract(u, r"^" + _SCHEME + r"://[^/?#]*(/[^?#]*)", 1)
+    rest = F.regexp_extract(u, r"^[^?#]*([?#].*)$", 1)
+    ends = F.when(path.rlike(r"/\.{1,2}$"), F.lit("/")).otherwise(F.lit(""))
+    folded = F.aggregate(
+        F.filter(F.split(F.substring(path, F.lit(2), F.length(path)), "/"), lambda s: s != "."),
+        F.array().cast("array<string>"),
+        lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, s)),
+    )
+    whole = F.concat(origin, F.lit("/"), F.array_join(folded, "/"), F.when(F.size(folded) > 0, ends).otherwise(F.lit("")), rest)
+    return F.when(path.rlike(r"/\.{1,2}(?:/|$)"), whole).otherwise(u)
+
 
-    ``..`` segments are not folded (a browser would), see README.
-    """
+def resolve_url(base, href) -> Column:
+    """Join a link to its page URL: absolute, scheme-relative, root-relative, or relative to the base folder; dots folded."""
     b = _c(base)
     h = _c(href)
     scheme = F.regexp_extract(b, SCHEME_RX, 1)
@@ -58,12 +73,24 @@ def resolve_url(base, href) -> Column:
         F.when(h.isNull() | (h == ""), b)
         .when(h.rlike(SCHEME_RX), h)
         .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
-        .when(h.startswith("/"), F.concat(origin, h))
+        .when(h.startswith("/"), fold_dots(F.concat(origin, h)))
         .when(h.startswith("?") | h.startswith("#"), F.concat(F.regexp_extract(b, r"^([^?#]*)", 1), h))
-        .otherwise(F.concat(F.when(folder != "", folder).otherwise(F.concat(origin, F.lit("/"))), h))
+        .otherwise(fold_dots(F.concat(F.when(folder != "", folder).otherwise(F.concat(origin, F.lit("/"))), h)))
     )
 
 
+def attribute(tag, name: str) -> Column:
+    """An attribute's value in a tag: double-quoted, single-quoted or bare, entities decoded; null if absent."""
+    from .text import decode_entities
+
+    rx = r"""(?is)\s""" + name + r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    t = _c(tag)
+    value = F.concat(*[F.coalesce(F.regexp_extract(t, rx, k), F.lit("")) for k in (1, 2, 3)])
+    return F.when(t.rlike(rx), decode_entities(value))
+
+
 def href_list(html) -> Column:
-    """All ``<a href>`` values of a page in document order."""
-    return F.regexp_extract_all(F.coalesce(_c(html), F.lit("")), F.lit(HREF_RX), 1)
+    """All ``<a href>`` values of a page in document order; links in comments don't count."""
+    shown = F.regexp_replace(F.coalesce(_c(html), F.lit("")), COMMENT_RX, "")
+    values = F.transform(F.regexp_extract_all(shown, F.lit(A_TAG_RX), 0), lambda tag: attribute(tag, "href"))
+    return F.filter(values, lambda v: v.isNotNull())

@@ -22,29 +22,27 @@ from . import filters
 # ---------------------------------------------------------------------------
 
 
-EXACT_SCALE = 1e6
+EXACT_TYPE = "decimal(38,12)"
+
+
+def exact_units(x) -> Column:
+    """A term as an exact decimal with 12 places (for sums taken in two levels)."""
+    return _c(x).cast("double").cast(EXACT_TYPE)
 
 
 def exact_sum(x) -> Column:
-    """Order-independent sum: each term is fixed to 6 decimals (half-even) and summed as a long.
+    """Order-independent sum: each term is an exact decimal with 12 places and room up to 1e26.
 
     Double sums depend on the order partitions are combined in, so the same data
-    on a different cluster layout could round a mean the other way; an integer
-    sum does not.  Long sums stay in codegen (a DECIMAL(28,6) buffer would fall
-    back to BigDecimal arithmetic per row).
+    on a different cluster layout could round a mean the other way; a decimal
+    sum does not.
     """
-    return F.sum(F.rint(_c(x) * F.lit(EXACT_SCALE)).cast("long")).cast("double") / F.lit(EXACT_SCALE)
-
-
-def exact_units(x) -> Column:
-    """Per-row term of ``exact_sum`` as an integer count of 1e-6 units (for sums taken in two levels)."""
-    return F.rint(_c(x) * F.lit(EXACT_SCALE)).cast("long")
+    return F.sum(exact_units(x)).cast("double")
 
 
 def mean_of_units(num_units, den_units, digits: int = 2) -> Column:
     """Finalize a weighted mean from summed ``exact_units``: round(num/den, digits), 0 when den is 0."""
-    num = _c(num_units).cast("double") / F.lit(EXACT_SCALE)
-    den = _c(den_units).cast("double") / F.lit(EXACT_SCALE)
+    num, den = _c(num_units).cast("double"), _c(den_units).cast("double")
     return F.coalesce(scalars.py_round(F.try_divide(num, F.when(den != 0, den)), digits), F.lit(0.0))
 
 
@@ -81,12 +79,10 @@ def attributed(df: DataFrame, regions=dims.CANONICAL_REGIONS, ai: str = "ai_insi
 # ---------------------------------------------------------------------------
 
 
-def momentum(df: DataFrame, regions=dims.CANONICAL_REGIONS, ai: str = "ai_insights", date: str = "date", normalize: bool = True) -> DataFrame:
-    """Importance-weighted quarterly momentum per canonical region.
+def momentum_sums(df: DataFrame, regions=dims.CANONICAL_REGIONS, ai: str = "ai_insights", date: str = "date", normalize: bool = True) -> DataFrame:
+    """Per (region, quarter) the exact sums that momentum is made of: ``w_u``, ``m_u`` and one per dimension.
 
-    Per article: m = mean of the numeric impact dimensions (0 if none),
-    w = importance (1 if missing); per (region, quarter): round(sum(m*w)/sum(w), 2)
-    and the same for each of the five dimensions (missing dimension = 0).
+    Sums of batches add up to the sums of all their articles.
     """
     a = F.col(ai)
     dmap = a.getField("impact_dimensions")
@@ -98,10 +94,26 @@ def momentum(df: DataFrame, regions=dims.CANONICAL_REGIONS, ai: str = "ai_insigh
         scalars.mean_numeric_map(dmap, dims.DIMENSIONS).alias("m"),
         *[F.coalesce(F.element_at(dmap, F.lit(k)), F.lit(0.0)).alias(k) for k in dims.DIMENSIONS],
     )
-    return rows.groupBy("region", "time_window").agg(
-        weighted_mean("m", "w").alias("momentum_score"),
-        *[weighted_mean(k, "w").alias(k) for k in dims.DIMENSIONS],
-    )
+    terms = {"w_u": F.col("w"), "m_u": F.col("m") * F.col("w")} | {f"{k}_u": F.col(k) * F.col("w") for k in dims.DIMENSIONS}
+    return rows.groupBy("region", "time_window").agg(*[F.sum(exact_units(t)).alias(c) for c, t in terms.items()])
+
+
+def momentum_of_sums(sums: DataFrame) -> DataFrame:
+    """Momentum rows from (any number of) ``momentum_sums`` rows per region and quarter."""
+    cols = [c for c in sums.columns if c.endswith("_u")]
+    g = sums.groupBy("region", "time_window").agg(*[F.sum(c).alias(c) for c in cols])
+    return g.select("region", "time_window", mean_of_units("m_u", "w_u").alias("momentum_score"), *[mean_of_units(f"{k}_u", "w_u").alias(k) for k in dims.DIMENSIONS])
+
+
+def momentum(df: DataFrame, regions=dims.CANONICAL_REGIONS, ai: str = "ai_insights", date: str = "date", normalize: bool = True) -> DataFrame:
+    """Importance-weighted quarterly momentum per canonical region.
+
+    Per article: m = mean of the numeric impact dimensions (0 if none),
+    w = importance (1 if missing); per (region, quarter): round(sum(m*w)/sum(w), 2)
+    and the same for each of the five dimensions (missing dimension = 0).
+    """
+    sums = momentum_sums(df, regions, ai, date, normalize)
+    return sums.select("region", "time_window", mean_of_units("m_u", "w_u").alias("momentum_score"), *[mean_of_units(f"{k}_u", "w_u").alias(k) for k in dims.DIMENSIONS])
 
 
 # ---------------------------------------------------------------------------

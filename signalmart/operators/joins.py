@@ -1,10 +1,8 @@
 """Joins and state merges.
 
-Lookups against fixed dimension tables (source languages, region aliases) are
-broadcast: their size is set by ``dims``.  Lookups against data-sized tables
-(seen cache, profiles, prior state) are plain equi-joins: sort-merge by
-default, turned into broadcasts by AQE only once the build side's measured
-size is small; AQE also splits skewed partitions.
+Lookups (languages, aliases, seen cache, profiles, prior state) are plain
+equi-joins: sort-merge by default, turned into broadcasts by AQE only once the
+build side's measured size is small; AQE also splits skewed partitions.
 Upserts without a MERGE-capable table format are written as union + a
 keyed ``max_by`` aggregate, which pre-aggregates in every task and so stays
 safe when one key is hot.
@@ -27,16 +25,19 @@ def anti_seen(entries: DataFrame, seen: DataFrame, key: str = "article_id") -> D
 def dedup_cross_feed(df: DataFrame, key: str = "article_id", feed_ord: str = "feed_ord") -> DataFrame:
     """Drop a url already taken by an earlier feed; repeats inside one feed survive.
 
-    first feed per key = groupBy(key).min(feed_ord) (partial aggregate, skew-safe),
-    joined back on the key.
+    A null feed number (an unregistered feed) counts as the last feed.  The first
+    feed per key is a partial aggregate over two narrow columns, joined back on
+    the key; callers with a costly input write it out first, since it is read
+    twice.
     """
-    first = df.groupBy(key).agg(F.min(feed_ord).alias("_first_feed"))
-    return df.join(first, key).where(F.col(feed_ord) == F.col("_first_feed")).drop("_first_feed")
+    last = F.lit((1 << 31) - 1)
+    first = df.groupBy(F.col(key).alias("_key")).agg(F.min(F.coalesce(F.col(feed_ord), last)).alias("_first_feed"))
+    return df.join(first, F.col(key).eqNullSafe(F.col("_key"))).where(F.coalesce(F.col(feed_ord), last) == F.col("_first_feed")).drop("_key", "_first_feed")
 
 
 def bypass_lookup(df: DataFrame, languages: DataFrame, key: str = "source", out: str = "bypass") -> DataFrame:
-    """Flag rows whose ``key`` is registered in the (small, fixed) language table."""
-    lang = F.broadcast(languages.select(F.col(languages.columns[0]).alias(key)).distinct().withColumn(out, F.lit(True)))
+    """Flag rows whose ``key`` is registered in the language table; its measured size decides how it is joined."""
+    lang = languages.select(F.col(languages.columns[0]).alias(key)).distinct().withColumn(out, F.lit(True))
     return df.join(lang, key, "left").withColumn(out, F.coalesce(F.col(out), F.lit(False)))
 
 
@@ -46,8 +47,12 @@ def enrich_join(candidates: DataFrame, responses: DataFrame, key: str = "entry_o
 
 
 def alias_lookup(df: DataFrame, aliases: DataFrame, col: str, out: str) -> DataFrame:
-    """Region alias mapping as a broadcast left join (for alias tables too big for a literal map)."""
-    a = F.broadcast(aliases.select(F.col("alias").alias("_alias"), F.col("region").alias("_canon")))
+    """Region alias mapping as a left join, for alias tables too big for a literal map.
+
+    One region per alias (the smallest, should an alias be listed twice); the
+    alias table's measured size decides how it is joined.
+    """
+    a = aliases.groupBy(F.col("alias").alias("_alias")).agg(F.min("region").alias("_canon"))
     raw = F.col(col)
     j = df.join(a, F.lower(scalars.py_strip(raw)) == F.col("_alias"), "left")
     mapped = (

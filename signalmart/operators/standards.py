@@ -216,18 +216,19 @@ def json_list_or_items(results: DataFrame, keep_plain: bool = False) -> DataFram
     return out
 
 
-def standards_bundle(totals: DataFrame, meetings: DataFrame, as_of: str, data_source: str = "live", per_group: int = 3) -> DataFrame:
+def standards_bundle(totals: DataFrame, meetings: DataFrame, as_of: str, data_source: str = "live", per_group: int | None = None) -> DataFrame:
     """One standardization record: release progress (totals + per-group map) and the recent meetings.
 
     ``totals`` comes from ``work_item_rollup`` (one total row + one row per
-    group); the meeting list is the newest ``per_group`` meetings of each
-    working group (the tracked pipeline's per-group limit), so both collected
-    parts are bounded by the number of groups.  They are combined by a union
-    and one global aggregate (no join).
+    group); every meeting given is listed, or the newest ``per_group`` of each
+    working group.  The record holds its meetings as one list, so callers with
+    very many meetings keep them as rows instead.  The parts are combined by a
+    union and one global aggregate (no join).
     """
     from .topk import top_k_per_group
 
-    meetings = top_k_per_group(meetings, ["working_group"], [F.desc("date"), F.desc("meeting_id")], per_group).drop("rank")
+    if per_group is not None:
+        meetings = top_k_per_group(meetings, ["working_group"], [F.desc("date"), F.desc("meeting_id")], per_group).drop("rank")
     grp = totals.where(F.col("level") == "group").select(
         F.struct(
             F.coalesce(F.col("working_group"), F.lit("")).alias("key"),
@@ -245,7 +246,7 @@ def standards_bundle(totals: DataFrame, meetings: DataFrame, as_of: str, data_so
     agg = u.agg(
         F.max("t").alias("t"),
         F.map_from_entries(F.collect_list("g")).alias("by_group"),
-        F.collect_list("m").alias("recent_meetings"),
+        F.array_sort(F.collect_list("m")).alias("recent_meetings"),
     )
     progress = F.struct(
         F.coalesce(F.col("t.total_work_items"), F.lit(0)).cast("long").alias("total_work_items"),

@@ -3,8 +3,7 @@
 Global orderings use ``orderBy`` (range-partitioned sort) and global top-k uses
 ``orderBy().limit(k)`` (TakeOrderedAndProject: each task keeps k rows).  Per-group
 top-k keeps at most k rows per group in every task before the shuffle (a
-partial window-group limit, or two salted rounds for very large k), so a
-group holding a third of all rows is never sorted whole inside one task.
+partial window-group limit), so a group holding a third of all rows is never sorted whole inside one task.
 """
 
 from __future__ import annotations
@@ -14,37 +13,16 @@ from pyspark.sql import functions as F
 
 from .. import dims
 
-SALT_BUCKETS = 32
 
-
-def top_k_per_group(
-    df: DataFrame,
-    group: list[str],
-    order: list[Column],
-    k: int,
-    salt_cols: list[str] | None = None,
-    salt_buckets: int = SALT_BUCKETS,
-) -> DataFrame:
+def top_k_per_group(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
     """Rows ranked 1..k within each group by ``order`` (a deterministic total order).
 
-    For k up to Spark's window-group-limit threshold a single ``row_number``
-    window suffices: the optimizer inserts a partial ``WindowGroupLimit`` before
-    the shuffle, so every task forwards at most k rows per group and a hot
-    group never arrives whole in one task (checked in ``tests/test_plans.py``).
-    Larger k falls back to two salted rounds: rank inside (group,
-    hash(row) % buckets), keep k per bucket, then rank the survivors per group.
-    Both are exact: a group's top k is inside the union of its buckets' top k.
+    One ``row_number`` window for any k; the optimizer keeps at most k rows per
+    group in every task before the shuffle (a partial ``WindowGroupLimit``,
+    checked in ``tests/test_plans.py``) up to its own threshold for k.
     """
-    spark = df.sparkSession
-    threshold = int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
     w = Window.partitionBy(*group).orderBy(*order)
-    if 0 < k <= threshold:
-        return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    salt_cols = salt_cols or df.columns
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in salt_cols]), F.lit(salt_buckets)))
-    w1 = Window.partitionBy(*group, "_salt").orderBy(*order)
-    r1 = salted.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= k).drop("_r", "_salt")
-    return r1.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def sort_within_source(df: DataFrame) -> DataFrame:

@@ -40,15 +40,15 @@ def keyword_candidates(entries: DataFrame, as_of: str, seen: DataFrame | None =
     return e
 
 
-def new_articles(entries: DataFrame, seen: DataFrame | None, responses: DataFrame, as_of: str, languages: DataFrame | None = None, key: str = "entry_ord") -> DataFrame:
-    """Accepted articles of this run: candidates + profile (joined on ``key``), gate, cross-feed de-dup.
-
-    ``responses`` holds at most one profile per key.
-    """
+def gated_articles(entries: DataFrame, seen: DataFrame | None, responses: DataFrame, as_of: str, languages: DataFrame | None = None, key: str = "entry_ord") -> DataFrame:
+    """Candidates with their profile (joined on ``key``) that pass the gate; ``responses`` has at most one profile per key."""
     cands = keyword_candidates(entries, as_of, seen, languages)
-    enriched = joins.enrich_join(cands, responses.select(key, "ai_insights"), key)
-    gated = filters.gate_profile(enriched)
-    return joins.dedup_cross_feed(gated)
+    return filters.gate_profile(joins.enrich_join(cands, responses.select(key, "ai_insights"), key))
+
+
+def new_articles(entries: DataFrame, seen: DataFrame | None, responses: DataFrame, as_of: str, languages: DataFrame | None = None, key: str = "entry_ord") -> DataFrame:
+    """Accepted articles of this run: gated candidates after cross-feed de-dup."""
+    return joins.dedup_cross_feed(gated_articles(entries, seen, responses, as_of, languages, key))
 
 
 def digest_candidates(articles: DataFrame, as_of: str) -> DataFrame:
@@ -177,7 +177,7 @@ def star_influence(fx) -> DataFrame:
     pre = rows.groupBy("l_suppkey", "cust_region").agg(F.sum(aggs.exact_units(F.lit(1.0) * F.col("l_quantity"))).alias("u"))
     pairs = pre.join(sup, F.col("l_suppkey") == F.col("s_suppkey")).where(F.col("supp_region").isin(TPCH_REGIONS))
     sums = pairs.groupBy(F.col("supp_region").alias("source"), F.col("cust_region").alias("target")).agg(
-        (F.sum("u").cast("double") / F.lit(aggs.EXACT_SCALE)).alias("weight")
+        F.sum("u").cast("double").alias("weight")
     )
     return aggs.matrix_densify(sums, TPCH_REGIONS)
 
@@ -218,16 +218,21 @@ def run_monthly(spark, entries: DataFrame, responses: DataFrame, paths: RunPaths
     The one driver-side decision (quiet or not) reads a single row.
     """
     as_of = as_of or run_date
+    seen_version = state.latest_version(spark, paths.seen)
     seen = filters.evict_stale(state.scan_table(spark, paths.seen, state.SEEN_SCHEMA), as_of)
-    # the accepted entries feed six sinks: cut the lineage once, as a columnar
-    # table in the shared checkpoint folder (survives executor loss, unlike a
-    # local cache; each sink reads only its columns)
-    new = materialize(new_articles(entries, seen, responses, as_of, languages, key), "accepted-entries")
+    # the gated entries are read twice by the de-dup, the accepted ones by six
+    # sinks: cut the lineage after each, as a columnar table in the shared
+    # checkpoint folder (survives executor loss, unlike a local cache; each
+    # reader reads only its columns)
+    gated = materialize(gated_articles(entries, seen, responses, as_of, languages, key), "gated-entries")
+    new = materialize(joins.dedup_cross_feed(gated).withColumn("ai_insights", scalars.with_impact_score("ai_insights")), "accepted-entries")
     arts = article_project(new, run_date)
+    # of repeats inside one feed, the later entry is the one the recent list keeps
+    last = new.groupBy("article_id").agg(F.max_by(F.struct(*[c for c in new.columns if c != "article_id"]), "entry_ord").alias("e")).select("article_id", "e.*")
     out: dict = {}
     quiet = len(new.take(1)) == 0
     prev_recent = state.scan_table(spark, paths.recent, state.ARTICLE_SCHEMA)
-    merged = joins.upsert(prev_recent, arts.select(*prev_recent.columns), ["article_id"])
+    merged = joins.upsert(prev_recent, article_project(last, run_date).select(*prev_recent.columns), ["article_id"])
     recent = topk.rolling_recent(merged, as_of, order="article_id")
     out["recent"] = sinks.write_versioned(recent, paths.recent)
     if not quiet:
@@ -239,10 +244,12 @@ def run_monthly(spark, entries: DataFrame, responses: DataFrame, paths: RunPaths
         mom = joins.upsert_momentum(state.scan_table(spark, paths.momentum, state.MOMENTUM_SCHEMA), aggs.momentum(arts))
         out["momentum"] = sinks.write_versioned(mom, paths.momentum)
         # the cumulative matrix is the starting matrix plus one contribution per
-        # run date; a run's contribution replaces its own partition, so re-running
-        # a date (e.g. after a failure between two sinks) never adds it twice
-        contrib = aggs.influence_matrix(arts).withColumn("run_date", F.lit(run_date))
-        sinks.write_partitioned(contrib, paths.matrix_runs, "run_date")
+        # run.  A run is named by its date and the seen cache it started from: a
+        # repeat after a failure starts from the same cache and replaces its own
+        # contribution, a further run of the date starts from a newer one and adds
+        run_id = f"{run_date}-{seen_version.rsplit('=', 1)[1] if seen_version else 'first'}"
+        contrib = aggs.influence_matrix(arts).withColumn("run_id", F.lit(run_id))
+        sinks.write_partitioned(contrib, paths.matrix_runs, "run_id")
         runs = spark.read.parquet(paths.matrix_runs).select("source", "target", "weight")
         mtx = joins.accumulate_matrix(state.scan_table(spark, paths.matrix_base, state.MATRIX_SCHEMA), runs)
         out["matrix"] = sinks.write_versioned(mtx, paths.matrix)

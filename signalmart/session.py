@@ -8,6 +8,7 @@ session, and only read settings from it (``checkpoint_dir``).
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,22 +57,22 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None)
 
 
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """Use the configured checkpoint folder; only set one when none is configured (tests)."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The configured checkpoint folder; a local session (tests) gets a fresh one where none is set.
+
+    On a cluster there is no folder to fall back to: a machine's own disk isn't shared.
+    """
     d = checkpoint_dir(spark)
     if not d:
-        d = fallback or "/tmp/signalmart-checkpoints"
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        d = tempfile.mkdtemp(prefix="signalmart-checkpoints-", dir="/tmp")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (never a local one)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage by writing a Parquet table under the shared checkpoint folder and reading it back.
 

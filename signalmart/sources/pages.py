@@ -18,7 +18,7 @@ def page_links(pages: DataFrame, page: str = "page_id", html: str = "html") -> D
 
 
 def _attr(tag, name: str):
-    return F.regexp_extract(tag, r"""(?i)\b""" + name + r"""\s*=\s*["']([^"']*)["']""", 1)
+    return F.coalesce(urls.attribute(tag, name), F.lit(""))
 
 
 def feed_autodiscovery(pages: DataFrame, url: str = "url", html: str = "html", content_type: str = "content_type") -> DataFrame:

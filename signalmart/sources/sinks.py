@@ -16,16 +16,33 @@ from pyspark.sql import functions as F
 from . import state
 
 
+KEEP_VERSIONS = 3
+
+
 def _next_version(df: DataFrame, path: str) -> str:
-    cur = state.latest_version(df.sparkSession, path)
-    n = 0 if cur is None else int(cur.rsplit("v=", 1)[1]) + 1
-    return f"{path.rstrip('/')}/v={n}"
+    """The folder after all present ones, whether committed or left by a failed write."""
+    present = state.versions(df.sparkSession, path)
+    return f"{path.rstrip('/')}/v={present[-1][0] + 1 if present else 0}"
+
+
+def drop_old_versions(spark, path: str, keep: int = KEEP_VERSIONS) -> None:
+    """Delete all but the newest ``keep`` committed versions, and failed ones older than those."""
+    found = state.versions(spark, path)
+    kept = [n for n, _, done in found if done][-keep:]
+    if len(kept) < keep:
+        return
+    jvm = spark.sparkContext._jvm
+    for n, folder, _ in found:
+        if n < kept[0]:
+            p = jvm.org.apache.hadoop.fs.Path(folder)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def write_versioned(df: DataFrame, path: str) -> str:
     """Write ``df`` as the next version of the table at ``path``; returns the version folder."""
     target = _next_version(df, path)
     df.write.mode("errorifexists").parquet(target)
+    drop_old_versions(df.sparkSession, path)
     return target
 
 
@@ -95,7 +112,10 @@ def append_snapshot(snapshot: DataFrame, path: str, key: str = "date") -> str:
 
 
 def sink_discovered(found: DataFrame, path: str) -> str:
-    """Append newly discovered sources (already anti-joined with the known ones)."""
+    """Append newly discovered sources; urls stored before are left out, so a repeated run adds nothing."""
+    spark = found.sparkSession
+    if state._exists(spark, path):
+        found = found.join(spark.read.parquet(path).select("url").distinct(), "url", "left_anti").select(*found.columns)
     found.write.mode("append").parquet(path)
     return path
 

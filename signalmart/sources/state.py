@@ -31,31 +31,35 @@ def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def latest_version(spark: SparkSession, path: str) -> str | None:
-    """Newest ``v=<n>`` folder of a versioned table (written by ``sinks.write_versioned``)."""
+def versions(spark: SparkSession, path: str) -> list[tuple[int, str, bool]]:
+    """(number, folder, committed) of a table's ``v=<n>`` folders, by number; none where the path is missing."""
     if not _exists(spark, path):
-        return None
+        return []
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    best = None
+    found = []
     for st in fs.listStatus(p):
         name = st.getPath().getName()
-        if st.isDirectory() and name.startswith("v=") and name[2:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            n = int(name[2:])
-            best = n if best is None or n > best else best
-    return None if best is None else f"{path.rstrip('/')}/v={best}"
+        if st.isDirectory() and name.startswith("v=") and name[2:].isdigit():
+            found.append((int(name[2:]), st.getPath().toString(), fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))))
+    return sorted(found)
+
+
+def latest_version(spark: SparkSession, path: str) -> str | None:
+    """Newest committed ``v=<n>`` folder of a versioned table (written by ``sinks.write_versioned``)."""
+    committed = [n for n, _, done in versions(spark, path) if done]
+    return f"{path.rstrip('/')}/v={committed[-1]}" if committed else None
 
 
 def read_latest(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Latest committed version of a Parquet state table, or an empty table."""
+    """Latest committed version of a Parquet state table; empty only where none was ever committed.
+
+    A table that can't be listed or read is an error: taking it for empty would
+    make the next write drop the history.
+    """
     v = latest_version(spark, path)
-    if v is None:
-        return empty(spark, schema)
-    try:
-        return spark.read.schema(schema).parquet(v)
-    except Exception:  # unreadable state resets, as the tracked pipeline does
-        return empty(spark, schema)
+    return empty(spark, schema) if v is None else spark.read.schema(schema).parquet(v)
 
 
 scan_table = read_latest
@@ -112,13 +116,8 @@ def scan_momentum_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a batched text sink (``sinks.write_digest_text``); empty when nothing was written."""
-    versions = []
-    if _exists(spark, path):
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        versions = [st.getPath().toString() for st in fs.listStatus(p) if st.isDirectory() and st.getPath().getName().startswith("v=")]
-    if not versions:
+    """Lines of the committed batches of a text sink (``sinks.write_digest_text``); empty when nothing was written."""
+    done = [folder for _, folder, committed in versions(spark, path) if committed]
+    if not done:
         return spark.createDataFrame([], "line string")
-    return spark.read.text(versions).select(F.col("value").alias("line"))
+    return spark.read.text(done).select(F.col("value").alias("line"))

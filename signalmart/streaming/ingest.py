@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from .. import dims
 from ..functions import scalars, text, urls
-from ..operators import aggs, filters, joins
+from ..operators import aggs, filters, joins, topk
 from ..sources import sinks, state
 
 
@@ -51,63 +51,70 @@ def stream_dedup(df: DataFrame, key: str = "article_id", ts: str = "ingest_ts",
     return df.withWatermark(ts, ttl).dropDuplicatesWithinWatermark([key])
 
 
-def stream_momentum(df: DataFrame, event_ts: str = "event_ts", delay: str = f"{dims.LOOKBACK_DAYS} days", ai: str = "ai_insights") -> DataFrame:
+# A quarter is at most 92 days long: its rows stay open until the stream holds a
+# row of a quarter that ends this long, plus the look-back, after its own end.
+MOMENTUM_DELAY = f"{92 + dims.LOOKBACK_DAYS} days"
+
+
+def stream_momentum(df: DataFrame, event_ts: str = "event_ts", delay: str = MOMENTUM_DELAY, ai: str = "ai_insights") -> DataFrame:
     """Streaming quarterly momentum per canonical region.
 
-    The calendar quarter is a derived timestamp (``date_trunc('quarter')``)
-    that carries the watermark, so a quarter's state is finalised and dropped
-    once the stream is ``delay`` past it, and rows for closed quarters are
-    ignored as late.  Sums are kept as exact decimals; the weighted means are
-    computed from them on output.
+    The watermark sits on the end of a row's quarter.  With a delay of a
+    quarter and the look-back, the first row of a new quarter doesn't close the
+    one before it, so rows within the look-back of their quarter's end are
+    never late; older quarters are finalised and dropped.  Sums are exact
+    decimals; the weighted means are computed from them on output.
     """
     a = F.col(ai)
     dmap = a.getField("impact_dimensions")
     w = F.coalesce(a.getField("overall_6g_importance"), F.lit(1.0))
+    start = F.date_trunc("quarter", F.col(event_ts))
     rows = aggs.attributed(df).select(
         F.col("src_region").alias("region"),
-        F.date_trunc("quarter", F.col(event_ts)).alias("quarter_start"),
+        (start + F.expr("INTERVAL 3 MONTHS")).alias("quarter_end"),
         w.alias("w"),
         scalars.mean_numeric_map(dmap, dims.DIMENSIONS).alias("m"),
         *[F.coalesce(F.element_at(dmap, F.lit(k)), F.lit(0.0)).alias(k) for k in dims.DIMENSIONS],
     )
-    g = rows.withWatermark("quarter_start", delay).groupBy("region", "quarter_start").agg(
-        aggs.exact_sum("w").alias("_w"),
-        aggs.exact_sum(F.col("m") * F.col("w")).alias("_m"),
-        *[aggs.exact_sum(F.col(k) * F.col("w")).alias(f"_{k}") for k in dims.DIMENSIONS],
-    )
-
-    def mean(c):
-        return F.coalesce(scalars.py_round(F.try_divide(F.col(c), F.when(F.col("_w") != 0, F.col("_w"))), 2), F.lit(0.0))
-
+    terms = {"w_u": F.col("w"), "m_u": F.col("m") * F.col("w")} | {f"{k}_u": F.col(k) * F.col("w") for k in dims.DIMENSIONS}
+    g = rows.withWatermark("quarter_end", delay).groupBy("region", "quarter_end").agg(*[F.sum(aggs.exact_units(t)).alias(c) for c, t in terms.items()])
     return g.select(
         "region",
-        F.date_format("quarter_start", "yyyy-'Q'q").alias("time_window"),
-        mean("_m").alias("momentum_score"),
-        *[mean(f"_{k}").alias(k) for k in dims.DIMENSIONS],
+        F.date_format(F.col("quarter_end") - F.expr("INTERVAL 1 DAY"), "yyyy-'Q'q").alias("time_window"),
+        aggs.mean_of_units("m_u", "w_u").alias("momentum_score"),
+        *[aggs.mean_of_units(f"{k}_u", "w_u").alias(k) for k in dims.DIMENSIONS],
     )
 
 
 def stream_state_upsert(paths, run_date: str):
-    """``foreachBatch`` function folding a micro-batch of articles into the state tables once.
+    """``foreachBatch`` function folding micro-batches of articles into the state tables.
 
-    The batch id is recorded next to the state; a replayed batch (after a
-    failure between the state write and the checkpoint commit) is skipped, so
-    the additive matrix is never added twice.
+    A batch's momentum sums and matrix contribution go to a partition named by
+    its id, which a replay replaces; the tables are the sums over all
+    partitions, so they don't depend on how the rows fell into batches, nor on
+    a failure between two writes.  The recent list and the seen cache are
+    upserts by article, which a replay leaves as they are.
     """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        done = state.scan_table(spark, paths.applied_batches, T.StructType([T.StructField("batch_id", T.LongType())]))
-        if done.where(F.col("batch_id") == batch_id).limit(1).count():
-            return
-        if not batch.take(1):
-            sinks.append_rows(spark.createDataFrame([(batch_id,)], "batch_id long"), paths.applied_batches)
+        if batch.isEmpty():
             return
-        mom = joins.upsert_momentum(state.scan_table(spark, paths.momentum, state.MOMENTUM_SCHEMA), aggs.momentum(batch))
-        sinks.write_versioned(mom, paths.momentum)
-        mtx = joins.accumulate_matrix(state.scan_table(spark, paths.matrix, state.MATRIX_SCHEMA), aggs.influence_matrix(batch))
-        sinks.write_versioned(mtx, paths.matrix)
-        sinks.append_rows(spark.createDataFrame([(batch_id,)], "batch_id long"), paths.applied_batches)
+        sinks.write_partitioned(aggs.momentum_sums(batch).withColumn("batch_id", F.lit(batch_id)), paths.momentum_batches, "batch_id")
+        sinks.write_partitioned(aggs.influence_matrix(batch).withColumn("batch_id", F.lit(batch_id)), paths.matrix_batches, "batch_id")
+        sums = spark.read.parquet(paths.momentum_batches).drop("batch_id")
+        sinks.write_versioned(aggs.momentum_of_sums(sums), paths.momentum)
+        parts = spark.read.parquet(paths.matrix_batches).select("source", "target", "weight")
+        base = state.scan_table(spark, paths.matrix_base, state.MATRIX_SCHEMA)
+        sinks.write_versioned(joins.accumulate_matrix(base, parts), paths.matrix)
+        wanted = set(state.ARTICLE_SCHEMA.names)
+        if wanted <= set(batch.columns):
+            recent = state.scan_table(spark, paths.recent, state.ARTICLE_SCHEMA)
+            merged = joins.upsert(recent, batch.select(*recent.columns), ["article_id"])
+            sinks.write_versioned(topk.rolling_recent(merged, run_date, order="article_id"), paths.recent)
+        if {"article_id", "link", "title"} <= set(batch.columns):
+            seen = state.scan_table(spark, paths.seen, state.SEEN_SCHEMA)
+            add = batch.select("article_id", F.col("link").alias("url"), "title", F.lit(run_date).alias("processed_date")).dropDuplicates(["article_id"])
+            sinks.write_versioned(joins.upsert(seen.select(*add.columns), add, ["article_id"]), paths.seen)
 
     return fold
-

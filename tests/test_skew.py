@@ -11,7 +11,7 @@ def _hot(spark, n=3000):
     return spark.createDataFrame(rows, "working_group string, meeting_dir string, i int").repartition(8)
 
 
-def test_salted_top_k_equals_brute_force(spark):
+def test_top_k_equals_brute_force(spark):
     df = _hot(spark)
     got = sorted((r.working_group, r.meeting_dir) for r in topk.top_meetings_per_group(df, 3).collect())
     want = []
@@ -45,13 +45,25 @@ def test_aggregates_with_hot_region(spark):
     assert mx[("US", "Japan")] == 2.0 * 1000 and mx[("EU", "Japan")] == 2.0 * 2000
 
 
-def test_salted_rounds_for_large_k(spark):
-    df = _hot(spark)
-    old = spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")
-    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "1")
-    try:
-        got = sorted((r.working_group, r.meeting_dir) for r in topk.top_meetings_per_group(df, 3).collect())
-    finally:
-        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", old)
-    base = sorted((r.working_group, r.meeting_dir) for r in topk.top_meetings_per_group(df, 3).collect())
-    assert got == base and len(got) == 3 * 201
+def test_top_k_with_map_columns_and_large_k(spark):
+    df = _hot(spark).withColumn("m", F.create_map(F.lit("a"), F.col("i")))
+    got = topk.top_k_per_group(df, ["working_group"], [F.desc("meeting_dir"), F.desc("i")], 1500)
+    assert got.count() == df.count() and got.where("rank > 1000").count() == 0
+
+
+def test_dedup_keeps_rows_of_unregistered_feeds(spark):
+    rows = [("a", None, 1), ("a", 2, 2), ("b", None, 3), ("b", None, 4), (None, 1, 5)]
+    kept = joins.dedup_cross_feed(spark.createDataFrame(rows, "article_id string, feed_ord int, entry_ord int"))
+    assert sorted(r.entry_ord for r in kept.collect()) == [2, 3, 4, 5]
+
+
+def test_exact_sums_hold_small_and_large_terms(spark):
+    one = spark.createDataFrame([(1.0, 1e-7), (1.0, 1e-7)], "v double, w double").agg(aggs.weighted_mean("v", "w").alias("m")).first().m
+    big = spark.createDataFrame([(1e13,), (1e13,), (0.25,)], "v double").agg(aggs.exact_sum("v").alias("s")).first().s
+    assert one == 1.0 and big == 2e13 + 0.25
+
+
+def test_alias_listed_twice_does_not_multiply_rows(spark):
+    rows = spark.createDataFrame([("usa",), ("x",)], "r string")
+    aliases = spark.createDataFrame([("usa", "US"), ("usa", "US")], "alias string, region string")
+    assert sorted(r.out for r in joins.alias_lookup(rows, aliases, "r", "out").collect()) == ["US", "x"]

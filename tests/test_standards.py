@@ -146,7 +146,7 @@ def test_url_helpers(spark):
         urls.url_domain("base").alias("d"), urls.resolve_url("base", "href").alias("r"), urls.safe_url("u").alias("s")
     ).collect()
     assert [r.d for r in got] == ["user@x.org:8080", "x.org", "x.org", "x.org"]
-    assert [r.r for r in got] == ["https://user@x.org:8080/a/../c", "https://x.org/feed.xml", "https://x.org/root.xml", "https://cdn.org/f"]
+    assert [r.r for r in got] == ["https://user@x.org:8080/c", "https://x.org/feed.xml", "https://x.org/root.xml", "https://cdn.org/f"]
     assert [r.s for r in got] == ["#", "HTTP://ok.org/", "#", "#"]
     trimmed = spark.createDataFrame([("TSGR1_115/",), ("x",)], "n string").select(urls.dir_name_trim("n").alias("t"))
     assert [r.t for r in trimmed.collect()] == ["TSGR1_115", "x"]

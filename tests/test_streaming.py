@@ -64,6 +64,38 @@ def test_foreach_batch_fold_is_exactly_once(spark, tmp_dir):
     assert all(abs(m3[k] - 2 * m1[k]) < 1e-9 for k in m1)
 
 
+def test_fold_does_not_depend_on_the_batches(spark, tmp_dir):
+    arts = Fixtures(spark, SF_SMALL).articles
+    want = {(r.region, r.time_window): r.momentum_score for r in aggs.momentum(arts).collect()}
+    for n in (1, 3):
+        paths = monthly.RunPaths(f"{tmp_dir}/state{n}")
+        fold = ingest.stream_state_upsert(paths, AS_OF)
+        for i in range(n):
+            fold(arts.where(F.pmod(F.col("entry_ord"), F.lit(n)) == i), i)
+        got = {(r.region, r.time_window): r.momentum_score for r in state.read_latest(spark, paths.momentum, schemas.MOMENTUM).collect()}
+        assert got == want
+
+
+def test_late_rows_of_a_quarter_count(spark, tmp_dir):
+    arts = Fixtures(spark, SF_SMALL).articles.where(F.col("ai_insights").isNotNull())
+    days = ["2024-05-01", "2024-07-01", "2024-06-29"]
+    base = arts.limit(40)
+    for i, day in enumerate(days):
+        base.withColumn("event_ts", F.lit(day).cast("timestamp")).withColumn("date", F.lit(day)).coalesce(1).write.parquet(f"{tmp_dir}/in/b{i}")
+    schema = spark.read.parquet(f"{tmp_dir}/in/b0").schema
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_dir}/in")
+    q = (
+        ingest.stream_momentum(src).writeStream.outputMode("update").format("memory").queryName("late_out")
+        .option("checkpointLocation", f"{tmp_dir}/ckl").trigger(availableNow=True).start()
+    )
+    q.awaitTermination(300)
+    got = {}
+    for r in spark.sql("SELECT * FROM late_out").collect():
+        got[(r.region, r.time_window)] = r.momentum_score
+    whole = spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_dir}/in")
+    assert got == {(r.region, r.time_window): r.momentum_score for r in aggs.momentum(whole).collect()}
+
+
 def test_stream_feed_xml_matches_batch_scan(spark, tmp_dir):
     import os
 
