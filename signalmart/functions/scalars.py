@@ -51,7 +51,8 @@ def py_round(x, digits: int) -> Column:
     down = F.floor(product).cast("double")
     tie = (product - down == 0.5) & (F.abs(product) < F.lit(2.0**51))
     rounded = F.when(tie & (error < 0), down).when(tie & (error > 0), down + 1.0).otherwise(F.rint(product))
-    return rounded / scale
+    # a value this large has no further decimals to lose
+    return F.when(F.abs(product) >= F.lit(2.0**52), v).otherwise(rounded / scale)
 
 
 def clamp(x, lo: int = 0, hi: int = 10) -> int:
