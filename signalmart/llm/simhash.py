@@ -19,7 +19,8 @@ Defined cases: a null or empty text, and one without words, has fingerprint
 zero, linked like any other; texts shorter than a shingle hash their whole word
 sequence; rows with a null ``doc_id`` are linked by their fingerprint, and a
 class's id is the smallest non-null ``doc_id`` in it (null if there is none);
-repeated rows each keep a row; an empty table gives no rows.
+repeated rows each keep a row; an empty table gives no rows.  Classes are told
+apart by fingerprints, not by ids: one ``doc_id`` with two texts can be in two.
 """
 
 from __future__ import annotations
@@ -60,15 +61,16 @@ def fingerprint(text: str | None, shingle: int) -> int:
     return int.from_bytes(np.packbits(2 * votes > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def with_fingerprints(docs: DataFrame, shingle: int = 3, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit integer."""
+def with_fingerprints(docs: DataFrame, shingle: int = 3, text_col: str = "text", id_col: str = "doc_id", also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, also...): the fingerprint as a signed 64-bit integer; ``also`` are long columns to carry along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *also])
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, fp long")
+    schema = ", ".join(f"{c} long" for c in ("doc_id", "fp", *also))
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *also), run, schema)
 
 
 def home_anchors(half: np.ndarray) -> np.ndarray:
@@ -115,30 +117,59 @@ def close_pairs(fps: DataFrame, max_distance: int = 2) -> DataFrame:
     return home.join(near, (home.anchor == near.anchor) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 2, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, fp, component_id) of every row; see the module docstring."""
-    own = shared_table(with_fingerprints(docs, shingle, text_col, id_col), "fingerprints")
+def fingerprint_classes(own: DataFrame, max_distance: int = 2) -> DataFrame:
+    """(fp, component, component_id) of the different fingerprints of ``own``: the class's smallest fingerprint and smallest id."""
     distinct = shared_table(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     linked = connected_components(close_pairs(distinct, max_distance))
     classes = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
     least = classes.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    by_fp = classes.join(least, "component").select("fp", "component_id")
-    return own.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    return classes.join(least, "component").select("fp", "component", "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 2, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, fp, component_id) of every row; see the module docstring."""
+    own = shared_table(with_fingerprints(docs, shingle, text_col, id_col), "fingerprints")
+    return own.join(fingerprint_classes(own, max_distance), "fp").select("doc_id", "fp", "component_id")
 
 
 def hex64(col: Column) -> Column:
     return F.lower(F.lpad(F.hex(col), 16, "0"))
 
 
+ROW_KEY = ("__text_key", "__row_key")
+
+
+def with_row_keys(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with two 64-bit hashes that tell rows apart: of the text, and of all columns that can be hashed.
+
+    Hashing skips nulls, so each value goes with its null mark; the literals
+    make the two hashes independent.
+    """
+
+    def marked(names: list[str]) -> list[Column]:
+        return [c for n in names for c in (F.col(f"`{n}`").isNull(), F.col(f"`{n}`"))]
+
+    plain = [f.name for f in docs.schema.fields if not any(kind in f.dataType.simpleString() for kind in ("map<", "variant"))]
+    return docs.withColumns({ROW_KEY[0]: F.xxhash64(F.lit(1), *marked([text_col])), ROW_KEY[1]: F.xxhash64(F.lit(2), *marked(plain))})
+
+
 def keep_one(docs: DataFrame, shingle: int = 3, max_distance: int = 2, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with one document of each near-duplicate class: the one whose id is the class id.
+    """``docs`` with exactly one row of each near-duplicate class, whatever ids repeat or are null.
 
-    A document repeated row for row (same id, same fingerprint) stays once;
-    rows with a null id stay, once, only if their class has no other id.
+    The row with the smallest id stays (null ids last), among those of one id
+    the one with the smallest row key; rows equal in every column stay once.
     """
-    classes = shared_table(near_duplicates(docs, shingle, max_distance, text_col, id_col), "classes")
-    gone = small_side(shared_table(classes.filter("doc_id is distinct from component_id").select(F.col("doc_id").alias("__gone")).distinct(), "copies"))
-    kept = docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
-    if classes.filter("doc_id is not distinct from component_id").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept
-    return kept.dropDuplicates([id_col])
+    keyed = with_row_keys(docs, text_col)
+    own = shared_table(with_fingerprints(keyed, shingle, text_col, id_col, ROW_KEY), "fingerprints")
+    rows = own.join(fingerprint_classes(own, max_distance).select("fp", "component"), "fp")
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *ROW_KEY)
+    rows = shared_table(rows.select("component", key.alias("key")), "classes")
+    best = rows.groupBy("component").agg(F.min("key").alias("best"), F.count(F.lit(1)).alias("n"))
+    marked = rows.join(best.filter("n > 1"), "component")
+    gone = marked.filter("not key <=> best").select(*(F.col(f"key.{c}").alias(f"__gone{i}") for i, c in enumerate(("doc_id", *ROW_KEY)))).distinct()
+    gone = small_side(shared_table(gone, "copies"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__gone0")) & (F.col(ROW_KEY[0]) == F.col("__gone1")) & (F.col(ROW_KEY[1]) == F.col("__gone2"))
+    kept = keyed.join(gone, same, "left_anti")
+    if not marked.filter("key <=> best").groupBy("component").count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates([id_col, *ROW_KEY])
+    return kept.drop(*ROW_KEY)

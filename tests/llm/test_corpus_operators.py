@@ -104,6 +104,28 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0 and simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def test_keep_one_decides_per_row(spark):
+    rng = random.Random(10)
+    a, b, c, d, e = (" ".join(rng.choice(["ab", "cd", "Ef", "gh", "xyz"]) for _ in range(200)) for _ in range(5))
+    schema = "doc_id long, text string, n int"
+    cases = [
+        # the copy of 3 goes, the other text of 5 stays
+        ([(3, a.upper(), 1), (5, a, 1), (5, b, 1)], [(3, a.upper(), 1), (5, b, 1)]),
+        # a copy without an id goes, unique texts without ids stay
+        ([(1, a, 1), (None, a, 1), (None, b, 1), (None, c, 1)], [(1, a, 1), (None, b, 1), (None, c, 1)]),
+        # no copies: different texts without ids and under one id all stay
+        ([(None, a, 1), (None, b, 1), (7, c, 1), (7, d, 1), (8, e, None)], [(None, a, 1), (None, b, 1), (7, c, 1), (7, d, 1), (8, e, None)]),
+        # rows equal throughout stay once, with and without an id
+        ([(4, a, 1), (4, a, 1), (None, b, 1), (None, b, 1), (None, None, 1)], [(4, a, 1), (None, b, 1), (None, None, 1)]),
+    ]
+    for rows, want in cases:
+        got = simhash.keep_one(spark.createDataFrame(rows, schema))
+        assert got.columns == ["doc_id", "text", "n"]
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    # one of the rows that differ only beside id and text stays
+    assert simhash.keep_one(spark.createDataFrame([(4, a, 1), (4, a, None), (4, a, 2)], schema)).count() == 1
+
+
 # ---------------------------------------------------------------- lines
 
 
