@@ -221,9 +221,10 @@ def standards_bundle(totals: DataFrame, meetings: DataFrame, as_of: str, data_so
 
     ``totals`` comes from ``work_item_rollup`` (one total row + one row per
     group); every meeting given is listed, or the newest ``per_group`` of each
-    working group.  The record holds its meetings as one list, so callers with
-    very many meetings keep them as rows instead.  The parts are combined by a
-    union and one global aggregate (no join).
+    working group.  The record holds its meetings as one list and is made by one
+    task, so callers with very many meetings take ``standards_bundle_rows``
+    instead.  The parts are combined by a union and one global aggregate (no
+    join).
     """
     from .topk import top_k_per_group
 
@@ -259,3 +260,31 @@ def standards_bundle(totals: DataFrame, meetings: DataFrame, as_of: str, data_so
         F.col("by_group").alias("work_items_by_group"),
     )
     return agg.select(progress.alias("release_21_progress"), "recent_meetings")
+
+
+def standards_bundle_rows(totals: DataFrame | None, meetings: DataFrame | None, as_of: str, data_source: str = "live") -> DataFrame:
+    """The standardization record as rows (level, key, counts, last_updated, data_source, meeting); no row grows with the input.
+
+    One 'progress' row (zeros where ``totals`` has no total row), one 'group'
+    row per working group and one 'meeting' row per meeting given, the whole
+    meeting as a struct.  A part that is None has no rows.
+    """
+    counts = ("total", "completed", "in_progress", "postponed")
+    parts = []
+    if totals is not None:
+        top = F.col("level") == "total"
+        parts.append(
+            totals.agg(
+                *[F.coalesce(F.max(F.when(top, F.col(c))), F.lit(0)).cast("long").alias(c) for c in counts],
+                F.coalesce(F.max(F.when(top, F.col("progress"))), F.lit(0.0)).alias("progress"),
+            ).select(F.lit("progress").alias("level"), F.lit(None).cast("string").alias("key"), *counts, "progress", F.lit(as_of).alias("last_updated"), F.lit(data_source).alias("data_source"))
+        )
+        parts.append(totals.where(F.col("level") == "group").select("level", F.coalesce(F.col("working_group"), F.lit("")).alias("key"), *counts, "progress"))
+    if meetings is not None:
+        parts.append(meetings.select(F.lit("meeting").alias("level"), F.col("meeting_id").alias("key"), F.struct(*[F.col(c) for c in meetings.columns]).alias("meeting")))
+    if not parts:
+        raise ValueError("neither totals nor meetings given")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out

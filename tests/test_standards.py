@@ -188,3 +188,18 @@ def test_standards_bundle(spark):
     assert b.release_21_progress.total_work_items == 2 and b.release_21_progress.progress_percentage == 50.0
     assert b.release_21_progress.work_items_by_group["RAN1"].completed == 1
     assert b.recent_meetings[0].meeting_id == "R1-1"
+
+
+def test_standards_bundle_rows(spark):
+    items = spark.createDataFrame([("a", "Completed", "RAN1"), ("b", "In Progress", "SA2"), ("c", "Postponed", None)], "name string, status string, working_group string")
+    meet = spark.createDataFrame([(f"R1-{i}", "RAN1", [f"t{i}"]) for i in range(50)], "meeting_id string, working_group string, tdoc_references array<string>")
+    tot = standards.work_item_totals(items)
+    got = standards.standards_bundle_rows(tot, meet, "2024-06-30")
+    assert rows(got.where("level <> 'meeting'"), "level", "key", "total", "completed") == sorted(
+        [("progress", None, 3, 1), ("group", "RAN1", 1, 1), ("group", "SA2", 1, 0), ("group", "", 1, 0)], key=repr
+    )
+    # a row for each meeting, whole
+    found = got.where("level = 'meeting'").select("key", "meeting.tdoc_references").collect()
+    assert sorted(map(tuple, found)) == sorted((f"R1-{i}", [f"t{i}"]) for i in range(50))
+    empty = standards.standards_bundle_rows(standards.work_item_totals(items.limit(0)), meet.limit(0), "2024-06-30").collect()
+    assert [(r.level, r.total, r.progress, r.last_updated) for r in empty] == [("progress", 0, 0.0, "2024-06-30")]
