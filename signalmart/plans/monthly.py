@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions import scalars, text, urls
-from ..operators import aggs, filters, joins, topk
+from ..operators import aggs, filters, joins, standards, topk
 from ..session import materialize
 from ..sources import sinks, state
 
@@ -210,12 +210,17 @@ class RunPaths:
         return f"{self.root.rstrip('/')}/{name}"
 
 
-def run_monthly(spark, entries: DataFrame, responses: DataFrame, paths: RunPaths, run_date: str, as_of: str | None = None, languages: DataFrame | None = None, key: str = "entry_ord") -> dict:
+def run_monthly(spark, entries: DataFrame, responses: DataFrame, paths: RunPaths, run_date: str, as_of: str | None = None, languages: DataFrame | None = None, key: str = "entry_ord", meetings: DataFrame | None = None, work_items: DataFrame | None = None) -> dict:
     """Run one cycle; returns the paths written, keyed by sink.
 
     Quiet cycle (no new article): the recent list is still refreshed and
     exported as the digest; momentum, matrix and history are left untouched.
     The one driver-side decision (quiet or not) reads a single row.
+
+    ``meetings`` (M12 rows) and ``work_items`` (M11 rows, filtered to the target
+    release here) are optional: if one is given, their standardization rows
+    (``standards_bundle_rows``) become the run date's partition beside the
+    digest and, unless the cycle is quiet, the date's snapshot in the history.
     """
     as_of = as_of or run_date
     seen_version = state.latest_version(spark, paths.seen)
@@ -256,6 +261,12 @@ def run_monthly(spark, entries: DataFrame, responses: DataFrame, paths: RunPaths
         out["matrix_snapshots"] = sinks.append_snapshot(mtx.withColumn("date", F.lit(run_date)), paths.matrix_snapshots)
     else:
         out["digest"] = sinks.write_digest(state.read_latest(spark, paths.recent, state.ARTICLE_SCHEMA), paths.digest, run_date)
+    if meetings is not None or work_items is not None:
+        totals = None if work_items is None else standards.work_item_totals(filters.filter_release_exact(work_items))
+        std = materialize(standards.standards_bundle_rows(totals, meetings, run_date), "standardization")
+        out["standardization"] = sinks.write_digest(std, paths.standardization, run_date)
+        if not quiet:
+            out["std_snapshots"] = sinks.append_snapshot(std.withColumn("date", F.lit(run_date)), paths.std_snapshots)
     # from the materialized entries: the accepted set is not recomputed
     cache_add = new.select("article_id", F.col("link").alias("url"), "title", F.lit(run_date).alias("processed_date"))
     out["seen"] = sinks.write_versioned(joins.upsert(seen.select(*cache_add.columns), cache_add, ["article_id"]), paths.seen)
@@ -269,7 +280,8 @@ def main(argv: list[str] | None = None) -> None:
 
     ``--profiles`` holds (article_id, raw_text) scorer answers (parsed with
     ``parse_profile``) or (article_id, ai_insights) profiles; article_id is the
-    md5 of the entry link.
+    md5 of the entry link.  ``--meetings`` (M12 rows) and ``--work-items`` (M11
+    rows) are optional Parquet tables of the standardization part.
     """
     import argparse
 
@@ -285,6 +297,8 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--state", required=True)
     ap.add_argument("--run-date", required=True)
     ap.add_argument("--as-of")
+    ap.add_argument("--meetings")
+    ap.add_argument("--work-items")
     a = ap.parse_args(argv)
     spark = SparkSession.builder.appName("signalmart-monthly").getOrCreate()
     for k, v in BASE_CONF.items():
@@ -296,7 +310,8 @@ def main(argv: list[str] | None = None) -> None:
         prof = prof.select("article_id", enrich.parse_profile("raw_text").alias("ai_insights"))
     # one profile per article (a scorer may have answered twice): keep the greatest
     prof = prof.groupBy("article_id").agg(F.max_by("ai_insights", F.to_json("ai_insights")).alias("ai_insights"))
-    out = run_monthly(spark, entries, prof, RunPaths(a.state), a.run_date, a.as_of, key="article_id")
+    meetings, work_items = (spark.read.parquet(p) if p else None for p in (a.meetings, a.work_items))
+    out = run_monthly(spark, entries, prof, RunPaths(a.state), a.run_date, a.as_of, key="article_id", meetings=meetings, work_items=work_items)
     for k, v in out.items():
         print(f"{k}\t{v}")
 

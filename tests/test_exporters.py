@@ -183,3 +183,30 @@ def test_run_monthly_rerun_of_a_date_does_not_add_twice(spark, tmp_dir):
     monthly.run_monthly(spark, fx.entries, responses, monthly.RunPaths(f"{tmp_dir}/state", {"seen": f"{tmp_dir}/seen2"}), "2024-07-01", AS_OF)
     m3 = {(r.source, r.target): r.weight for r in state.read_latest(spark, first.matrix, schemas.MATRIX).collect()}
     assert all(abs(m3[k] - 2 * m1[k]) < 1e-9 for k in m1)
+
+
+def test_run_monthly_writes_standardization(spark, tmp_dir):
+    from signalmart.sources.fixtures import Fixtures
+
+    fx = Fixtures(spark, "/root/testdata/sf0.001")
+    paths = monthly.RunPaths(f"{tmp_dir}/state")
+    responses = fx.articles.select("entry_ord", "ai_insights")
+    meet = spark.createDataFrame([(f"R1-{i}", "RAN1", [f"agreed {i}"]) for i in range(12)], "meeting_id string, working_group string, key_agreements array<string>")
+    items = spark.createDataFrame(
+        [("a", "Completed", dims.TARGET_RELEASE, "RAN1"), ("b", "In Progress", dims.TARGET_RELEASE, "SA2"), ("c", "Completed", "other", "SA2")],
+        "name string, status string, release string, working_group string",
+    )
+
+    def run(date, **std):
+        return monthly.run_monthly(spark, fx.entries, responses, paths, date, AS_OF, **std)
+
+    assert "standardization" not in run("2024-06-29") and not state._exists(spark, paths.standardization)
+    paths.overrides = {"seen": f"{tmp_dir}/seen2"}
+    run(AS_OF, meetings=meet, work_items=items)
+    want = [("group", "RAN1", 1, 1), ("group", "SA2", 1, 0)] + [("meeting", f"R1-{i}", None, None) for i in range(12)] + [("progress", None, 2, 1)]
+    for path in (paths.standardization, paths.std_snapshots):
+        assert rows(spark.read.parquet(path), "level", "key", "total", "completed") == sorted(want, key=repr)
+    assert spark.read.parquet(paths.std_snapshots).where("level = 'meeting'").select("meeting.key_agreements").distinct().count() == 12
+    # the same date again, quiet: the digest's partition is replaced, the history keeps its snapshot
+    run(AS_OF, meetings=meet.limit(0), work_items=items)
+    assert spark.read.parquet(paths.standardization).count() == 3 and spark.read.parquet(paths.std_snapshots).count() == len(want)
