@@ -46,7 +46,9 @@ def placed_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     firsts = sizes.select("c", "s", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("first"))
     same = F.expr("conv_id = c and stretch <=> s")
     placed = rows.join(firsts, same).select("conv_id", "stretch", (F.col("first") + F.col("n")).alias("place"), "role", "text")
-    hashed = placed.withColumn("t1", F.xxhash64("place", "role", "text")).withColumn("t2", F.xxhash64("text", "role", "place", F.lit("second")))
+    # hashing skips nulls, so their marks are hashed too
+    nulls = (F.col("role").isNull(), F.col("text").isNull())
+    hashed = placed.withColumn("t1", F.xxhash64("place", *nulls, "role", "text")).withColumn("t2", F.xxhash64(F.lit("second"), *nulls, "text", "role", "place"))
     rolling = Window.partitionBy("conv_id", "stretch").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     hashed = shared_table(hashed.withColumn("r1", _xor("t1").over(rolling)).withColumn("r2", _xor("t2").over(rolling)).drop("t1", "t2"), "hashed-turns")
     ends = hashed.groupBy(F.col("conv_id").alias("c"), F.col("stretch").alias("s")).agg(F.max_by("r1", "place").alias("e1"), F.max_by("r2", "place").alias("e2"))

@@ -259,6 +259,13 @@ def test_chat_repeated_turns_and_null_turns(spark):
     assert [(r["conv_id"], r["n_turns"]) for r in got] == [(1, 3)]
 
 
+def test_chat_tells_a_null_role_from_a_null_text(spark):
+    rows = [(1, 1, None, "x"), (2, 1, "x", None), (3, 1, "x", None), (3, 2, "user", "more"), (4, 1, None, "x"), (5, 1, None, None), (6, 1, "", None)]
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    # 4 repeats 1 and 3 continues 2, nothing else is equal
+    assert sorted((r["conv_id"], r["n_turns"]) for r in got) == [(1, 1), (3, 2), (5, 1), (6, 1)]
+
+
 # ---------------------------------------------------------------- classifier and pipeline
 
 
