@@ -21,7 +21,7 @@ from . import aggs, filters
 
 
 def parse_meeting_reports(reports: DataFrame, content: str = "content", content_type: str | None = None, data_source: str = "live") -> DataFrame:
-    """All five extractors -> one M12 row per report.
+    """All five extractors -> one M12 row per report, with at most 10 agreements and 20 references as M12 has them.
 
     The report text is computed once in an inner projection and reused by the
     extractors (Catalyst keeps it as one common sub-expression).
@@ -33,8 +33,8 @@ def parse_meeting_reports(reports: DataFrame, content: str = "content", content_
         "working_group",
         text.extract_date(F.col("_text")).alias("date"),
         text.extract_location(F.col("_text")).alias("location"),
-        text.extract_agreements(F.col("_text")).alias("key_agreements"),
-        text.extract_tdocs(F.col("_text")).alias("tdoc_references"),
+        text.extract_agreements(F.col("_text"), 10).alias("key_agreements"),
+        text.extract_tdocs(F.col("_text"), 20).alias("tdoc_references"),
         text.sentiment(F.col("_text")).alias("sentiment"),
         F.lit(data_source).alias("data_source"),
     )

@@ -277,13 +277,13 @@ def extract_date(spark, sf_dir):
 @query
 def extract_agreements(spark, sf_dir):
     r = _fx(spark, sf_dir).reports
-    return r.select("meeting_id", F.posexplode(text.extract_agreements("content")).alias("pos", "agreement"))
+    return r.select("meeting_id", F.posexplode(text.extract_agreements("content", 10)).alias("pos", "agreement"))
 
 
 @query
 def extract_tdocs(spark, sf_dir):
     r = _fx(spark, sf_dir).reports
-    return r.select("meeting_id", F.explode(text.extract_tdocs("content")).alias("tdoc"))
+    return r.select("meeting_id", F.explode(text.extract_tdocs("content", 20)).alias("tdoc"))
 
 
 @query

@@ -203,3 +203,14 @@ def test_standards_bundle_rows(spark):
     assert sorted(map(tuple, found)) == sorted((f"R1-{i}", [f"t{i}"]) for i in range(50))
     empty = standards.standards_bundle_rows(standards.work_item_totals(items.limit(0)), meet.limit(0), "2024-06-30").collect()
     assert [(r.level, r.total, r.progress, r.last_updated) for r in empty] == [("progress", 0, 0.0, "2024-06-30")]
+
+
+def test_extractors_without_limit_give_all(spark):
+    report = ". ".join(f"agreed: number {i:02d}" for i in range(30)) + ". " + " ".join(f"R1-24{i:05d}" for i in range(45))
+    df = spark.createDataFrame([(report,)], "t string")
+    every = df.select(text.extract_agreements("t").alias("a"), text.extract_tdocs("t").alias("d")).first()
+    assert [a[-2:] for a in every.a] == [f"{i:02d}" for i in range(30)] and len(every.d) == 45
+    some = df.select(text.extract_agreements("t", 10).alias("a"), text.extract_tdocs("t", 20).alias("d")).first()
+    assert some.a == every.a[:10] and some.d == every.d[:20]
+    m = standards.parse_meeting_reports(spark.createDataFrame([("m", "RAN1", report)], "meeting_id string, working_group string, content string")).first()
+    assert m.key_agreements == some.a and m.tdoc_references == some.d
