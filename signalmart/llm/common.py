@@ -53,6 +53,31 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH_SETTINGS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+
+
+def mapped_table(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, name: str, rows: int = 4096, size: int = 16 << 20) -> DataFrame:
+    """``mapInArrow`` written as a shared table, in batches of at most ``rows`` rows and about ``size`` bytes.
+
+    The session's own batch settings are back when the write ends, so no later
+    query sees these.
+    """
+    conf = df.sparkSession.conf
+    before = {k: conf.get(k) for k in BATCH_SETTINGS}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        yield from fn(batches)
+
+    try:
+        for key, value in zip(BATCH_SETTINGS, (rows, size)):
+            conf.set(key, str(value))
+        return shared_table(df.mapInArrow(run, schema), name)
+    finally:
+        for key, value in before.items():
+            conf.set(key, value)
+
+
 def drop_shared(df: DataFrame) -> None:
     """Delete the files of a table made by ``shared_table`` that nothing reads any more."""
     spark = df.sparkSession
