@@ -11,9 +11,6 @@ from .scalars import _c
 _SCHEME = r"[A-Za-z][A-Za-z0-9+.-]*"
 AUTHORITY_RX = r"^(?:" + _SCHEME + r":)?//([^/?#]*)"
 SCHEME_RX = r"^(" + _SCHEME + r"):"
-COMMENT_RX = r"(?s)<!--.*?-->"
-# A whole <a ...> tag; quoted values may hold ">".  Possessive, so no stack is needed.
-A_TAG_RX = r"""(?is)<a\s(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
 
 
 def url_hash(url) -> Column:
@@ -80,17 +77,21 @@ def resolve_url(base, href) -> Column:
 
 
 def attribute(tag, name: str) -> Column:
-    """An attribute's value in a tag: double-quoted, single-quoted or bare, entities decoded; null if absent."""
+    """An attribute's value in a tag: double-quoted, single-quoted or bare, entities decoded; null if absent.
+
+    The pattern passes over the attributes before it, so nothing inside their values counts.
+    """
     from .text import decode_entities
 
-    rx = r"""(?is)\s""" + name + r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    t = _c(tag)
-    value = F.concat(*[F.coalesce(F.regexp_extract(t, rx, k), F.lit("")) for k in (1, 2, 3)])
-    return F.when(t.rlike(rx), decode_entities(value))
+    value = r"""("[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)"""
+    other = r"""(?:[\s/]++(?!""" + name + r"""[\s=])[^\s=>/]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+))?+)*+"""
+    raw = F.regexp_extract(_c(tag), r"(?is)^<[a-z][^\s/>]*+" + other + r"[\s/]++" + name + r"\s*+=\s*+" + value, 1)
+    bare = F.when(F.substring(raw, 1, 1).isin('"', "'"), F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
+    return F.when(raw != "", decode_entities(bare))
 
 
 def href_list(html) -> Column:
-    """All ``<a href>`` values of a page in document order; links in comments don't count."""
-    shown = F.regexp_replace(F.coalesce(_c(html), F.lit("")), COMMENT_RX, "")
-    values = F.transform(F.regexp_extract_all(shown, F.lit(A_TAG_RX), 0), lambda tag: attribute(tag, "href"))
-    return F.filter(values, lambda v: v.isNotNull())
+    """All ``<a href>`` values of a page in document order; links in comments and scripts don't count."""
+    from .text import markup
+
+    return F.filter(F.transform(markup(html, "a"), lambda tag: attribute(tag, "href")), lambda v: v.isNotNull())

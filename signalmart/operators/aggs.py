@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..functions import scalars
+from ..functions import exact, scalars
 from ..functions.scalars import _c
 from . import filters
 
@@ -26,31 +26,24 @@ EXACT_TYPE = "decimal(38,12)"
 
 
 def exact_units(x) -> Column:
-    """A term as an exact decimal with 12 places (for sums taken in two levels)."""
+    """A term as an exact decimal with 12 places (for streaming sums of terms between 1e-12 and 1e26)."""
     return _c(x).cast("double").cast(EXACT_TYPE)
 
 
 def exact_sum(x) -> Column:
-    """Order-independent sum: each term is an exact decimal with 12 places and room up to 1e26.
-
-    Double sums depend on the order partitions are combined in, so the same data
-    on a different cluster layout could round a mean the other way; a decimal
-    sum does not.
-    """
+    """Order-independent sum as a plain aggregate, for terms between 1e-12 and 1e26; ``exact.sums`` takes any doubles."""
     return F.sum(exact_units(x)).cast("double")
 
 
-def mean_of_units(num_units, den_units, digits: int = 2) -> Column:
-    """Finalize a weighted mean from summed ``exact_units``: round(num/den, digits), 0 when den is 0."""
-    num, den = _c(num_units).cast("double"), _c(den_units).cast("double")
+def mean_of(num, den, digits: int = 2) -> Column:
+    """round(num/den, digits); 0 when den is 0 (Python would divide by zero)."""
+    num, den = _c(num).cast("double"), _c(den).cast("double")
     return F.coalesce(scalars.py_round(F.try_divide(num, F.when(den != 0, den)), digits), F.lit(0.0))
 
 
 def weighted_mean(value, weight, digits: int = 2) -> Column:
-    """round(sum(v*w)/sum(w), digits); 0 when the weights sum to 0 (Python would divide by zero)."""
-    num = exact_sum(_c(value) * _c(weight))
-    den = exact_sum(weight)
-    return F.coalesce(scalars.py_round(F.try_divide(num, F.when(den != 0, den)), digits), F.lit(0.0))
+    """round(sum(v*w)/sum(w), digits) as a plain aggregate, with the range of ``exact_sum``."""
+    return mean_of(exact_sum(_c(value) * _c(weight)), exact_sum(weight), digits)
 
 
 def region_grid(spark, regions=dims.CANONICAL_REGIONS) -> DataFrame:
@@ -79,30 +72,33 @@ def attributed(df: DataFrame, regions=dims.CANONICAL_REGIONS, ai: str = "ai_insi
 # ---------------------------------------------------------------------------
 
 
+QUARTER = ["region", "time_window"]
+MOMENTUM_TERMS = ["w", "m", *dims.DIMENSIONS]
+
+
 def momentum_sums(df: DataFrame, regions=dims.CANONICAL_REGIONS, ai: str = "ai_insights", date: str = "date", normalize: bool = True) -> DataFrame:
-    """Per (region, quarter) the exact sums that momentum is made of: ``w_u``, ``m_u`` and one per dimension.
+    """Per (region, quarter) the exact sums that momentum is made of: of the weights, and of m and each dimension times the weight.
 
-    Sums of batches add up to the sums of all their articles.
+    Binned sums (``exact``): those of batches add up to those of all their articles.
     """
     a = F.col(ai)
     dmap = a.getField("impact_dimensions")
-    w = F.coalesce(a.getField("overall_6g_importance"), F.lit(1.0))
     rows = attributed(df, regions, ai, normalize).select(
         F.col("src_region").alias("region"),
         scalars.quarter_label(F.col(date)).alias("time_window"),
-        w.alias("w"),
+        F.coalesce(a.getField("overall_6g_importance"), F.lit(1.0)).alias("w"),
         scalars.mean_numeric_map(dmap, dims.DIMENSIONS).alias("m"),
         *[F.coalesce(F.element_at(dmap, F.lit(k)), F.lit(0.0)).alias(k) for k in dims.DIMENSIONS],
     )
-    terms = {"w_u": F.col("w"), "m_u": F.col("m") * F.col("w")} | {f"{k}_u": F.col(k) * F.col("w") for k in dims.DIMENSIONS}
-    return rows.groupBy("region", "time_window").agg(*[F.sum(exact_units(t)).alias(c) for c, t in terms.items()])
+    return exact.binned_sums(rows, QUARTER, {"w": F.col("w")} | {n: F.col(n) * F.col("w") for n in MOMENTUM_TERMS[1:]})
 
 
-def momentum_of_sums(sums: DataFrame) -> DataFrame:
-    """Momentum rows from (any number of) ``momentum_sums`` rows per region and quarter."""
-    cols = [c for c in sums.columns if c.endswith("_u")]
-    g = sums.groupBy("region", "time_window").agg(*[F.sum(c).alias(c) for c in cols])
-    return g.select("region", "time_window", mean_of_units("m_u", "w_u").alias("momentum_score"), *[mean_of_units(f"{k}_u", "w_u").alias(k) for k in dims.DIMENSIONS])
+def momentum_of_sums(binned: DataFrame) -> DataFrame:
+    """Momentum rows from the ``momentum_sums`` of all articles."""
+    g = exact.doubles(binned, QUARTER, MOMENTUM_TERMS)
+    means = F.transform(F.array(*MOMENTUM_TERMS[1:]), lambda total: mean_of(total, "w"))
+    names = ["momentum_score", *dims.DIMENSIONS]
+    return g.select(*QUARTER, means.alias("_means")).select(*QUARTER, *(F.get("_means", i).alias(n) for i, n in enumerate(names)))
 
 
 def momentum(df: DataFrame, regions=dims.CANONICAL_REGIONS, ai: str = "ai_insights", date: str = "date", normalize: bool = True) -> DataFrame:
@@ -112,8 +108,7 @@ def momentum(df: DataFrame, regions=dims.CANONICAL_REGIONS, ai: str = "ai_insigh
     w = importance (1 if missing); per (region, quarter): round(sum(m*w)/sum(w), 2)
     and the same for each of the five dimensions (missing dimension = 0).
     """
-    sums = momentum_sums(df, regions, ai, date, normalize)
-    return sums.select("region", "time_window", mean_of_units("m_u", "w_u").alias("momentum_score"), *[mean_of_units(f"{k}_u", "w_u").alias(k) for k in dims.DIMENSIONS])
+    return momentum_of_sums(momentum_sums(df, regions, ai, date, normalize))
 
 
 # ---------------------------------------------------------------------------
@@ -154,9 +149,17 @@ def matrix_densify(matrix: DataFrame, regions=dims.CANONICAL_REGIONS, value: str
     )
 
 
+PAIR = ["source", "target"]
+
+
+def influence_sums(df: DataFrame, regions=dims.CANONICAL_REGIONS, ai: str = "ai_insights", normalize: bool = True) -> DataFrame:
+    """The matrix as binned sums (``exact``), present pairs only: those of batches add up."""
+    return exact.binned_sums(influence_pairs(df, regions, ai, normalize), PAIR, {"weight": F.col("contribution")})
+
+
 def influence_matrix(df: DataFrame, regions=dims.CANONICAL_REGIONS, ai: str = "ai_insights", normalize: bool = True) -> DataFrame:
     """Dense source -> target matrix of sum(score x importance), positive canonical targets only."""
-    sums = influence_pairs(df, regions, ai, normalize).groupBy("source", "target").agg(exact_sum("contribution").alias("weight"))
+    sums = exact.doubles(influence_sums(df, regions, ai, normalize), PAIR, ["weight"])
     return matrix_densify(sums, regions)
 
 
@@ -177,11 +180,8 @@ def regional_momentum(df: DataFrame, regions=dims.CANONICAL_REGIONS, ai: str = "
     """Per region: total score, mentions (score > 0), average; exact key match, no relevance filter."""
     a = F.col(ai)
     scores = df.select(F.explode(F.coalesce(a.getField("world_power_impact"), F.create_map().cast("map<string,double>"))).alias("region", "score"))
-    agg = (
-        scores.where(F.col("region").isin(list(regions)))
-        .groupBy("region")
-        .agg(exact_sum("score").alias("total_score"), F.count_if(F.col("score") > 0).alias("article_mentions"))
-    )
+    scores = scores.where(F.col("region").isin(list(regions)))
+    agg = exact.sums(scores, ["region"], {"total_score": F.col("score"), "article_mentions": (F.col("score") > 0).cast("double")})
     out = regions_table(df.sparkSession, regions).join(F.broadcast(agg), "region", "left")
     total = F.coalesce(F.col("total_score"), F.lit(0.0))
     cnt = F.coalesce(F.col("article_mentions"), F.lit(0)).cast("long")
@@ -267,7 +267,6 @@ def work_item_rollup(items: DataFrame, status: str = "status", group: str = "wor
     st = F.lower(F.col(status))
     done = st == "completed"
     post = ~done & (st.contains("postpone") | st.contains("delay") | st.contains("suspend"))
-    items.sparkSession  # noqa: B018 (keeps the call chain explicit)
     agg = items.groupingSets([[], [group]], group).agg(
         F.grouping_id().alias("gid"),
         F.count(F.lit(1)).alias("total"),
@@ -293,7 +292,7 @@ def work_item_rollup(items: DataFrame, status: str = "status", group: str = "wor
 
 def outbound_influence(snapshots: DataFrame) -> DataFrame:
     """Row sum per source region per snapshot date (the snapshots are dense, so a missing row is 0)."""
-    return snapshots.groupBy("date", "source").agg(exact_sum("weight").alias("outbound"))
+    return exact.sums(snapshots, ["date", "source"], {"outbound": F.col("weight")})
 
 
 def progress_series(std_snapshots: DataFrame) -> DataFrame:

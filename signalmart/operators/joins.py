@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..functions import scalars
+from ..functions import exact, scalars
 
 
 def anti_seen(entries: DataFrame, seen: DataFrame, key: str = "article_id") -> DataFrame:
@@ -86,10 +86,8 @@ def upsert_momentum(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def accumulate_matrix(old: DataFrame, new: DataFrame) -> DataFrame:
     """Cumulative matrix: old + new per (source, target); running twice adds twice."""
-    from .aggs import exact_sum
-
     u = old.select("source", "target", "weight").unionByName(new.select("source", "target", "weight"))
-    return u.groupBy("source", "target").agg(exact_sum("weight").alias("weight"))
+    return exact.sums(u, ["source", "target"], {"weight": F.col("weight")})
 
 
 def upsert_recent(old: DataFrame, new: DataFrame, key: str = "article_id", order: str = "entry_ord") -> DataFrame:

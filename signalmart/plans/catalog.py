@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..functions import scalars, text, urls
+from ..functions import exact, scalars, text, urls
 from ..operators import aggs, enrich, filters, joins, reshape, standards, topk
 from ..sources import pages as pages_src
 from ..sources.fixtures import AS_OF, RUN_DATE, Fixtures
@@ -58,7 +58,7 @@ def feed_health(spark, sf_dir):
 def matrix_densify(spark, sf_dir):
     fx = _fx(spark, sf_dir)
     arts = fx.articles.where(_ai().getField("source_region") == "South Korea")
-    sums = aggs.influence_pairs(arts).groupBy("source", "target").agg(aggs.exact_sum("contribution").alias("weight"))
+    sums = exact.doubles(aggs.influence_sums(arts), aggs.PAIR, ["weight"])
     return aggs.matrix_densify(sums)
 
 
@@ -428,7 +428,7 @@ def _monthly_snapshots(arts: DataFrame) -> DataFrame:
     )
     p = p.withColumn("target", scalars.normalize_region("target_raw"))
     p = filters.filter_positive_target(p)
-    return p.groupBy("date", "source", "target").agg(aggs.exact_sum(F.col("score") * F.col("w")).alias("weight"))
+    return exact.sums(p, ["date", "source", "target"], {"weight": F.col("score") * F.col("w")})
 
 
 def _snapshot_history(fx: Fixtures) -> DataFrame:

@@ -17,32 +17,34 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions import scalars, text, urls
 from ..operators import aggs, filters, joins, standards, topk
-from ..session import materialize
-from ..sources import sinks, state
+from ..session import discard, materialize
+from ..sources import commits, sinks, state
 
 
-def keyword_candidates(entries: DataFrame, as_of: str, seen: DataFrame | None = None, languages: DataFrame | None = None) -> DataFrame:
+def keyword_candidates(entries: DataFrame, as_of: str, seen: DataFrame | None = None, languages: DataFrame | None = None, bloom: bool = False) -> DataFrame:
     """Entries that reach enrichment: link present, not seen, recent, keyword score (or bypass).
 
-    The predicates are independent, so the row-local ones run first (in the
-    scan's stage) and the seen-cache anti-join, the only one that shuffles
-    whole entries, sees only the entries that pass them.
+    The cheap row-local predicates run first, in the scan's stage.  The seen cache
+    comes before the scoring: its Bloom filter lets surely new entries pass within
+    the same stage, and only what may be seen is shuffled for the exact anti-join.
     """
     e = filters.filter_has_link(entries).withColumn("article_id", urls.url_hash("link"))
     e = filters.filter_recent(e, as_of)
+    if bloom and seen is not None:
+        e = commits.anti_seen(e, seen)
     e = e.withColumn("score", text.relevance_score("title", "summary"))
     if languages is not None:
         e = filters.filter_relevance(joins.bypass_lookup(e, languages, "source"), "score", "bypass")
     else:
         e = filters.filter_relevance(e)
-    if seen is not None:
+    if seen is not None and not bloom:
         e = joins.anti_seen(e, seen)
     return e
 
 
-def gated_articles(entries: DataFrame, seen: DataFrame | None, responses: DataFrame, as_of: str, languages: DataFrame | None = None, key: str = "entry_ord") -> DataFrame:
+def gated_articles(entries: DataFrame, seen: DataFrame | None, responses: DataFrame, as_of: str, languages: DataFrame | None = None, key: str = "entry_ord", bloom: bool = False) -> DataFrame:
     """Candidates with their profile (joined on ``key``) that pass the gate; ``responses`` has at most one profile per key."""
-    cands = keyword_candidates(entries, as_of, seen, languages)
+    cands = keyword_candidates(entries, as_of, seen, languages, bloom)
     return filters.gate_profile(joins.enrich_join(cands, responses.select(key, "ai_insights"), key))
 
 
@@ -115,9 +117,7 @@ def digest_lines(kept: DataFrame, existing_links: DataFrame, run_date: str, exis
 def _star_dims(fx):
     li = fx.table("lineitem")
     o = fx.table("orders")
-    geo = F.broadcast(
-        fx.table("nation").join(F.broadcast(fx.table("region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
-    )
+    geo = fx.table("nation").join(fx.table("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
     sup = fx.table("supplier").join(geo, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("r_name").alias("supp_region"))
     cus = fx.table("customer").join(geo, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("r_name").alias("cust_region"))
     return li, o, sup, cus
@@ -137,30 +137,30 @@ def star_momentum(fx) -> DataFrame:
     li, o, sup, _ = _star_dims(fx)
     rows = li.join(o.select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
     dv = {
-        "research_intensity": F.col("l_linenumber").cast("double"),
-        "standardization_influence": (F.col("l_quantity") % 6).cast("double"),
-        "industrial_deployment": (F.col("l_partkey") % 6).cast("double"),
-        "spectrum_policy_signal": (F.col("l_suppkey") % 6).cast("double"),
-        "ecosystem_maturity": (F.col("l_orderkey") % 6).cast("double"),
+        "research_intensity": F.col("l_linenumber").cast("long"),
+        "standardization_influence": (F.col("l_quantity") % 6).cast("long"),
+        "industrial_deployment": (F.col("l_partkey") % 6).cast("long"),
+        "spectrum_policy_signal": (F.col("l_suppkey") % 6).cast("long"),
+        "ecosystem_maturity": (F.col("l_orderkey") % 6).cast("long"),
     }
-    w = F.col("l_quantity")
-    m = sum((dv[k] for k in dims.DIMENSIONS), F.lit(0.0)) / F.lit(float(len(dims.DIMENSIONS)))
+    # every term is a whole number (m is a fifth of one), so long sums are exact
+    w = F.col("l_quantity").cast("long")
     per_row = rows.select(
         "l_suppkey",
         scalars.quarter_label(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("time_window"),
-        aggs.exact_units(w).alias("w_u"),
-        aggs.exact_units(m * w).alias("m_u"),
-        *[aggs.exact_units(dv[k] * w).alias(f"{k}_u") for k in dims.DIMENSIONS],
+        w.alias("w_u"),
+        *[(dv[k] * w).alias(f"{k}_u") for k in dims.DIMENSIONS],
     )
-    cols = ["w_u", "m_u"] + [f"{k}_u" for k in dims.DIMENSIONS]
+    cols = ["w_u"] + [f"{k}_u" for k in dims.DIMENSIONS]
     pre = per_row.groupBy("l_suppkey", "time_window").agg(*[F.sum(c).alias(c) for c in cols])
     per_region = pre.join(sup, F.col("l_suppkey") == F.col("s_suppkey")).where(F.col("supp_region").isin(TPCH_REGIONS))
     g = per_region.groupBy(F.col("supp_region").alias("region"), "time_window").agg(*[F.sum(c).alias(c) for c in cols])
+    fifths = sum((F.col(f"{k}_u") for k in dims.DIMENSIONS), F.lit(0)).cast("double") / F.lit(float(len(dims.DIMENSIONS)))
     return g.select(
         "region",
         "time_window",
-        aggs.mean_of_units("m_u", "w_u").alias("momentum_score"),
-        *[aggs.mean_of_units(f"{k}_u", "w_u").alias(k) for k in dims.DIMENSIONS],
+        aggs.mean_of(fifths, "w_u").alias("momentum_score"),
+        *[aggs.mean_of(f"{k}_u", "w_u").alias(k) for k in dims.DIMENSIONS],
     )
 
 
@@ -174,7 +174,7 @@ def star_influence(fx) -> DataFrame:
     li, o, sup, cus = _star_dims(fx)
     orders = o.join(cus, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "cust_region")
     rows = li.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).where(F.col("cust_region").isin(TPCH_REGIONS))
-    pre = rows.groupBy("l_suppkey", "cust_region").agg(F.sum(aggs.exact_units(F.lit(1.0) * F.col("l_quantity"))).alias("u"))
+    pre = rows.groupBy("l_suppkey", "cust_region").agg(F.sum(F.col("l_quantity").cast("long")).alias("u"))
     pairs = pre.join(sup, F.col("l_suppkey") == F.col("s_suppkey")).where(F.col("supp_region").isin(TPCH_REGIONS))
     sums = pairs.groupBy(F.col("supp_region").alias("source"), F.col("cust_region").alias("target")).agg(
         F.sum("u").cast("double").alias("weight")
@@ -223,13 +223,13 @@ def run_monthly(spark, entries: DataFrame, responses: DataFrame, paths: RunPaths
     digest and, unless the cycle is quiet, the date's snapshot in the history.
     """
     as_of = as_of or run_date
-    seen_version = state.latest_version(spark, paths.seen)
-    seen = filters.evict_stale(state.scan_table(spark, paths.seen, state.SEEN_SCHEMA), as_of)
+    store = commits.SeenStore(spark, paths.seen)
+    seen = commits.read_seen(spark, paths.seen, as_of)
     # the gated entries are read twice by the de-dup, the accepted ones by six
     # sinks: cut the lineage after each, as a columnar table in the shared
     # checkpoint folder (survives executor loss, unlike a local cache; each
     # reader reads only its columns)
-    gated = materialize(gated_articles(entries, seen, responses, as_of, languages, key), "gated-entries")
+    gated = materialize(gated_articles(entries, seen, responses, as_of, languages, key, bloom=True), "gated-entries")
     new = materialize(joins.dedup_cross_feed(gated).withColumn("ai_insights", scalars.with_impact_score("ai_insights")), "accepted-entries")
     arts = article_project(new, run_date)
     # of repeats inside one feed, the later entry is the one the recent list keeps
@@ -252,7 +252,7 @@ def run_monthly(spark, entries: DataFrame, responses: DataFrame, paths: RunPaths
         # run.  A run is named by its date and the seen cache it started from: a
         # repeat after a failure starts from the same cache and replaces its own
         # contribution, a further run of the date starts from a newer one and adds
-        run_id = f"{run_date}-{seen_version.rsplit('=', 1)[1] if seen_version else 'first'}"
+        run_id = f"{run_date}-{store.number if store.number >= 0 else 'first'}"
         contrib = aggs.influence_matrix(arts).withColumn("run_id", F.lit(run_id))
         sinks.write_partitioned(contrib, paths.matrix_runs, "run_id")
         runs = spark.read.parquet(paths.matrix_runs).select("source", "target", "weight")
@@ -268,8 +268,12 @@ def run_monthly(spark, entries: DataFrame, responses: DataFrame, paths: RunPaths
         if not quiet:
             out["std_snapshots"] = sinks.append_snapshot(std.withColumn("date", F.lit(run_date)), paths.std_snapshots)
     # from the materialized entries: the accepted set is not recomputed
-    cache_add = new.select("article_id", F.col("link").alias("url"), "title", F.lit(run_date).alias("processed_date"))
-    out["seen"] = sinks.write_versioned(joins.upsert(seen.select(*cache_add.columns), cache_add, ["article_id"]), paths.seen)
+    # a run appends its new rows only; dates beyond the TTL go as whole partitions
+    if not quiet:
+        store.append(last.select("article_id", F.col("link").alias("url"), "title"), run_date, expire_before=commits.days_before(as_of))
+    out["seen"] = paths.seen
+    for table in (gated, new):
+        discard(table)
     return out
 
 

@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions import text, urls
-from ..functions.scalars import py_strip
-
-LINK_TAG_RX = r"(?is)<link\b[^>]*>"
+from ..functions.scalars import let, py_strip
 
 
 def page_links(pages: DataFrame, page: str = "page_id", html: str = "html") -> DataFrame:
@@ -24,18 +22,12 @@ def _attr(tag, name: str):
 def feed_autodiscovery(pages: DataFrame, url: str = "url", html: str = "html", content_type: str = "content_type") -> DataFrame:
     """Page -> feed URL: an XML/RSS content type is the feed itself; else the first
     ``<link rel="alternate">`` with a feed type, resolved against the page URL."""
-    tags = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(LINK_TAG_RX), 0)
-    alt = F.filter(
-        tags,
-        lambda t: F.lower(_attr(t, "rel")).contains("alternate")
-        & _attr(t, "type").isin(dims.FEED_LINK_TYPES)
-        & (_attr(t, "href") != ""),
-    )
-    first_href = _attr(F.get(alt, 0), "href")
+    links = F.transform(text.markup(html, "link"), lambda t: F.struct(_attr(t, "rel").alias("rel"), _attr(t, "type").alias("type"), _attr(t, "href").alias("href")))
+    alt = F.filter(links, lambda l: F.lower(l.getField("rel")).contains("alternate") & l.getField("type").isin(dims.FEED_LINK_TYPES) & (l.getField("href") != ""))
+    first_href = F.get(alt, 0).getField("href")
+    resolved = let(first_href, lambda href: F.when(href.isNotNull(), urls.resolve_url(F.col(url), href)))
     ct = F.lower(F.coalesce(F.col(content_type), F.lit(""))) if content_type in pages.columns else F.lit("")
-    feed = F.when(ct.contains("xml") | ct.contains("rss"), F.col(url)).when(
-        F.size(alt) > 0, urls.resolve_url(F.col(url), first_href)
-    )
+    feed = F.when(ct.contains("xml") | ct.contains("rss"), F.col(url)).otherwise(resolved)
     return pages.select(F.col(url), feed.alias("feed_url"))
 
 
