@@ -85,3 +85,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{root}/signalmart-tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table made by ``materialize`` that nothing reads any more."""
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if "/signalmart-tables/" in folder:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)

@@ -1,8 +1,9 @@
 """State readers: digest, seen cache, momentum / matrix / recent / history tables.
 
-Every reader degrades to an empty DataFrame of the fixed schema when the
-state is missing or unreadable (the tracked pipeline resets state the same
-way), and reads JSON with an explicit schema (no inference pass).
+Missing state is an empty DataFrame of the fixed schema.  A versioned table that is
+there but can't be read is an error (``read_latest``); the JSON readers take malformed text
+for empty state, as the tracked pipeline does, and read with an explicit schema (no
+inference pass).
 """
 
 from __future__ import annotations
@@ -47,7 +48,17 @@ def versions(spark: SparkSession, path: str) -> list[tuple[int, str, bool]]:
 
 
 def latest_version(spark: SparkSession, path: str) -> str | None:
-    """Newest committed ``v=<n>`` folder of a versioned table (written by ``sinks.write_versioned``)."""
+    """Newest committed ``v=<n>`` folder of a versioned table.
+
+    Where a commit record of the parent folder (``commits``) names the table, its version
+    counts; otherwise the newest folder that a job has finished (``sinks.write_versioned``).
+    """
+    from . import commits
+
+    parent, _, name = path.rstrip("/").rpartition("/")
+    named = commits.record(spark, parent).get("tables", {}).get(name)
+    if named is not None:
+        return f"{path.rstrip('/')}/v={named}"
     committed = [n for n, _, done in versions(spark, path) if done]
     return f"{path.rstrip('/')}/v={committed[-1]}" if committed else None
 
@@ -58,6 +69,10 @@ def read_latest(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
     A table that can't be listed or read is an error: taking it for empty would
     make the next write drop the history.
     """
+    from . import commits
+
+    if commits.numbers(spark, path.rstrip("/")):
+        return commits.read_seen(spark, path)
     v = latest_version(spark, path)
     return empty(spark, schema) if v is None else spark.read.schema(schema).parquet(v)
 
