@@ -321,22 +321,35 @@ def domain_best_method(log: DataFrame, url: str = "url") -> DataFrame:
     )
 
 
-def feed_health(registry: DataFrame, entries: DataFrame) -> DataFrame:
-    """Status per registered feed: ok / empty (entries but none usable) / missing (nothing read)."""
+def feed_health(registry: DataFrame, entries: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """Status per registered feed: ok / empty (no usable entry) / missing (nothing read).
+
+    With ``documents`` (``feeds.scan_feed_documents``), a document that isn't
+    well-formed is told apart: ``error`` if it gave no entries (such a feed is
+    dropped from the run), ``ok_with_error`` if some could be read; a sound
+    document without entries is ``empty``, a feed without a document ``missing``.
+    """
     per = entries.groupBy("source").agg(
         F.count(F.lit(1)).alias("n_entries"),
         F.count_if(F.coalesce(F.col("link"), F.lit("")) != "").alias("n_with_link"),
     )
-    # the registry is small and fixed; the aggregate has one row per source
+    # the registry is small and fixed; the aggregates have one row per source
     j = registry.join(per, "source", "left")
     n = F.coalesce(F.col("n_entries"), F.lit(0)).cast("long")
     w = F.coalesce(F.col("n_with_link"), F.lit(0)).cast("long")
-    return j.select(
-        "source",
-        n.alias("n_entries"),
-        w.alias("n_with_link"),
-        F.when(n == 0, "missing").when(w == 0, "empty").otherwise("ok").alias("status"),
-    )
+    status = F.when(n == 0, "missing").when(w == 0, "empty").otherwise("ok")
+    if documents is not None:
+        read = documents.groupBy("source").agg(F.bool_or("parse_error").alias("parse_error"))
+        j = j.join(read, "source", "left")
+        wrong = F.coalesce(F.col("parse_error"), F.lit(False))
+        status = (
+            F.when(F.col("parse_error").isNull() & (n == 0), "missing")
+            .when(wrong & (n == 0), "error")
+            .when(wrong & (w > 0), "ok_with_error")
+            .when(w == 0, "empty")
+            .otherwise("ok")
+        )
+    return j.select("source", n.alias("n_entries"), w.alias("n_with_link"), status.alias("status"))
 
 
 def briefing_context(articles: DataFrame, totals: DataFrame, k: int = 5, ai: str = "ai_insights") -> DataFrame:
