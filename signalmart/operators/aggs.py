@@ -1,15 +1,16 @@
 """Aggregations.
 
-All of them are hash aggregates with a partial (map-side) phase, so a key that
+All of them are aggregates with a partial (map-side) phase, so a key that
 holds a third of the rows is pre-combined in every task before the shuffle and
-never lands whole in one task.  Results keyed by canonical regions are bounded
+never lands whole in one task (what is joined back to its rows goes through
+``joins.join_aggregate``).  Results keyed by canonical regions are bounded
 (6 x 6, 6 x quarters) by construction; only those are joined with broadcast
 dimension tables.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims
@@ -250,7 +251,8 @@ def distinct_sources(df: DataFrame) -> DataFrame:
 
 
 def is_quiet(df: DataFrame) -> DataFrame:
-    return df.agg((F.count(F.lit(1)) == 0).alias("is_quiet"))
+    """Whether there is no row: one row at most is read on."""
+    return df.limit(1).agg((F.count(F.lit(1)) == 0).alias("is_quiet"))
 
 
 # ---------------------------------------------------------------------------
@@ -310,6 +312,23 @@ def run_metrics(fetched: DataFrame, new_articles: DataFrame) -> DataFrame:
     )
 
 
+def run_metrics_of(flagged: DataFrame) -> DataFrame:
+    """``run_metrics`` in one pass over all entries (source, article_id, feed_ord, gated).
+
+    ``gated`` marks the entries that pass all filters and the gate.  Counts are
+    taken per source, url and feed first; the first feed per url then decides over these few rows, so
+    neither the entries nor the pipeline behind them are read twice.
+    """
+    last = F.lit((1 << 31) - 1)
+    feed = F.coalesce(F.col("feed_ord"), last).alias("feed")
+    per = flagged.groupBy("source", "article_id", feed).agg(F.count(F.lit(1)).alias("n"), F.count_if("gated").alias("g"))
+    first = F.min(F.when(F.col("g") > 0, F.col("feed"))).over(Window.partitionBy("article_id"))
+    kept = F.when(F.col("feed") == first, F.col("g")).otherwise(0)
+    return per.select("source", "n", kept.alias("kept")).rollup("source").agg(
+        F.sum("n").cast("long").alias("fetched_entries"), F.sum("kept").cast("long").alias("new_articles")
+    )
+
+
 def domain_best_method(log: DataFrame, url: str = "url") -> DataFrame:
     """Latest successful fetch method per domain (the method cache)."""
     from ..functions import urls

@@ -17,6 +17,22 @@ from .. import dims
 from ..functions import exact, scalars
 
 
+def join_aggregate(df: DataFrame, per_key: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``df`` joined to an aggregate of one row per ``key`` (its first column), so that a hot key's rows can be split.
+
+    An aggregate arrives partitioned by its key; joined on it as it is, its stage can't be
+    split, and all rows of a hot key meet in one task.  Joined on a derived key, both
+    sides are plain shuffles (the aggregate's is narrow), whose skewed partitions adaptive
+    execution splits.  Null keys match each other.
+    """
+    first = per_key.columns[0]
+
+    def derived(col: str):
+        return F.coalesce(F.concat(F.lit("="), F.col(col).cast("string")), F.lit("null"))
+
+    return df.withColumn("_derived", derived(key)).join(per_key.withColumn("_derived", derived(first)).drop(first), "_derived", how).drop("_derived")
+
+
 def anti_seen(entries: DataFrame, seen: DataFrame, key: str = "article_id") -> DataFrame:
     """Entries whose url hash is not in the seen cache."""
     return entries.join(seen.select(key), key, "left_anti")
@@ -26,13 +42,14 @@ def dedup_cross_feed(df: DataFrame, key: str = "article_id", feed_ord: str = "fe
     """Drop a url already taken by an earlier feed; repeats inside one feed survive.
 
     A null feed number (an unregistered feed) counts as the last feed.  The first
-    feed per key is a partial aggregate over two narrow columns, joined back on
-    the key; callers with a costly input write it out first, since it is read
+    feed per key is a partial aggregate over two narrow columns, joined back by
+    ``join_aggregate``; callers with a costly input write it out first, since it is read
     twice.
     """
     last = F.lit((1 << 31) - 1)
     first = df.groupBy(F.col(key).alias("_key")).agg(F.min(F.coalesce(F.col(feed_ord), last)).alias("_first_feed"))
-    return df.join(first, F.col(key).eqNullSafe(F.col("_key"))).where(F.coalesce(F.col(feed_ord), last) == F.col("_first_feed")).drop("_key", "_first_feed")
+    kept = join_aggregate(df, first, key).where(F.coalesce(F.col(feed_ord), last) == F.col("_first_feed"))
+    return kept.select(*df.columns)
 
 
 def bypass_lookup(df: DataFrame, languages: DataFrame, key: str = "source", out: str = "bypass") -> DataFrame:

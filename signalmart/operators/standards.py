@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions import scalars, text, urls
 from . import aggs, filters
+from .joins import join_aggregate
 
 
 # ---------------------------------------------------------------------------
@@ -108,7 +109,16 @@ def release_status(totals: DataFrame, as_of: str, data_source: str = "live") ->
         F.col("total").alias("total_work_items"),
         "in_progress",
         "postponed",
-    ).unionByName(g.agg(F.count(F.lit(1)).alias("working_groups")), allowMissingColumns=True)
+    ).unionByName(
+        # one entry per working group: a map of a few dozen groups
+        g.agg(
+            F.count(F.lit(1)).alias("working_groups"),
+            F.map_from_entries(
+                F.array_sort(F.collect_list(F.struct(F.coalesce("working_group", F.lit("")).alias("key"), F.struct("total", "completed", "in_progress", "postponed", "progress").alias("value"))))
+            ).alias("work_items_by_group"),
+        ),
+        allowMissingColumns=True,
+    )
     return one.agg(
         F.coalesce(F.max("progress_percentage"), F.lit(0.0)).alias("progress_percentage"),
         F.coalesce(F.max("completed"), F.lit(0)).cast("long").alias("completed"),
@@ -118,6 +128,7 @@ def release_status(totals: DataFrame, as_of: str, data_source: str = "live") ->
         F.lit(as_of).alias("last_updated"),
         F.lit(data_source).alias("data_source"),
         F.coalesce(F.max("working_groups"), F.lit(0)).cast("long").alias("working_groups"),
+        F.any_value("work_items_by_group", ignoreNulls=True).alias("work_items_by_group"),
     )
 
 
@@ -203,7 +214,7 @@ def json_list_or_items(results: DataFrame, keep_plain: bool = False) -> DataFram
     items come back as JSON text, string items as the string.
     """
     n = results.groupBy("call_id").agg(F.count(F.lit(1)).alias("_n"))
-    r = results.join(n, "call_id").withColumn("_v", F.try_parse_json("text"))
+    r = join_aggregate(results, n, "call_id").withColumn("_v", F.try_parse_json("text"))
     kind = F.schema_of_variant(F.col("_v"))
     nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
     value = F.when(nested, F.to_json(F.col("_v"))).otherwise(F.try_variant_get(F.col("_v"), "$", "string"))

@@ -48,6 +48,21 @@ def gated_articles(entries: DataFrame, seen: DataFrame | None, responses: DataFr
     return filters.gate_profile(joins.enrich_join(cands, responses.select(key, "ai_insights"), key))
 
 
+def flagged_entries(entries: DataFrame, seen: DataFrame, responses: DataFrame, as_of: str, key: str = "entry_ord") -> DataFrame:
+    """All entries as (source, article_id, feed_ord, gated), in one pass: what ``aggs.run_metrics_of`` counts.
+
+    ``responses`` has at most one profile per key, ``seen`` may repeat ids.
+    """
+    e = entries.withColumn("article_id", F.when(F.coalesce(F.col("link"), F.lit("")) != "", urls.url_hash("link")))
+    passes = F.col("article_id").isNotNull() & filters.is_recent("published", as_of) & filters.passes_relevance(text.relevance_score("title", "summary"))
+    rows = e.select("source", "feed_ord", "article_id", *({key} - {"source", "feed_ord", "article_id"}), F.coalesce(passes, F.lit(False)).alias("passes"))
+    known = seen.select(F.col("article_id").alias("_seen")).distinct()
+    profiles = responses.select(key, filters.gate_passes("ai_insights").alias("gate"))
+    rows = rows.join(known, F.col("article_id") == F.col("_seen"), "left").join(profiles, key, "left")
+    gated = F.col("passes") & F.col("_seen").isNull() & F.coalesce(F.col("gate"), F.lit(True))
+    return rows.select("source", "article_id", "feed_ord", gated.alias("gated"))
+
+
 def new_articles(entries: DataFrame, seen: DataFrame | None, responses: DataFrame, as_of: str, languages: DataFrame | None = None, key: str = "entry_ord") -> DataFrame:
     """Accepted articles of this run: gated candidates after cross-feed de-dup."""
     return joins.dedup_cross_feed(gated_articles(entries, seen, responses, as_of, languages, key))
@@ -96,7 +111,8 @@ def digest_lines(kept: DataFrame, existing_links: DataFrame, run_date: str, exis
     summ = F.when(ai.isNotNull(), F.coalesce(ai.getField("summary"), text.truncate_text("summary"))).otherwise(text.truncate_text("summary"))
     title = F.coalesce(F.col("title"), F.lit("No Title"))
     link = F.coalesce(F.col("link"), F.lit("#"))
-    body = kept.join(existing_links.select("link").distinct(), "link", "left_anti")
+    # no distinct below an anti-join: a hot link's rows can then be split
+    body = kept.join(existing_links.select("link"), "link", "left_anti")
     lines = F.array(
         F.struct(F.lit(1).alias("line_no"), F.concat(F.lit("### ["), title, F.lit("]("), link, F.lit(")")).alias("line")),
         F.struct(F.lit(2).alias("line_no"), F.concat(F.lit("> **Relevance Score:** "), score_str, pub).alias("line")),
@@ -110,7 +126,7 @@ def digest_lines(kept: DataFrame, existing_links: DataFrame, run_date: str, exis
         F.lit(0).alias("line_no"), F.concat(F.lit("## "), F.col("source"), F.lit(" — " + run_date)).alias("line"),
     )
     if existing_headers is not None:
-        hdr = hdr.join(existing_headers.select("line").distinct(), "line", "left_anti")
+        hdr = hdr.join(existing_headers.select("line"), "line", "left_anti")
     return hdr.unionByName(art.withColumn("entry_ord", F.col("entry_ord").cast("long")))
 
 

@@ -74,8 +74,7 @@ def _recovered(content: Column) -> Column:
         return _entries_of(F.from_xml(wrapped, DOCUMENT, PARSE))
 
     found = F.flatten(F.transform(F.regexp_extract_all(content, F.lit(FRAGMENT_RX), 0), one))
-    decoded = {n: lambda e, n=n: text.decode_entities(e.getField(n)) for n in ("title", "link", "summary")}
-    return F.transform(found, lambda e: _plain(*(decoded[n](e) for n in ("title", "link", "summary")), e.getField("published")))
+    return F.transform(found, lambda e: _plain(*(text.decode_entities(e.getField(n)) for n in ("title", "link", "summary")), e.getField("published")))
 
 
 def _documents(files: DataFrame, registry: DataFrame | None) -> DataFrame:

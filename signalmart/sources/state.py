@@ -130,6 +130,17 @@ def scan_momentum_json(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode(arr).alias("m")).select("m.*")
 
 
+def matrix_as_of(spark: SparkSession, snapshots: str, current, date: str) -> DataFrame:
+    """The matrix stored for ``date`` (``sinks.append_snapshot``), else what ``current()`` gives: (source, target, weight, origin).
+
+    Only that date's folder is read, and ``current`` isn't called where it exists.
+    """
+    if _exists(spark, f"{snapshots.rstrip('/')}/date={date}"):
+        rows = spark.read.schema(MATRIX_SCHEMA).parquet(f"{snapshots.rstrip('/')}/date={date}")
+        return rows.select("source", "target", "weight", F.lit("snapshot").alias("origin"))
+    return current().select("source", "target", "weight", F.lit("current").alias("origin"))
+
+
 def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of the committed batches of a text sink (``sinks.write_digest_text``); empty when nothing was written."""
     done = [folder for _, folder, committed in versions(spark, path) if committed]
