@@ -16,6 +16,12 @@ def union_groups(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def quarter_labels(start: str, end: str) -> list[str]:
+    """The quarters from one day to another, as momentum labels them: a pivot's columns without a job to find them."""
+    first, last = (int(d[:4]) * 4 + (int(d[5:7]) - 1) // 3 for d in (start, end))
+    return [f"{q // 4}-Q{q % 4 + 1}" for q in range(first, last + 1)]
+
+
 def pivot_momentum(momentum_rows: DataFrame, quarters: list[str] | None, regions=dims.CANONICAL_REGIONS, value: str = "momentum_score") -> DataFrame:
     """Region x quarter grid (one column per quarter), absent cells null, every region present.
 

@@ -57,9 +57,9 @@ def feed_health(spark, sf_dir):
 @query
 def matrix_densify(spark, sf_dir):
     fx = _fx(spark, sf_dir)
-    arts = fx.articles.where(_ai().getField("source_region") == "South Korea")
-    sums = exact.doubles(aggs.influence_sums(arts), aggs.PAIR, ["weight"])
-    return aggs.matrix_densify(sums)
+    sums = exact.doubles(aggs.influence_sums(fx.articles), aggs.PAIR, ["weight"])
+    # one region more than any article has: its row and column are all zeros
+    return aggs.matrix_densify(sums, [*dims.CANONICAL_REGIONS, "Mars"])
 
 
 @query
@@ -70,9 +70,13 @@ def page_links(spark, sf_dir):
 @query
 def fallback_if_empty(spark, sf_dir):
     arts = _linked_articles(_fx(spark, sf_dir))
-    primary = arts.where(F.col("date") > AS_OF).select("article_id", "date")
     cached = topk.rolling_recent(arts, AS_OF).select("article_id", "date")
-    return joins.fallback_if_empty(primary, cached, "live", "cached")
+    cases = []
+    # nothing is newer than the run date, many are of the last month
+    for name, since in (("empty", AS_OF), ("filled", "2024-06-01")):
+        primary = arts.where(F.col("date") > since).select("article_id", "date")
+        cases.append(joins.fallback_if_empty(primary, cached, "live", "cached").withColumn("primary_side", F.lit(name)))
+    return cases[0].unionByName(cases[1])
 
 
 # ---------------------------------------------------------------------------
@@ -277,13 +281,13 @@ def extract_date(spark, sf_dir):
 @query
 def extract_agreements(spark, sf_dir):
     r = _fx(spark, sf_dir).reports
-    return r.select("meeting_id", F.posexplode(text.extract_agreements("content", 10)).alias("pos", "agreement"))
+    return r.select("meeting_id", F.posexplode(text.extract_agreements("content")).alias("pos", "agreement"))
 
 
 @query
 def extract_tdocs(spark, sf_dir):
     r = _fx(spark, sf_dir).reports
-    return r.select("meeting_id", F.explode(text.extract_tdocs("content", 20)).alias("tdoc"))
+    return r.select("meeting_id", F.explode(text.extract_tdocs("content")).alias("tdoc"))
 
 
 @query
@@ -315,6 +319,21 @@ def parse_meeting_reports(spark, sf_dir):
     return _flat_meetings(_meetings(_fx(spark, sf_dir)))
 
 
+@query
+def parse_html_reports(spark, sf_dir):
+    """Meeting reports as HTML pages: every whole page with a report's sentences in its markup."""
+    p = _fx(spark, sf_dir).pages
+    pid = F.col("page_id")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (pid % 90).cast("int")).cast("string")
+    minutes = F.concat(
+        F.lit('<div title="a > b"><p>Venue: Sophia Antipolis, France</p><p>Held on '), day,
+        F.lit("</p><!-- agreed: nothing --><p>agreed: R1-23"), F.lpad((pid % 100000).cast("string"), 5, "0"),
+        F.lit(" &amp; S2-2401234</p><script>var x = 'rejected';</script></div>"),
+    )
+    reports = p.select(pid.alias("meeting_id"), F.lit("RAN1").alias("working_group"), F.concat("html", minutes).alias("content"), F.lit("html").alias("content_type"))
+    return _flat_meetings(standards.parse_meeting_reports(reports, content_type="content_type"))
+
+
 @query
 def work_item_status_a(spark, sf_dir):
     w = _fx(spark, sf_dir).work_items
@@ -366,9 +385,9 @@ def dedup_cross_feed(spark, sf_dir):
 @query
 def bypass_lookup(spark, sf_dir):
     fx = _fx(spark, sf_dir)
-    langs = spark.createDataFrame([("de",)], "lang string")
+    langs = spark.createDataFrame([("src3", "de"), ("src7", "fr"), ("src7", "en")], "source string, lang string")
     e = fx.entries.withColumn("score", text.relevance_score("title", "summary"))
-    j = joins.bypass_lookup(e, langs, key="lang")
+    j = joins.bypass_lookup(e, langs)
     return j.select("entry_ord", "bypass", filters.passes_relevance("score", "bypass").alias("passes"))
 
 
@@ -433,8 +452,10 @@ def _monthly_snapshots(arts: DataFrame) -> DataFrame:
 
 def _snapshot_history(fx: Fixtures) -> DataFrame:
     a = fx.articles
-    hist = _monthly_snapshots(_even(a)).where(F.col("date") <= "2024-03-01")
-    new = _monthly_snapshots(a).where(F.col("date") >= "2024-03-01")
+    # one month is in both: the one in the history stays
+    snaps = _monthly_snapshots(a)
+    hist = snaps.where(F.col("date") <= "2024-03-01")
+    new = snaps.where(F.col("date") >= "2024-03-01")
     return joins.append_snapshot_if_absent(hist, new)
 
 
@@ -452,10 +473,9 @@ def matrix_as_of(spark, sf_dir):
 
 def _search_hits(fx: Fixtures) -> DataFrame:
     p = fx.pages
-    links = pages_src.page_links(p)
-    return links.join(p.select("page_id", F.col("url").alias("title"), F.col("html").alias("snippet")), "page_id").select(
-        "page_id", "pos", F.col("href").alias("url"), "title", "snippet"
-    )
+    cut = F.substring("html", 1, dims.SUMMARY_CUT).alias("snippet")
+    links = pages_src.page_links(p.select("page_id", F.col("url").alias("title"), "html", cut), keep=("title", "snippet"))
+    return links.select("page_id", "pos", F.col("href").alias("url"), "title", "snippet")
 
 
 @query
@@ -521,13 +541,15 @@ def distinct_sources(spark, sf_dir):
     return aggs.distinct_sources(_fx(spark, sf_dir).entries)
 
 
-def _new_articles(fx: Fixtures) -> DataFrame:
-    return monthly.new_articles(fx.entries, fx.seen, fx.articles, AS_OF)
+def _gated_articles(fx: Fixtures) -> DataFrame:
+    return monthly.gated_articles(fx.entries, fx.seen, fx.articles, AS_OF)
 
 
 @query
 def is_quiet(spark, sf_dir):
-    return aggs.is_quiet(_new_articles(_fx(spark, sf_dir)))
+    fx = _fx(spark, sf_dir)
+    # de-dup never takes a url's last entry: no accepted entry means no gated one
+    return aggs.is_quiet(_gated_articles(fx))
 
 
 @query
@@ -568,7 +590,7 @@ def progress_series(spark, sf_dir):
 @query
 def run_metrics(spark, sf_dir):
     fx = _fx(spark, sf_dir)
-    return aggs.run_metrics(fx.entries, _new_articles(fx))
+    return aggs.run_metrics_of(monthly.flagged_entries(fx.entries, fx.seen, fx.articles.select("entry_ord", "ai_insights"), AS_OF))
 
 
 def _fetch_log(fx: Fixtures) -> DataFrame:
@@ -610,8 +632,8 @@ def top_meetings_per_group(spark, sf_dir):
 
 @query
 def first_report_file(spark, sf_dir):
-    links = pages_src.page_links(_fx(spark, sf_dir).pages)
-    return topk.first_report_file(links, F.length("href") > 6)
+    files = _fx(spark, sf_dir).report_files
+    return topk.first_report_file(files, filters.is_report_file(F.col("href")), page="doc_id")
 
 
 def _momentum_rows(fx: Fixtures) -> DataFrame:
@@ -648,8 +670,8 @@ def union_groups(spark, sf_dir):
 @query
 def pivot_momentum(spark, sf_dir):
     m = _momentum_rows(_fx(spark, sf_dir))
-    piv = reshape.pivot_momentum(m, None)
-    quarters = [c for c in piv.columns if c not in ("region", "region_ord")]
+    quarters = reshape.quarter_labels("2023-10-01", AS_OF)
+    piv = reshape.pivot_momentum(m, quarters)
     return reshape.grid_long(piv.drop("region_ord"), quarters)
 
 
@@ -675,7 +697,10 @@ def q_latest_news(spark, sf_dir):
 
 @query
 def q_release_status(spark, sf_dir):
-    return api.release_status(_tool_totals(_fx(spark, sf_dir)), AS_OF)
+    status = api.release_status(_tool_totals(_fx(spark, sf_dir)), AS_OF)
+    v = ("total", "completed", "in_progress", "postponed")
+    groups = F.transform(F.map_entries("work_items_by_group"), lambda g: F.concat_ws("/", g.getField("key"), *(g.getField("value").getField(n).cast("string") for n in v)))
+    return status.withColumn("work_items_by_group", F.array_join(F.array_sort(groups), ";"))
 
 
 @query
@@ -769,8 +794,7 @@ def latest_by_name(spark, sf_dir):
 
 @query
 def resolve_url(spark, sf_dir):
-    p = _fx(spark, sf_dir).pages
-    links = pages_src.page_links(p).join(p.select("page_id", "url"), "page_id")
+    links = pages_src.page_links(_fx(spark, sf_dir).pages, keep=("url",))
     return links.select("page_id", "pos", urls.resolve_url("url", "href").alias("resolved"))
 
 
@@ -822,16 +846,12 @@ def json_list_or_items(spark, sf_dir):
 @query
 def standards_bundle(spark, sf_dir):
     fx = _fx(spark, sf_dir)
-    b = standards.standards_bundle(_tool_totals(fx), _meetings(fx), AS_OF)
-    p = F.col("release_21_progress")
-    return b.select(
-        p.getField("total_work_items").alias("total_work_items"),
-        p.getField("completed").alias("completed"),
-        p.getField("in_progress").alias("in_progress"),
-        p.getField("postponed").alias("postponed"),
-        p.getField("progress_percentage").alias("progress_percentage"),
-        p.getField("last_updated").alias("last_updated"),
-        p.getField("data_source").alias("data_source"),
-        F.size(F.map_keys(p.getField("work_items_by_group"))).alias("n_groups"),
-        F.array_join(F.array_sort(F.transform("recent_meetings", lambda m: m.getField("meeting_id"))), ",").alias("meeting_ids"),
+    rows = standards.standards_bundle_rows(_tool_totals(fx), _meetings(fx), AS_OF)
+    meeting = F.col("meeting")
+    return rows.select(
+        "level", "key", "total", "completed", "in_progress", "postponed", "progress", "last_updated", "data_source",
+        meeting.getField("working_group").alias("working_group"),
+        meeting.getField("date").alias("date"),
+        meeting.getField("sentiment").alias("sentiment"),
+        F.array_join(meeting.getField("key_agreements"), " | ").alias("agreements"),
     )

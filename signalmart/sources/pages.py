@@ -10,9 +10,9 @@ from ..functions import text, urls
 from ..functions.scalars import let, py_strip
 
 
-def page_links(pages: DataFrame, page: str = "page_id", html: str = "html") -> DataFrame:
-    """``<a href>`` values per page in document order: (page, pos, href)."""
-    return pages.select(F.col(page), F.posexplode(urls.href_list(F.col(html))).alias("pos", "href"))
+def page_links(pages: DataFrame, page: str = "page_id", html: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``<a href>`` values per page in document order: (page, keep..., pos, href)."""
+    return pages.select(F.col(page), *keep, F.posexplode(urls.href_list(F.col(html))).alias("pos", "href"))
 
 
 def _attr(tag, name: str):
