@@ -1,8 +1,8 @@
 """Line dedup: an exact set-similarity join over the lines of all documents, in DataFrame operations only.
 
-A line's tokens are its different lower-cased words; a line is judged if it has
-at least ``min_tokens``.  It is removed if any earlier line has Jaccard
-similarity of at least ``threshold`` with it, whether that one is itself removed
+A line's tokens are its different lower-cased words.  A line is removed if an
+earlier line has the same tokens (at least one), or, if it has ``min_tokens`` or more, if any earlier
+such line has Jaccard similarity of at least ``threshold`` with it, whether that one is itself removed
 or not.  Lines are ordered by (doc_id, text hash, place in the text).
 
 1. Rarity: every word of the corpus is counted in one of 2**18 hash buckets, and
@@ -10,15 +10,21 @@ or not.  Lines are ordered by (doc_id, text hash, place in the text).
    A token is its word's hash below the class of its bucket, so sorting tokens
    sorts them by rarity.  (Any total order keeps the filters exact; this one
    has a fixed size and travels as a constant.)
-2. Lines with equal token sets collapse to the earliest; the others go.
+2. Lines with equal token sets, however short, collapse to the earliest; the others go.
 3. Prefix filter: similar sets share one of their first n - ceil(t n) + 1
    tokens.  Rows (token, line) meet by token; length, positional and bitmap
    filters bound the overlap from above, as do a pair's number of shared prefix
    tokens and a quarter of its words; pairs that stay are verified on the
-   whole token sets, tokenised anew from the texts.
+   whole token sets, tokenised anew from the texts.  The bitmap has 64 bits, 128 for lines of
+   ``WIDE`` tokens or more: a full bitmap tells nothing, and lines of some hundred words
+   that share a rare one would then meet by the square of its lines.
 4. First each line is compared with the earliest line of each of its tokens,
    which is linear; only lines without a match there enter the full join, so
-   large groups of near-equal lines aren't compared pair by pair.  Tokens of
+   large groups of near-equal lines aren't compared pair by pair.  What was compared is not
+   joined again: of a token's lines the earliest is left out on the earlier side, the first
+   two on the later side and the last on the earlier one, so a token of two lines has no row there.
+   (A pair that is yet undecided meets the earliest line of none of its shared tokens, so all
+   its rows are in the join.)  Tokens of
    the classes from ``HOT_CLASS`` are dealt over ``PARTS`` parts there (any
    other bucket has at most 1/1024 of all words); the full join is an equi-join
    that adaptive execution can split.
@@ -26,9 +32,10 @@ or not.  Lines are ordered by (doc_id, text hash, place in the text).
 Tokens are 63-bit hashes of words (59 bits and a class), verified on 64 bits; two words of one pair of lines sharing a
 hash is the only way in which a result could differ from one on the words.
 
-Defined cases: null or empty texts have no lines; lines with too few words stay;
+Defined cases: null or empty texts have no lines; lines without words stay;
 rows that repeat a doc_id and text are one document and get the same result;
-null ids order first; line ends are ``\\n`` alone; extra columns pass through.
+null ids order first, each text of theirs being a document of its own, known by 89 bits of hashes
+(ids below -2**62 would mix with them); line ends are ``\\n`` alone; extra columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -46,6 +53,7 @@ HOT_CLASS = 10
 PARTS = 64
 OTHER_SPACE = "\t\x0b\f\r"
 LINE_BITS = 36
+WIDE = 96
 
 
 def _ceil_div(top: str, by: int) -> str:
@@ -68,9 +76,10 @@ def part_of(text: str = "text") -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.col(text)), LINE_BITS + 1)
 
 
-def own_id(id_col: str = "doc_id") -> Column:
-    """The id, with the smallest long in place of null."""
-    return F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+def own_id(id_col: str = "doc_id", text: str = "text") -> Column:
+    """The id; in place of null a number below all ids, from another hash of the text than ``part_of``."""
+    low = F.shiftrightunsigned(F.xxhash64(F.lit("null id"), F.col(text)), 2) + F.lit(-(1 << 63))
+    return F.coalesce(F.col(id_col).cast("long"), low)
 
 
 def rarity(docs: DataFrame) -> Column:
@@ -110,7 +119,12 @@ def tokenised(lines: DataFrame, classes: Column, num: int, den: int, min_tokens:
         "lkey",
         F.size("keys").alias("n"),
         F.xxhash64("keys").alias("sig"),
-        F.expr("aggregate(keys, 0L, (acc, k) -> acc | shiftleft(k & 1L, hash(k)))").alias("bits"),  # a shift takes its distance modulo 64
+        # a shift takes its distance modulo 64; a wide bitmap has two words, told apart by one more bit of the hash
+        F.expr(
+            f"if(size(keys) < {WIDE}, aggregate(keys, 0L, (acc, k) -> acc | shiftleft(k & 1L, hash(k))),"
+            f" aggregate(filter(keys, k -> hash(k) & 64 = 0), 0L, (acc, k) -> acc | shiftleft(k & 1L, hash(k))))"
+        ).alias("bits"),
+        F.expr(f"if(size(keys) < {WIDE}, 0L, aggregate(filter(keys, k -> hash(k) & 64 <> 0), 0L, (acc, k) -> acc | shiftleft(k & 1L, hash(k))))").alias("bits2"),
         F.expr(
             f"if(size(keys) < {min_tokens}, array(), transform(slice(keys, 1, cast(size(keys) - {_ceil_div(f'{num}L * size(keys)', den)} + 1 as int)),"
             f" k -> if(k >= {HOT_CLASS << 59}L, hash(k) | 1, hash(k) & -2)))"
@@ -127,10 +141,15 @@ def exploded(docs: DataFrame) -> DataFrame:
 def _may_match(a: str, b: str, num: int, den: int) -> Column:
     """Length, positional and bitmap filters for rows a and b that share a token."""
     need = _ceil_div(f"{num}L * ({a}n + {b}n)", num + den)
+    # a wide bitmap meets a narrow one folded to its width
+    apart = (
+        f"if({a}n < {WIDE} or {b}n < {WIDE}, bit_count(({a}bits | {a}bits2) ^ ({b}bits | {b}bits2)),"
+        f" bit_count({a}bits ^ {b}bits) + bit_count({a}bits2 ^ {b}bits2))"
+    )
     return F.expr(
         f"least({a}n, {b}n) * {den} >= {num} * greatest({a}n, {b}n)"
         f" and least({a}pos, {b}pos) + 1 + least({a}n - {a}pos - 1, {b}n - {b}pos - 1) >= {need}"
-        f" and ({a}n + {b}n - bit_count({a}bits ^ {b}bits)) div 2 >= {need}"
+        f" and ({a}n + {b}n - {apart}) div 2 >= {need}"
     )
 
 
@@ -160,26 +179,33 @@ def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, num: int, de
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, min_tokens: int = MIN_TOKENS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, part, places): for each document (``own_id``, ``part_of``) with removed lines, their places in ascending order."""
     num, den = round(threshold * 1000), 1000
-    docs = docs.select(own_id(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null")
-    lines = shared_table(tokenised(exploded(docs), rarity(docs), num, den, min_tokens), "lines").filter(F.col("n") >= min_tokens)
-    firsts = lines.groupBy("sig").agg(F.min(F.struct("doc_id", "lkey")).alias("first"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits"), F.any_value("prefix").alias("prefix"))
-    firsts = shared_table(firsts.select("sig", "first.doc_id", "first.lkey", "n", "bits", "prefix"), "first-lines")
+    docs = docs.select(own_id(f"`{id_col}`", f"`{text_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).filter("text is not null")
+    lines = shared_table(tokenised(exploded(docs), rarity(docs), num, den, min_tokens), "lines").filter("n > 0")
+    firsts = lines.groupBy("sig").agg(F.min(F.struct("doc_id", "lkey")).alias("first"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits"), F.any_value("bits2").alias("bits2"), F.any_value("prefix").alias("prefix"))
+    firsts = shared_table(firsts.select("sig", "first.doc_id", "first.lkey", "n", "bits", "bits2", "prefix"), "first-lines")
+    # the rest needs the lines' places only
+    places = shared_table(lines.select("sig", "doc_id", "lkey"), "line-places")
+    drop_shared(lines)
     # numbered in order, so that a line is one number in the rows that meet by token
-    firsts = row_numbers(firsts, ["doc_id", "lkey"]).withColumnRenamed("row", "lid")
+    found_firsts, firsts = firsts, row_numbers(firsts, ["doc_id", "lkey"]).withColumnRenamed("row", "lid")
+    drop_shared(found_firsts)
 
-    rows = firsts.select("lid", "n", "bits", F.posexplode("prefix").alias("pos", "token"))
+    rows = firsts.select("lid", "n", "bits", "bits2", F.posexplode("prefix").alias("pos", "token"))
     rows = rows.withColumn("deal", F.when(F.col("token").bitwiseAND(F.lit(1)) == 1, F.pmod(F.hash("lid"), F.lit(PARTS)) + 1).otherwise(0))
     group = Window.partitionBy("token", "deal")
-    lead = F.first(F.struct("lid", "n", "pos", "bits")).over(group.orderBy("lid"))
-    rows = rows.select("*", lead.alias("p"), F.count(F.lit(1)).over(group).alias("rows")).filter("rows > 1 or deal > 0")
+    lead = F.first(F.struct("lid", "n", "pos", "bits", "bits2")).over(group.orderBy("lid"))
+    rank = F.row_number().over(group.orderBy("lid"))
+    rows = rows.select("*", lead.alias("p"), rank.alias("rank"), F.count(F.lit(1)).over(group).alias("rows")).filter("rows > 1 or deal > 0")
     close = (F.col("lid") != F.col("p.lid")) & _may_match("", "p.", num, den)
-    rows = shared_table(rows.select("token", "lid", "n", "pos", "bits", F.when(close, F.col("p.lid")).alias("p_lid")), "prefixes")
+    sides = F.expr("deal > 0 or rank > 2").alias("later"), F.expr("deal > 0 or (rank > 1 and rank < rows)").alias("early")
+    rows = rows.select("token", "lid", "n", "pos", "bits", "bits2", F.when(close, F.col("p.lid")).alias("p_lid"), *sides)
+    rows = shared_table(rows.filter("p_lid is not null or later or early"), "prefixes")
 
     with_first = shared_table(rows.filter("p_lid is not null").select("lid", "p_lid").distinct(), "pairs-with-first")
     gone = _verified(with_first, firsts, docs, num, den, "similar-to-first")
 
-    left = rows.join(small_side(gone), "lid", "left_anti").select("token", "lid", "n", "pos", "bits")
-    earlier = rows.select(*(F.col(c).alias(f"p_{c}") for c in ("token", "lid", "n", "pos", "bits")))
+    left = rows.filter("later").join(small_side(gone), "lid", "left_anti").select("token", "lid", "n", "pos", "bits", "bits2")
+    earlier = rows.filter("early").select(*(F.col(c).alias(f"p_{c}") for c in ("token", "lid", "n", "pos", "bits", "bits2")))
     found = left.join(earlier, (F.col("token") == F.col("p_token")) & (F.col("p_lid") < F.col("lid")) & _may_match("", "p_", num, den))
     # all shared prefix tokens of a pair are known here: they, and what lies behind the last of them, bound the overlap
     counted = found.groupBy("lid", "p_lid").agg(F.count(F.lit(1)).alias("shared"), F.max("pos").alias("pos"), F.max("p_pos").alias("p_pos"), F.max("n").alias("n"), F.max("p_n").alias("p_n"))
@@ -188,7 +214,7 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, min_tokens: int
     drop_shared(rows)
     more = _verified(rest, firsts, docs, num, den, "similar")
 
-    copies = lines.select("sig", "doc_id", "lkey").join(firsts.select("sig", F.col("doc_id").alias("f_doc"), F.col("lkey").alias("f_lkey")), "sig")
+    copies = places.join(firsts.select("sig", F.col("doc_id").alias("f_doc"), F.col("lkey").alias("f_lkey")), "sig")
     similar = firsts.join(gone.union(more), "lid").select("doc_id", "lkey")
     every = copies.filter("doc_id <> f_doc or lkey <> f_lkey").select("doc_id", "lkey").unionByName(similar)
     return every.groupBy("doc_id", F.shiftright("lkey", LINE_BITS).alias("part")).agg(
@@ -196,39 +222,45 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, min_tokens: int
     )
 
 
-def _with_kept(docs: DataFrame, text_col: str, id_col: str, threshold: float, min_tokens: int) -> DataFrame:
-    """``docs`` with ``__lines`` and ``__places`` (null: none removed)."""
+def _with_kept(docs: DataFrame, text_col: str, id_col: str, threshold: float, min_tokens: int) -> tuple[DataFrame, str, str]:
+    """``docs`` with the kept text and the removed places (null: none) under names that are free, and these names."""
     gone = shared_table(removed_lines(docs, threshold, min_tokens, text_col, id_col), "removed")
-    gone = small_side(gone.select(F.col("doc_id").alias("__id"), F.col("part").alias("__part"), F.col("places").alias("__places")), 200_000)
-    own = docs.select("*", own_id(id_col).alias("__own"), part_of(text_col).alias("__own_part"), F.split(text_col, "\n").alias("__lines"))
-    return own.join(gone, (F.col("__own") == F.col("__id")) & (F.col("__own_part") == F.col("__part")), "left")
-
-
-# Kept lines in order, in time linear in the lines.
-KEPT = "array_join(transform(array_except(sequence(0, size(__lines) - 1), __places), i -> element_at(__lines, i + 1)), '\n')"
+    taken, free = {c.lower() for c in docs.columns}, []
+    for name in ("lines", "own", "part", "places", "kept", "gone_id", "gone_part"):
+        while name in taken:
+            name = f"_{name}"
+        taken.add(name)
+        free.append(name)
+    lines, own, part, places, kept, gone_id, gone_part = free
+    gone = small_side(gone.select(F.col("doc_id").alias(gone_id), F.col("part").alias(gone_part), F.col("places").alias(places)), 200_000)
+    keyed = docs.select("*", own_id(f"`{id_col}`", f"`{text_col}`").alias(own), part_of(f"`{text_col}`").alias(part), F.split(F.col(f"`{text_col}`"), "\n").alias(lines))
+    found = keyed.join(gone, (F.col(own) == F.col(gone_id)) & (F.col(part) == F.col(gone_part)), "left")
+    # kept lines in order, in time linear in the lines
+    text = F.expr(f"if({places} is null, `{text_col}`, array_join(transform(array_except(sequence(0, size({lines}) - 1), {places}), i -> element_at({lines}, i + 1)), '\n'))")
+    return found.withColumn(kept, text), kept, places
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, min_tokens: int = MIN_TOKENS, text_col: str = "text", id_col: str = "doc_id", length_col: str | None = None) -> DataFrame:
-    """``docs`` with later similar lines taken out of the texts; ``length_col``, if given, becomes the new length where a text changed."""
-    found = _with_kept(docs, text_col, id_col, threshold, min_tokens).withColumn("__kept", F.expr(f"if(__places is null, `{text_col}`, {KEPT})"))
+    """``docs`` with later equal and similar lines taken out of the texts; ``length_col``, if given, becomes the new length where a text changed."""
+    found, kept, places = _with_kept(docs, text_col, id_col, threshold, min_tokens)
     out = []
     for c in docs.columns:
         if c == text_col:
-            out.append(F.col("__kept").alias(c))
+            out.append(F.col(kept).alias(c))
         elif c == length_col:
-            out.append(F.when(F.col("__places").isNull(), F.col(c)).otherwise(F.length("__kept")).cast(docs.schema[c].dataType).alias(c))
+            out.append(F.when(F.col(places).isNull(), F.col(f"`{c}`")).otherwise(F.length(kept)).cast(docs.schema[c].dataType).alias(c))
         else:
-            out.append(F.col(c))
+            out.append(F.col(f"`{c}`"))
     return found.select(*out)
 
 
 def summary(docs: DataFrame, threshold: float = THRESHOLD, min_tokens: int = MIN_TOKENS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_sha256) of every row."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = _with_kept(docs, "text", "doc_id", threshold, min_tokens)
+    docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    found, kept, places = _with_kept(docs, "text", "doc_id", threshold, min_tokens)
     return found.select(
         "doc_id",
-        F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__places"), F.lit(0)).cast("long").alias("n_removed"),
-        F.sha2(F.expr(f"if(__places is null, coalesce(text, ''), {KEPT})"), 256).alias("kept_sha256"),
+        F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size(places), F.lit(0)).cast("long").alias("n_removed"),
+        F.sha2(F.coalesce(kept, F.lit("")), 256).alias("kept_sha256"),
     )

@@ -16,7 +16,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of whole ``documents`` with Jaccard similarity 0.8 to an earlier one go; what is left of each text."""
+    """Lines of whole ``documents`` equal to an earlier one, or of five words and similarity 0.8 to one, go; what is left of each text."""
     return line_dedup.summary(read_table(spark, sf_dir, "documents"), threshold=0.8, min_tokens=5)
 
 
@@ -26,11 +26,11 @@ WITH lines AS (
 ), sets AS (
   SELECT doc_id, place, line, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(line), '[ \t\n\x0B\f\r]+'), lambda x: x <> ''))) AS words FROM lines
 ), judged AS (
-  SELECT words, len(words) AS n, min((doc_id, place)) AS first FROM sets WHERE len(words) >= 5 GROUP BY words
+  SELECT words, len(words) AS n, min((doc_id, place)) AS first FROM sets WHERE len(words) >= 1 GROUP BY words
 ), numbered AS (
   SELECT *, row_number() OVER (ORDER BY first) AS id FROM judged
 ), tokens AS (
-  SELECT id, n, unnest(words) AS word FROM numbered
+  SELECT id, n, unnest(words) AS word FROM numbered WHERE n >= 5
 ), freq AS (
   SELECT word, count(*) AS f FROM tokens GROUP BY word
 ), ranked AS (
@@ -202,9 +202,12 @@ WITH RECURSIVE shown AS (
   FROM copied
 ), faulty AS (
   SELECT *, left(role, 1) AS initial,
-    CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 1
+    CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 1
       WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 THEN 2
-      WHEN regexp_extract(text, '([^ 	-])[ 	-]*$', 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+      WHEN regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
     lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY place) AS last_initial
   FROM placed
 ), counts AS (
