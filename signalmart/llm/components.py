@@ -4,9 +4,9 @@ Each round every node moves to the neighbour (or itself) with the smallest
 hash, twice over; links between equal nodes vanish, the rest are made
 distinct and written to the shared folder.  Hash priorities differ by round,
 so the links shrink geometrically also on long chains.  Minima are partial
-aggregates and the joins are plain equi-joins that adaptive execution can
-split, so a hub with very many links is never gathered in one task.  Nothing
-but row counts reaches the driver.
+aggregates, written out before they are joined, so that both sides of a join are
+plain shuffles, which adaptive execution can split: a hub with very many links is
+never gathered in one task.  Nothing but row counts reaches the driver.
 """
 
 from __future__ import annotations
@@ -55,5 +55,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     for move in moves[1:]:
         nxt = move.select(F.col("node").alias("root"), F.col("to").alias("next"))
         whole = whole.join(nxt, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-    least = whole.groupBy("root").agg(F.min("node").alias("component"))
+    whole = shared_table(whole, "roots")
+    least = shared_table(whole.groupBy("root").agg(F.min("node").alias("component")), "least-nodes")
+    for used in (edges, *moves):
+        drop_shared(used)
     return whole.join(least, "root").select("node", "component")

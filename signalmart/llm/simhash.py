@@ -122,7 +122,9 @@ def fingerprint_classes(own: DataFrame, max_distance: int = 2) -> DataFrame:
     distinct = shared_table(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     linked = connected_components(close_pairs(distinct, max_distance))
     classes = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
-    least = classes.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    # written out: a join with an aggregate on its own key could not be split
+    classes = shared_table(classes, "fingerprint-classes")
+    least = shared_table(classes.groupBy("component").agg(F.min("first_id").alias("component_id")), "least-ids")
     return classes.join(least, "component").select("fp", "component", "component_id")
 
 
@@ -136,11 +138,11 @@ def hex64(col: Column) -> Column:
     return F.lower(F.lpad(F.hex(col), 16, "0"))
 
 
-ROW_KEY = ("__text_key", "__row_key")
+ROW_KEY = ("text_key", "row_key")
 
 
-def with_row_keys(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with two 64-bit hashes that tell rows apart: of the text, and of all columns that can be hashed.
+def with_row_keys(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, tuple[str, str]]:
+    """``docs`` with two 64-bit hashes that tell rows apart, of the text and of all columns that can be hashed, and their (free) names.
 
     Hashing skips nulls, so each value goes with its null mark; the literals
     make the two hashes independent.
@@ -150,7 +152,12 @@ def with_row_keys(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return [c for n in names for c in (F.col(f"`{n}`").isNull(), F.col(f"`{n}`"))]
 
     plain = [f.name for f in docs.schema.fields if not any(kind in f.dataType.simpleString() for kind in ("map<", "variant"))]
-    return docs.withColumns({ROW_KEY[0]: F.xxhash64(F.lit(1), *marked([text_col])), ROW_KEY[1]: F.xxhash64(F.lit(2), *marked(plain))})
+    taken, names = {c.lower() for c in docs.columns}, []
+    for name in ("text_key", "row_key"):
+        while name in taken:
+            name = f"_{name}"
+        names.append(name)
+    return docs.withColumns({names[0]: F.xxhash64(F.lit(1), *marked([text_col])), names[1]: F.xxhash64(F.lit(2), *marked(plain))}), tuple(names)
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, max_distance: int = 2, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -159,17 +166,21 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_distance: int = 2, text_col:
     The row with the smallest id stays (null ids last), among those of one id
     the one with the smallest row key; rows equal in every column stay once.
     """
-    keyed = with_row_keys(docs, text_col)
-    own = shared_table(with_fingerprints(keyed, shingle, text_col, id_col, ROW_KEY), "fingerprints")
+    keyed, names = with_row_keys(docs, text_col)
+    wanted = keyed.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *(F.col(n).alias(k) for n, k in zip(names, ROW_KEY)))
+    own = shared_table(with_fingerprints(wanted, shingle, also=ROW_KEY), "fingerprints")
     rows = own.join(fingerprint_classes(own, max_distance).select("fp", "component"), "fp")
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *ROW_KEY)
     rows = shared_table(rows.select("component", key.alias("key")), "classes")
-    best = rows.groupBy("component").agg(F.min("key").alias("best"), F.count(F.lit(1)).alias("n"))
+    best = shared_table(rows.groupBy("component").agg(F.min("key").alias("best"), F.count(F.lit(1)).alias("n")), "best-rows")
     marked = rows.join(best.filter("n > 1"), "component")
-    gone = marked.filter("not key <=> best").select(*(F.col(f"key.{c}").alias(f"__gone{i}") for i, c in enumerate(("doc_id", *ROW_KEY)))).distinct()
-    gone = small_side(shared_table(gone, "copies"))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__gone0")) & (F.col(ROW_KEY[0]) == F.col("__gone1")) & (F.col(ROW_KEY[1]) == F.col("__gone2"))
-    kept = keyed.join(gone, same, "left_anti")
+    gone = marked.filter("not key <=> best").select(F.col("key.doc_id").alias("doc_id"), *(F.col(f"key.{k}").alias(k) for k in ROW_KEY)).distinct()
+    gone = small_side(shared_table(gone, "copies")).alias("gone")
+    same = F.col(f"kept.`{id_col}`").cast("long").eqNullSafe(F.col("gone.doc_id"))
+    for n, k in zip(names, ROW_KEY):
+        same = same & (F.col(f"kept.{n}") == F.col(f"gone.{k}"))
+    kept = keyed.alias("kept").join(gone, same, "left_anti")
     if not marked.filter("key <=> best").groupBy("component").count().filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates([id_col, *ROW_KEY])
-    return kept.drop(*ROW_KEY)
+        # rows equal in every column that can be hashed
+        kept = kept.dropDuplicates([id_col, *names])
+    return kept.drop(*names)
