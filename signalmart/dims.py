@@ -103,7 +103,13 @@ AGREEMENT_KEYWORDS = ["agreed:", "decision:", "conclusion:", "way forward:", "ag
 SENTIMENT_POSITIVE = ["agreed", "approved", "accepted", "confirmed", "decision"]
 SENTIMENT_NEUTRAL = ["further study needed", "ffs", "for further study", "to be studied"]
 SENTIMENT_NEGATIVE = ["postponed", "rejected", "not agreed", "no consensus", "delayed"]
-MONTH_PREFIXES = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
+# Dates of a report, tried in this order without regard to case.
+DATE_PATTERNS = [
+    r"(\d{1,2}[-/]\d{1,2}[-/]\d{4})",
+    r"(\d{4}[-/]\d{1,2}[-/]\d{1,2})",
+    r"((?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{1,2},?\s+\d{4})",
+    r"(\d{1,2}\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{4})",
+]
 
 # Work-plan vocabularies.
 WORK_ITEM_SHEET_NAMES = ["Work Items", "Status Report", "WI Status", "Work Plan", "Release 21", "Rel-21"]

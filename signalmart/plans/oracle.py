@@ -188,12 +188,7 @@ fx_grid AS (
 fx_regions AS (SELECT * FROM {REGIONS_VALUES}),
 fx_meetings AS (
   SELECT CAST(meeting_id AS VARCHAR) AS meeting_id, working_group,
-    coalesce({", ".join(f"nullif(regexp_extract(content, {q(p)}, 1), '')" for p in [
-        r"(?i)(\d{1,2}[-/]\d{1,2}[-/]\d{4})",
-        r"(?i)(\d{4}[-/]\d{1,2}[-/]\d{1,2})",
-        r"(?i)((?:" + dims.MONTH_PREFIXES + r")[a-z]*\s+\d{1,2},?\s+\d{4})",
-        r"(?i)(\d{1,2}\s+(?:" + dims.MONTH_PREFIXES + r")[a-z]*\s+\d{4})",
-    ])}, '') AS date,
+    coalesce({", ".join(f"nullif(regexp_extract(content, {q(p)}, 1), '')" for p in ["(?i)" + d for d in dims.DATE_PATTERNS])}, '') AS date,
     {strip("coalesce(" + ", ".join(f"nullif(regexp_extract(content, {q(p)}, 1), '')" for p in [
         r"(?:held\s+in|location:|venue:)\s*([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*,?\s*[A-Z][a-z]+)",
         r"([A-Z][a-z]+,\s*[A-Z][a-z]+)(?:\s+meeting)",
