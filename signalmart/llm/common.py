@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -56,26 +57,32 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
 BATCH_SETTINGS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
 
 
+@contextmanager
+def batch_settings(spark: SparkSession, rows: int, size: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows and about ``size`` bytes for what is written meanwhile; then as before."""
+    before = {k: spark.conf.get(k) for k in BATCH_SETTINGS}
+    try:
+        for key, value in zip(BATCH_SETTINGS, (rows, size)):
+            spark.conf.set(key, str(value))
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def mapped_table(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, name: str, rows: int = 4096, size: int = 16 << 20) -> DataFrame:
     """``mapInArrow`` written as a shared table, in batches of at most ``rows`` rows and about ``size`` bytes.
 
     The session's own batch settings are back when the write ends, so no later
     query sees these.
     """
-    conf = df.sparkSession.conf
-    before = {k: conf.get(k) for k in BATCH_SETTINGS}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         yield from fn(batches)
 
-    try:
-        for key, value in zip(BATCH_SETTINGS, (rows, size)):
-            conf.set(key, str(value))
+    with batch_settings(df.sparkSession, rows, size):
         return shared_table(df.mapInArrow(run, schema), name)
-    finally:
-        for key, value in before.items():
-            conf.set(key, value)
 
 
 def drop_shared(df: DataFrame) -> None:
@@ -105,22 +112,29 @@ def forget() -> None:
     _KEPT.clear()
 
 
+def without_cycles(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``fn`` with Python's search for reference cycles off: it makes many objects but no cycles, and the search takes a quarter of its time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()
+        try:
+            yield from fn(batches)
+        finally:
+            gc.enable()
+
+    return run
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, keeps: bool = False) -> DataFrame:
     """``mapInArrow`` over batches of at most ``TEXT_BATCH_ROWS`` rows.
 
-    Python's search for reference cycles is off meanwhile: the functions make
-    many objects but no cycles, and it takes a quarter of their time.  What an
-    earlier operator kept in the worker goes, unless ``fn`` ``keeps`` something.
+    What an earlier operator kept in the worker goes, unless ``fn`` ``keeps`` something.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not keeps:
             forget()
-        gc.disable()
-        try:
-            yield from fn(batches)
-        finally:
-            gc.enable()
+        yield from without_cycles(fn)(batches)
 
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
     return df.mapInArrow(run, schema)

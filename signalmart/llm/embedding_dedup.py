@@ -9,10 +9,13 @@ centres (at most ``MAX_CENTRES``, a bounded sample; the centres only shape the
 cells), cells of more than ``BLOCK`` vectors are cut by hash, and pairs of
 blocks whose covering radii and centres rule out a close pair are pruned.  Each
 remaining pair of blocks is one bounded task: it builds a cover tree of each
-block (nested centres, radii halved from level to level) and walks both trees
-together, dropping node pairs that the covering radii put too far apart,
+block and walks both trees together, dropping node pairs that the covering radii put too far apart,
 accepting whole those that they put close enough, and comparing vectors at the
-leaves.
+leaves.  A node's children are centres more than half its radius apart that cover
+its vectors within that half, each vector under its nearest one; a vector that no other is near is a node of
+its own.  Vectors without structure come apart at the first level, and their pairs are
+dropped there as pairs of nodes; vectors in clusters come apart level by level, down to
+clusters no wider than the distance sought.
 
 A task returns one row per vector: how many vectors it links with there, and the
 root of its connected part.  So no list of pairs is ever made; components are
@@ -41,8 +44,9 @@ from signalmart.llm.components import connected_components
 
 BLOCK = 4096
 MAX_CENTRES = 1024
-LEAF = 64
-GATHERS = 8
+LEAF = 16
+# Vectors whose distances are taken at a time.
+STRIP = 512
 # Rounding of a dot product moves a small distance by about 1e-8.
 SLACK = 1e-6
 
@@ -59,33 +63,55 @@ class Node:
 
 
 class CoverTree:
-    """Nested centres over unit vectors; a child's radius is at most half its parent's."""
+    """Nested centres over unit vectors; a child's radius is at most half its parent's, down to ``least``."""
 
-    def __init__(self, points: np.ndarray):
-        self.points = points
+    def __init__(self, points: np.ndarray, least: float):
+        self.points, self.levels = points, 1
         everything = np.arange(len(points))
         self.root = Node(0, everything, float(distances(points @ points[0]).max()))
-        waiting = [self.root]
+        waiting = [(self.root, 1)]
         while waiting:
-            node = waiting.pop()
-            if len(node.members) > LEAF and node.radius > SLACK:
+            node, level = waiting.pop()
+            self.levels = max(self.levels, level)
+            if len(node.members) > LEAF and node.radius > max(least, SLACK):
                 node.children = self._split(node)
-                waiting.extend(node.children)
+                waiting.extend((child, level + 1) for child in node.children)
+
+    def _apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return distances(self.points[a] @ self.points[b].T)
+
+    def _centres(self, members: np.ndarray, reach: float) -> np.ndarray:
+        """Members more than ``reach`` apart that cover all within it, in order: a strip at a time against those chosen before."""
+        chosen = members[:1]
+        for begin in range(1, len(members), STRIP):
+            strip = members[begin : begin + STRIP]
+            strip = strip[self._apart(strip, chosen).min(axis=1) > reach]
+            near = self._apart(strip, strip) <= reach
+            covered, new = np.zeros(len(strip), bool), []
+            for i in range(len(strip)):
+                if not covered[i]:
+                    new.append(i)
+                    covered |= near[i]
+            chosen = np.concatenate((chosen, strip[new]))
+        return chosen
 
     def _split(self, node: Node) -> list[Node]:
-        """Its children; none where half the radius would gather fewer than ``GATHERS`` vectors a child."""
-        reach, children = node.radius / 2, []
-        left = np.concatenate(([node.centre], node.members[node.members != node.centre]))  # nested: the centre stays one
-        while len(left):
-            if len(children) * GATHERS > len(node.members):
-                return []
-            centre = int(left[0])
-            away = distances(self.points[left] @ self.points[centre])
-            away[0] = 0.0
-            near = away <= reach
-            children.append(Node(centre, left[near], float(away[near].max())))
-            left = left[~near]
-        return children
+        """Its children: at least two, as some member is farther than half the radius from the centre."""
+        members = np.concatenate(([node.centre], node.members[node.members != node.centre]))  # nested: the centre stays one
+        centres = self._centres(members, node.radius / 2)
+        owner, away = np.empty(len(members), np.int64), np.empty(len(members))
+        for begin in range(0, len(members), STRIP):
+            part = slice(begin, begin + STRIP)
+            apart = self._apart(members[part], centres)
+            owner[part] = apart.argmin(axis=1)
+            away[part] = apart.min(axis=1)
+        place = {int(c): i for i, c in enumerate(centres)}
+        for i, m in enumerate(members.tolist()):
+            if m in place:
+                owner[i], away[i] = place[m], 0.0
+        order = np.argsort(owner, kind="stable")
+        ends = np.searchsorted(owner[order], np.arange(len(centres) + 1))
+        return [Node(int(c), members[order[b:e]], float(away[order[b:e]].max())) for c, b, e in zip(centres, ends[:-1], ends[1:])]
 
 
 class Links:
@@ -93,6 +119,8 @@ class Links:
 
     def __init__(self, weights: np.ndarray):
         self.weights, self.counts = weights, np.zeros(len(weights), np.int64)
+        # ordered pairs of vectors that were compared at leaves, and that were accepted as whole nodes
+        self.compared, self.accepted = 0, 0
         self.ends: list[tuple[np.ndarray, np.ndarray]] = []
 
     def add(self, a: np.ndarray, b: np.ndarray, close: np.ndarray, both: bool) -> None:
@@ -121,6 +149,11 @@ class Links:
         self.ends.append((a, np.full(len(a), b[0])))
         self.ends.append((b, np.full(len(b), a[0])))
 
+    def clique(self, a: np.ndarray) -> None:
+        """All of a are linked with each other."""
+        self.counts[a] += self.weights[a].sum() - self.weights[a]
+        self.ends.append((a, np.full(len(a), a[0])))
+
     def roots(self) -> np.ndarray:
         label = np.arange(len(self.weights))
         if not self.ends:
@@ -143,14 +176,15 @@ def dual_traversal(points: np.ndarray, weights: np.ndarray, split: int, least: f
     """Links with cosine >= ``least``: within all points (``split`` 0) or between the first ``split`` and the rest."""
     limit = math.sqrt(max(0.0, 2.0 - 2.0 * least))
     links = Links(weights)
-    one = CoverTree(points[:split] if split else points)
-    two = CoverTree(points[split:]) if split else one
+    one = CoverTree(points[:split] if split else points, limit)
+    two = CoverTree(points[split:], limit) if split else one
     shift, both = split, bool(split)
     stack = [(one.root, two.root)]
     while stack:
         a, b = stack.pop()
         if not a.children and not b.children:
             other = b.members + shift
+            links.compared += len(a.members) * len(other)
             for begin in range(0, len(a.members), 512):
                 own = a.members[begin : begin + 512]
                 close = points[own] @ points[other].T >= least
@@ -170,8 +204,14 @@ def dual_traversal(points: np.ndarray, weights: np.ndarray, split: int, least: f
             inside = near & (apart + reach <= limit - SLACK)
             for i, j in np.argwhere(near).tolist():
                 x, y = mine[begin + i], others[j]
-                if inside[i, j] and (split or x is not y):
-                    links.whole(x.members, y.members + shift, both)
+                if not split and x is y and len(x.members) == 1:
+                    continue
+                if inside[i, j]:
+                    links.accepted += len(x.members) * len(y.members)
+                    if split or x is not y:
+                        links.whole(x.members, y.members + shift, both)
+                    else:
+                        links.clique(x.members)
                 else:
                     stack.append((x, y))
     return links
@@ -232,7 +272,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
     linked = connected_components(found, "node", "root")
     degree = found.groupBy("node").agg(F.sum("links").alias("links"))
     whole = distinct.join(degree, "node", "left").join(linked, "node", "left").select("label", "unit", "first_id", "copies", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
-    least_id = whole.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    # written out: a join with an aggregate on its own key could not be split
+    whole = shared_table(whole, "linked-vectors")
+    least_id = shared_table(whole.groupBy("component").agg(F.min("first_id").alias("component_id")), "least-ids")
     known = whole.join(least_id, "component").select("label", "unit", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component_id")
     return rows.join(known, ["label", "unit"], "left").select(
         "vec_id",
