@@ -3,9 +3,9 @@
 Logs often hold a conversation once per turn, each snapshot a prefix of the
 next.  A turn's hash covers its place, role and text; the rolling hash of a
 prefix is the exclusive-or of its turns' hashes (two independent 64-bit ones), so
-prefixes can be hashed in parts: turns are dealt into stretches of ``STRETCH`` turn
-numbers, hashed within, and combined over the stretches, and no conversation,
-however long, is gathered in one task.  A conversation is dropped if its whole
+prefixes can be hashed in parts: turns are numbered by a range sort, whatever their turn numbers
+are, dealt into stretches of ``STRETCH`` places, hashed within, and combined over the stretches,
+and no conversation, however long, is gathered in one task.  A conversation is dropped if its whole
 hash and length equal those of a proper prefix of another (anti-join), and of
 equal conversations the smallest id stays.  Both sides of the join have one row
 per different hash, so a first turn that very many share is one row.
@@ -37,20 +37,23 @@ def _xor(col: str) -> Column:
 def placed_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv_id, place, role, text, h1, h2): places from 1, and the rolling hashes of the prefix that ends there."""
     rows = turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text")).filter("conv_id is not null")
-    rows = rows.withColumn("stretch", F.expr(f"floor(turn / {STRETCH})"))
-    inside = Window.partitionBy("conv_id", "stretch").orderBy(F.asc_nulls_first("turn"), F.asc_nulls_first("role"), F.asc_nulls_first("text"))
-    rows = shared_table(rows.withColumn("n", F.row_number().over(inside)), "turns")
-    # one row per stretch; their sums and hashes run over a conversation's stretches
-    before = Window.partitionBy("c").orderBy(F.asc_nulls_first("s")).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy(F.col("conv_id").alias("c"), F.col("stretch").alias("s")).agg(F.count(F.lit(1)).alias("size"))
-    firsts = sizes.select("c", "s", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("first"))
-    same = F.expr("conv_id = c and stretch <=> s")
-    placed = rows.join(firsts, same).select("conv_id", "stretch", (F.col("first") + F.col("n")).alias("place"), "role", "text")
+    # equal rows may be very many: their order decides nothing, but splits them
+    order = ["conv_id", *(F.asc_nulls_first(c) for c in ("turn", "role", "text")), "copy"]
+    ranged = rows.withColumn("copy", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = shared_table(ranged.select("conv_id", "role", "text", F.spark_partition_id().alias("slice"), F.monotonically_increasing_id().alias("number")), "turns")
+    # one row per conversation and task of the sort: the places before it
+    earlier = Window.partitionBy("conv_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = ranged.groupBy("conv_id", "slice").agg(F.min("number").alias("first"), F.count(F.lit(1)).alias("size"))
+    offsets = slices.select("conv_id", "slice", (F.coalesce(F.sum("size").over(earlier), F.lit(0)) - F.col("first") + 1).alias("offset"))
+    placed = ranged.join(offsets, ["conv_id", "slice"]).select("conv_id", (F.col("number") + F.col("offset")).alias("place"), "role", "text")
+    placed = placed.withColumn("stretch", F.expr(f"(place - 1) div {STRETCH}"))
     # hashing skips nulls, so their marks are hashed too
     nulls = (F.col("role").isNull(), F.col("text").isNull())
     hashed = placed.withColumn("t1", F.xxhash64("place", *nulls, "role", "text")).withColumn("t2", F.xxhash64(F.lit("second"), *nulls, "text", "role", "place"))
     rolling = Window.partitionBy("conv_id", "stretch").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     hashed = shared_table(hashed.withColumn("r1", _xor("t1").over(rolling)).withColumn("r2", _xor("t2").over(rolling)).drop("t1", "t2"), "hashed-turns")
+    same = F.expr("conv_id = c and stretch = s")
+    before = Window.partitionBy("c").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     ends = hashed.groupBy(F.col("conv_id").alias("c"), F.col("stretch").alias("s")).agg(F.max_by("r1", "place").alias("e1"), F.max_by("r2", "place").alias("e2"))
     zero = F.lit(0).cast("long")
     carried = ends.select("c", "s", *(F.coalesce(_xor(f"e{i}").over(before), zero).alias(f"c{i}") for i in (1, 2)))
