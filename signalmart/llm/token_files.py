@@ -2,11 +2,14 @@
 
 **Encoding.**  The tokenizers library encodes; since this kind of vocabulary drops
 white space, a text's ids are those of its white-space-separated chunks, and a
-chunk's are remembered (in two generations of at most ``MAX_CHUNKS``: a full one
-becomes the old one, from which what is met again is taken over).  A
-chunk of letters before plain punctuation is split there, as the library's own
+chunk's are remembered (in two generations of at most ``MAX_CHUNKS`` chunks of up to
+``MAX_LENGTH`` characters: a full one becomes the old one, from which what is met again
+is taken over).  Texts are taken ``GROUP`` characters at a time, so what a task holds is
+bounded in bytes.  A chunk of letters before plain punctuation is split there, as the library's own
 pattern does, and lower-cased as its normaliser does; such words go to the
-library's model many to a call.
+library's model many to a call.  Texts of letters and single punctuation marks, most of them,
+are lower-cased and split so as a whole, so a word is remembered once, however it is written.  A text that holds the string of an added token
+(such as an end mark) goes to the library whole, which gives that token's id.
 
 **Order.**  Ranges of ``doc_id`` are cut at quantiles of that column alone, so
 the texts are encoded once and their ids shuffled once.  Within a range rows are
@@ -19,8 +22,8 @@ where the vocabulary allows, else 4), number of null doc ids, documents and ids;
 the Elias-Fano sequence of the n + 1 boundaries; the smallest doc id and the
 Elias-Fano sequence of the doc ids less it; the ids.  An Elias-Fano sequence
 holds each value's lower bits packed and its upper bits in unary; select over
-the unary bits returns an offset, with one running count per 64 bits, made on
-reading.  Segments are the rows of a Parquet table (any store Spark writes to
+the unary bits returns an offset by sampled counts, made on reading: 16 bits for each
+512 unary bits, and 64 bits for each 65,536.  Segments are the rows of a Parquet table (any store Spark writes to
 will do); a row's payload is a complete file image.
 
 Defined cases: a null or empty text has the end id only; repeated rows are
@@ -41,33 +44,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from signalmart.llm.common import keep, map_batches, shared_table, small_side
+from signalmart.llm.common import TEXT_BATCH_ROWS, batch_settings, keep, mapped_table, shared_table, small_side, without_cycles
 
 MAX_VOCABULARY_BYTES = 64 << 20
-MAX_CHUNKS = 200_000
+MAX_CHUNKS = 150_000
+MAX_LENGTH = 64
+GROUP = 1 << 20
 SEGMENT_IDS = 1 << 20
 RANGE_ROWS = 20_000
 MAGIC = b"EFID"
 
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+MARKS = ".,;:!?"
+# What keeps a text from being split as a whole: another character, or a run of marks.
+NOT_PLAIN = re.compile(f"[^A-Za-zÀ-ÖØ-öø-ÿ {MARKS}\n]|[{MARKS}]{{2}}")
 WORDS_TO_A_CALL = 512
 
 
 # ---------------------------------------------------------------- encoding
 
 
-class Memo(dict):
-    """Chunks' ids; remembers what was asked for in vain."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.unknown: set[str] = set()
-        self.misses = 0
-
-    def __missing__(self, chunk: str) -> bytes:
-        self.unknown.add(chunk)
-        self.misses += 1
-        return b""
+def _spaced(text: str) -> str:
+    for blank in "\n\t\r":
+        if blank in text:
+            text = text.replace(blank, " ")
+    return text
 
 
 class ChunkEncoder:
@@ -76,11 +77,12 @@ class ChunkEncoder:
     def __init__(self, tokenizer_json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [(t.content.lower() if t.normalized else t.content, t.normalized) for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.width = id_width(len(vocabulary))
         self.kind = np.dtype(f"<u{self.width}")
-        self.memo, self.old = Memo(), Memo()
+        self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         # The library's model alone, for lower-case words that its normaliser and
         # split pattern leave as they are: many to a call, told apart by the word ends.
         self.words, self.ascii_words = Tokenizer(self.tokenizer.model), Tokenizer(self.tokenizer.model)
@@ -108,58 +110,73 @@ class ChunkEncoder:
 
     def _learn(self, chunks: set[str]) -> None:
         """Take the ids of these chunks into the memo."""
-        memo, plain, rest = self.memo, [], []
-        for chunk in chunks:
-            if not self.tells_ends:
-                rest.append(chunk)
-            elif chunk.isascii() and chunk.isalpha():
-                plain.append((chunk, chunk.lower(), ""))
-            elif m := PLAIN.fullmatch(chunk):
-                plain.append((chunk, m[1].lower(), m[2]))
-            else:
-                rest.append(chunk)
+        memo, tailed, rest = self.memo, [], chunks
+        letters = [c for c in chunks if c.isascii() and c.isalpha()] if self.tells_ends else []
+        if self.tells_ends:
+            rest = []
+            for chunk in chunks.difference(letters):
+                if m := PLAIN.fullmatch(chunk):
+                    tailed.append((chunk, m[1].lower(), m[2]))
+                else:
+                    rest.append(chunk)
         memo.update(self._library([chunk for chunk in rest if chunk]))
         memo[""] = b""
-        memo.update(self._library(list({tail for _, _, tail in plain}.difference(memo))))
-        words = {word for _, word, _ in plain}
-        parts = {word: memo[word] for word in words.intersection(memo)}
-        new = words.difference(parts)
+        memo.update(self._library(list({tail for _, _, tail in tailed}.difference(memo))))
+        lowered = list(map(str.lower, letters))
+        words = {word for _, word, _ in tailed}.union(lowered)
+        known = words.intersection(memo.keys())
+        parts = dict(zip(known, map(memo.__getitem__, known)))
+        new = words.difference(known)
         parts.update(self._plain_words([w for w in new if w.isascii()], self.ascii_words))
         parts.update(self._plain_words([w for w in new if not w.isascii()], self.words))
-        memo.update({chunk: parts[word] + memo[tail] if tail else parts[word] for chunk, word, tail in plain})
+        memo.update(zip(letters, map(parts.__getitem__, lowered)))
+        memo.update({chunk: parts[word] + memo[tail] for chunk, word, tail in tailed})
+
+    def _holds_added(self, text: str) -> bool:
+        return any(content in (text.lower() if normalized else text) for content, normalized in self.added)
+
+    def _chunks(self, text: str) -> list[str] | None:
+        """What a text's ids are made of, in order; None for one that the library takes whole."""
+        if self.tells_ends and not NOT_PLAIN.search(text):
+            text = text.lower()
+            for mark in MARKS:
+                if mark in text:
+                    text = text.replace(mark, " " + mark)
+        elif self._holds_added(text):
+            return None
+        return _spaced(text).split(" ")
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        split = list(map(self._chunks, texts))
+        wanted: set[str] = set().union(*(chunks for chunks in split if chunks is not None))
+        unknown = wanted.difference(self.memo)
+        if len(self.memo) + len(unknown) > MAX_CHUNKS:
+            self.old, self.memo, unknown = self.memo, {}, wanted
+        again = self.old.keys() & unknown
+        self.memo.update(zip(again, map(self.old.__getitem__, again)))
+        unknown = unknown.difference(again)
+        self._learn(unknown)
+        get = self.memo.__getitem__
+        out = [b"".join(map(get, chunks)) if chunks is not None else np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes() for text, chunks in zip(texts, split)]
+        for chunk in unknown:
+            if len(chunk) > MAX_LENGTH:
+                del self.memo[chunk]
+        return out
 
     def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
         """Packed ids of each whole text, with the end id."""
         end = np.array([end_id], self.kind).tobytes()
         out: list[bytes] = []
-        waiting: list[tuple[int, list[str]]] = []
-
-        def settle() -> None:
-            unknown = self.memo.unknown
-            if len(self.memo) + len(unknown) > MAX_CHUNKS:
-                self.old, self.memo = self.memo, Memo()
-                unknown.update(*(chunks for _, chunks in waiting))
-            again = {chunk: self.old[chunk] for chunk in unknown if chunk in self.old}
-            self.memo.update(again)
-            self._learn(unknown.difference(again))
-            for place, chunks in waiting:
-                out[place] = b"".join(map(self.memo.__getitem__, chunks)) + end
-            waiting.clear()
-            unknown.clear()
-
+        group: list[str] = []
+        size = 0
         for text in texts:
-            text = text or ""
-            for blank in "\n\t\r":
-                if blank in text:
-                    text = text.replace(blank, " ")
-            chunks, misses = text.split(" "), self.memo.misses
-            out.append(b"".join(map(self.memo.__getitem__, chunks)) + end)
-            if self.memo.misses > misses:
-                waiting.append((len(out) - 1, chunks))
-                if len(self.memo.unknown) > MAX_CHUNKS // 8:
-                    settle()
-        settle()
-        return out
+            group.append(text or "")
+            size += len(group[-1])
+            if size > GROUP:
+                out += self._group(group)
+                group, size = [], 0
+        out += self._group(group)
+        return [ids + end for ids in out]
 
 
 def id_width(vocabulary: int) -> int:
@@ -169,14 +186,22 @@ def id_width(vocabulary: int) -> int:
 # ---------------------------------------------------------------- Elias-Fano
 
 
+# Words of 64 unary bits to a block, blocks to a superblock.
+BLOCK, SUPER = 8, 128
+
+
 class EliasFano:
     """A non-decreasing sequence of unsigned integers in near-minimal space."""
 
     def __init__(self, n: int, low_bits: int, low: bytes, high: bytes):
         self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        padded = high + bytes(-len(high) % 8)
-        self.words = np.frombuffer(padded, "<u8")
-        self.counts = np.concatenate(([0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)))
+        # blocks of 8 words, superblocks of 128 blocks
+        padded = high + bytes(-len(high) % (8 * BLOCK * SUPER) or (0 if high else 8 * BLOCK * SUPER))
+        self.words = np.frombuffer(padded, "<u8").reshape(-1, BLOCK)
+        ones = np.bitwise_count(self.words).sum(axis=1, dtype=np.int64).reshape(-1, SUPER)
+        within = np.cumsum(ones, axis=1)
+        self.blocks = (within - ones).astype(np.uint16)
+        self.supers = np.concatenate(([0], np.cumsum(within[:, -1])))[:-1]
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -192,10 +217,21 @@ class EliasFano:
 
     def select(self, i: np.ndarray) -> np.ndarray:
         """The place of the i-th set bit (from 0) among the unary bits."""
-        word = np.searchsorted(self.counts, i, side="right") - 1
-        bits = np.unpackbits(self.words[word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        inside = np.argmax(np.cumsum(bits, axis=1, dtype=np.int64) > (i - self.counts[word])[:, None], axis=1)
-        return word * 64 + inside
+        above = np.searchsorted(self.supers, i, side="right") - 1
+        rest = i - self.supers[above]
+        counts = self.blocks[above]
+        block = (counts <= rest[:, None]).sum(axis=1) - 1
+        at = above * SUPER + block
+        rest = rest - np.take_along_axis(counts, block[:, None], axis=1)[:, 0]
+        words = self.words[at]
+        ones = np.bitwise_count(words).astype(np.int64)
+        before = np.cumsum(ones, axis=1) - ones
+        word = (before <= rest[:, None]).sum(axis=1) - 1
+        rest = rest - np.take_along_axis(before, word[:, None], axis=1)[:, 0]
+        chosen = np.take_along_axis(words, word[:, None], axis=1)
+        bits = np.unpackbits(chosen.view(np.uint8), axis=1, bitorder="little")
+        inside = np.argmax(np.cumsum(bits, axis=1, dtype=np.int64) > rest[:, None], axis=1)
+        return (at * BLOCK + word) * 64 + inside
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """The values at these places."""
@@ -295,7 +331,7 @@ def write_files(docs: DataFrame, tokenizer_path: str, end_id: int, text_col: str
             ids = encoder.encode(batch.column(1).to_pylist(), end_id)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(places, pa.int32()), pa.array(ids, pa.binary()), pa.array([encoder.width] * len(ids), pa.int32())], ["doc_id", "range", "ids", "width"])
 
-    encoded = map_batches(docs, encode, "doc_id long, range int, ids binary, width int", keeps=True)
+    encoded = docs.mapInArrow(without_cycles(encode), "doc_id long, range int, ids binary, width int")
     dealt = encoded.repartition(len(cuts) + 1, "range").sortWithinPartitions("range", F.asc_nulls_first("doc_id"), "ids")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,7 +356,9 @@ def write_files(docs: DataFrame, tokenizer_path: str, end_id: int, text_col: str
         if waiting:
             yield row()
 
-    return shared_table(map_batches(dealt, pack, "range int, segment int, n_docs long, n_ids long, payload binary"), "token-files")
+    packed = dealt.mapInArrow(pack, "range int, segment int, n_docs long, n_ids long, payload binary")
+    with batch_settings(docs.sparkSession, TEXT_BATCH_ROWS, 16 << 20):
+        return shared_table(packed, "token-files")
 
 
 def _per_worker(vocabulary: str) -> ChunkEncoder:
@@ -348,8 +386,7 @@ def read_files(files: DataFrame) -> DataFrame:
                 )
 
     # few segments to a batch: each is some MB
-    files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
-    own = shared_table(files.select("range", "segment", "payload").mapInArrow(read, "range int, segment int, doc_id long, inside long, n_tokens long, ids_crc32 long"), "token-documents")
+    own = mapped_table(files.select("range", "segment", "payload"), read, "range int, segment int, doc_id long, inside long, n_tokens long, ids_crc32 long", "token-documents", rows=8)
     sizes = files.select("range", "segment", "n_ids")
     ranges = sizes.groupBy("range").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
