@@ -130,6 +130,8 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), t
     n_rows = max(1, chosen.count())
     shards, passes = -(-n_rows // settings.shard_rows), -(-settings.min_updates // n_rows)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "__id")
+    # an id may have very many documents: one of them is learned from, the same for any layout of the table
+    rows = rows.groupBy("__id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         model, words = Ftrl(settings), Words()
