@@ -136,8 +136,8 @@ def brute_lines(docs, min_tokens=5):
         out = []
         for line in (text or "").split("\n"):
             words = {w for w in line.lower().replace("\t", " ").replace("\r", " ").split(" ") if w}
-            hit = len(words) >= min_tokens and any(5 * len(words & o) >= 4 * len(words | o) for o in seen)
-            if len(words) >= min_tokens:
+            hit = any(words == o or (min(len(words), len(o)) >= min_tokens and 5 * len(words & o) >= 4 * len(words | o)) for o in seen)
+            if words:
                 seen.append(words)
             if not hit:
                 out.append(line)
@@ -171,6 +171,37 @@ def test_line_dedup(spark, monkeypatch, hot_class):
     assert all(digest[i]["n_lines"] == (len(t.split("\n")) if t is not None else 0) for i, t in docs)
 
 
+def test_line_dedup_of_long_lines(spark):
+    """Around and above the width of the bitmaps: lines near and not so near the threshold."""
+    rng = random.Random(12)
+    docs = []
+    for i, n in enumerate([90, 94, 96, 100, 130, 250, 700] * 3):
+        words = rng.sample([f"v{j}" for j in range(900)], n)
+        variants = [words]
+        for share in (0.02, 0.09, 0.1, 0.11, 0.13, 0.3):
+            varied = list(words)
+            for at in rng.sample(range(n), int(share * n)):
+                varied[at] = rng.choice((f"x{i}-{at}", f"v{rng.randrange(900)}"))
+            variants.append(varied[: n - rng.randint(0, 6)])
+        docs.append((i, "\n".join(" ".join(rng.sample(v, len(v))) for v in variants)))
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute_lines(docs)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(table).collect()}
+    assert got == want and 0 < sum(t.count("\n") for t in got.values()) < 6 * len(docs)
+
+
+def test_line_dedup_tells_documents_without_id_apart(spark, monkeypatch):
+    """Texts of null ids are documents of their own, also where the short hash of their texts is the same."""
+    real = line_dedup.part_of
+    monkeypatch.setattr(line_dedup, "part_of", lambda text="text": real(text) * 0)
+    docs = [(None, f"alone {i} in the world here\nsaid by all the very same") for i in range(40)]
+    table = spark.createDataFrame([(*d, 1, "y") for d in docs], "doc_id long, text string, `a.b` int, __lines string")
+    got = line_dedup.dedup_lines(table)
+    assert got.columns == table.columns
+    texts = [r["text"] for r in got.collect()]
+    assert sum("same" in t for t in texts) == 1 and all(t.startswith("alone") for t in texts) and len(set(texts)) == 40
+
+
 def test_line_dedup_repeated_rows_and_empty_table(spark):
     table = spark.createDataFrame([(1, "a b c d e\nx"), (1, "a b c d e\nx"), (2, "e d c b a")], "doc_id long, text string")
     assert sorted(r["text"] for r in line_dedup.dedup_lines(table).collect()) == ["", "a b c d e\nx", "a b c d e\nx"]
@@ -188,9 +219,9 @@ def test_dual_traversal(monkeypatch):
         x = centres[rng.integers(0, len(centres), n)] + rng.normal(size=(n, d)) * rng.choice([0.01, 0.05, 0.2, 1])
         x /= np.linalg.norm(x, axis=1)[:, None]
         w = rng.integers(1, 4, n)
-        for leaf, gathers in ((2, 1), (64, 8)):
+        for leaf, strip in ((2, 7), (16, 512)):
             monkeypatch.setattr(embedding_dedup, "LEAF", leaf)
-            monkeypatch.setattr(embedding_dedup, "GATHERS", gathers)
+            monkeypatch.setattr(embedding_dedup, "STRIP", strip)
             for split in (0, int(rng.integers(1, n))):
                 found = embedding_dedup.dual_traversal(x, w, split, 0.98)
                 close = x @ x.T >= 0.98
@@ -201,6 +232,43 @@ def test_dual_traversal(monkeypatch):
                 assert found.roots().tolist() == parts(n, np.argwhere(close).tolist())
 
 
+def test_cover_tree_has_levels():
+    """Covering radii halve, centres stay apart, each vector is in one child; clusters come apart level by level."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6, 12))
+    for spread in (0.5, 0.15, 0.04, 0.01):
+        x = np.repeat(x, 5, axis=0) + rng.normal(size=(5 * len(x), 12)) * spread
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    tree = embedding_dedup.CoverTree(x, 0.02)
+    assert tree.levels >= 5
+    stack = [tree.root]
+    while stack:
+        node = stack.pop()
+        away = embedding_dedup.distances(x[node.members] @ x[node.centre])
+        assert away.max() <= node.radius + 1e-6
+        if node.children:
+            assert sorted(m for c in node.children for m in c.members.tolist()) == sorted(node.members.tolist())
+            assert node.children[0].centre == node.centre and all(c.radius <= node.radius / 2 + 1e-9 for c in node.children)
+            apart = embedding_dedup.distances(x[[c.centre for c in node.children]] @ x[[c.centre for c in node.children]].T)
+            np.fill_diagonal(apart, 9)
+            assert apart.min() > node.radius / 2
+            stack.extend(node.children)
+
+
+def test_walk_prunes_the_given_vectors():
+    """On the largest label of the table: levels there are, and nearly all pairs fall as pairs of nodes."""
+    import duckdb
+
+    path = "/root/testdata/sf0.1/embeddings.parquet"
+    label = duckdb.sql(f"SELECT label FROM '{path}' WHERE label IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1").fetchall()[0][0]
+    x = np.array([r[0] for r in duckdb.execute(f"SELECT embedding FROM '{path}' WHERE label = ?", [label]).fetchall()], float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    assert embedding_dedup.CoverTree(x, 0.2).levels > 1
+    links = embedding_dedup.dual_traversal(x, np.ones(len(x), np.int64), 0, 0.98)
+    assert links.compared + links.accepted < 0.05 * len(x) ** 2
+    assert (links.counts == (x @ x.T >= 0.98).sum(axis=1) - 1).all()
+
+
 @pytest.mark.parametrize("block", [embedding_dedup.BLOCK, 10])
 def test_embedding_near_duplicates(spark, monkeypatch, block):
     monkeypatch.setattr(embedding_dedup, "BLOCK", block)
@@ -279,6 +347,74 @@ def test_quality_on_held_out_rows(spark):
     assert auc > 0.97 and np.mean([r["predicted"] == r["quality"] for r in held]) > 0.95
 
 
+def brute_features(text, bits):
+    """{bucket: value} by plain counting."""
+    import re
+
+    top, same, step = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0x100000001B3
+    surfaces, shapes = [], []
+    for word in (text or "").split():
+        shape = re.sub(r"[^\W\d_]+", lambda m: "A" if m[0].isupper() else "Aa" if m[0][0].isupper() else "a", word)
+        shape = re.sub(r"([^\w\s])\1{2,}", r"\1\1", re.sub(r"\d+", "0", shape))
+        surfaces.append(xxhash.xxh64_intdigest(word.lower().encode(), 0))
+        shapes.append(xxhash.xxh64_intdigest(shape.encode(), 1))
+    shapes = [same if i and surfaces[i] == surfaces[i - 1] else s for i, s in enumerate(shapes)]
+    grams = list(surfaces) + [(a * step + b) & top for a, b in zip(surfaces, surfaces[1:])] + [s ^ same for s in shapes]
+    pairs = [(a * step + b) & top for a, b in zip(shapes, shapes[1:])]
+    grams += [p ^ (same >> 1) for p in pairs] + [(p * step + s) & top for p, s in zip(pairs, shapes[2:])]
+    counts = {}
+    for g in grams:
+        g ^= g >> 29
+        bucket = ((g * step) & top) >> (64 - bits)
+        if bucket:
+            counts[bucket] = counts.get(bucket, 0) + 1
+    logs = {b: float(np.log1p(c)) for b, c in counts.items()}
+    norm = sum(v * v for v in logs.values()) ** 0.5
+    return {0: 1.0} | {b: v / norm for b, v in logs.items()}
+
+
+def test_quality_against_plain_arithmetic(spark):
+    """Features, updates and scores written out in scalars."""
+    rng = random.Random(21)
+    settings = quality.Settings(bits=12, min_updates=900)
+    words = ["Good", "good", "BAD", "x1", "!!!!", "a,b", "the", "Ünï", "2024"]
+    texts = {i: " ".join(rng.choice(words) for _ in range(rng.randint(0, 30))) for i in range(90)}
+    labels = {i: int("BAD" not in t) for i, t in texts.items()}
+    docs = spark.createDataFrame(list(texts.items()) + [(4, "another document of this id")], "doc_id long, text string")
+    table = spark.createDataFrame(list(labels.items()), "doc_id long, quality int")
+    learn = [i for i in texts if zlib.crc32(str(i).encode()) % 3 != 1]
+    chosen = {i: texts[i] for i in learn}
+    if 4 in chosen:  # of an id's documents the one with the least hash is learned from
+        chosen[4] = docs.filter("doc_id = 4").orderBy(F.xxhash64("text"), "text").first()["text"]
+    z, n = {}, {}
+
+    def w(b):
+        l1 = settings.l1 if b else 0.0
+        sign = int(z.get(b, 0.0) > 0) - int(z.get(b, 0.0) < 0)
+        return -sign * max(abs(z.get(b, 0.0)) - l1, 0.0) / ((settings.beta + n.get(b, 0.0) ** 0.5) / settings.alpha + settings.l2)
+
+    examples = [(brute_features(chosen[i], settings.bits), labels[i]) for i in sorted(learn, key=lambda i: (zlib.crc32(str(i).encode()), i))]
+    for _ in range(-(-settings.min_updates // len(learn))):
+        for found, label in examples:
+            weights = {b: w(b) for b in found}
+            slope = 1 / (1 + np.exp(-sum(weights[b] * v for b, v in found.items()))) - label
+            for b, v in found.items():
+                g = slope * v
+                grown = n.get(b, 0.0) + g * g
+                z[b] = z.get(b, 0.0) + g - (grown**0.5 - n.get(b, 0.0) ** 0.5) / settings.alpha * weights[b]
+                n[b] = grown
+    weight = {b: w(b) for b in z}
+    got = quality.train(docs, table, settings)
+    assert np.allclose([got[b] for b in weight], list(weight.values()), atol=1e-9)
+    assert set(np.flatnonzero(got)) <= set(weight)
+    scored = {(r["doc_id"], r["score"]) for r in quality.score(docs, got, settings.bits).collect()}
+    for i, score in scored:
+        text = texts[i] if i != 4 else None
+        if text is not None:
+            dot = sum(weight.get(b, 0.0) * v for b, v in brute_features(text, settings.bits).items())
+            assert abs(score - 1 / (1 + np.exp(-dot))) < 1e-8
+
+
 def test_quality_odd_rows(spark):
     docs = spark.createDataFrame([(0, "good plain words", 1.0), (2, "BAD!! BAD!!", 0.0), (None, None, 0.0), (4, "", 0.0), (4, "x " * 50000, 0.0)], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(0, 1), (2, 0), (2, 1), (4, None), (4, 7), (99, 1), (None, 0)], "doc_id long, quality int")

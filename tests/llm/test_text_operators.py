@@ -12,7 +12,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from signalmart.llm import bpe, decontaminate, secret_scan, sharding, token_files
+from signalmart.llm import bpe, common, decontaminate, secret_scan, sharding, token_files
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -75,17 +75,22 @@ def test_bpe_operator(spark, library):
     assert bpe.round_trip(docs.limit(0), RANKS).count() == 0
 
 
+# Strings of added tokens in a text are those tokens to the library, exactly as spelled.
+MARKED = ["hello <|endoftext|> world", "x<|startoftext|>Y,<|endoftext|><|endoftext|>\n", "<|ENDOFTEXT|> <|endoftext", "a <|endoftext|>b c" * 40]
+
+
 def test_chunk_encoder_equals_library(monkeypatch):
     own = Tokenizer.from_file(VOCABULARY)
-    own.encode_special_tokens = True
     rng = random.Random(3)
     letters = "abcABCÉß ÀÖ \n\t.,;!'\"12½́ 中=<>-_\xa0\x85\x1cİ"
-    texts = [t for t in ODD if t is not None] + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    texts = [t for t in ODD if t is not None] + MARKED + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
     want = [own.encode(t, add_special_tokens=False).ids + [2] for t in texts]
     with open(VOCABULARY, encoding="utf-8") as file:
         vocabulary = file.read()
-    for room in (token_files.MAX_CHUNKS, 20):
+    for room, group, length in ((token_files.MAX_CHUNKS, token_files.GROUP, token_files.MAX_LENGTH), (20, 100, 3)):
         monkeypatch.setattr(token_files, "MAX_CHUNKS", room)
+        monkeypatch.setattr(token_files, "GROUP", group)
+        monkeypatch.setattr(token_files, "MAX_LENGTH", length)
         encoder = token_files.ChunkEncoder(vocabulary)
         for at in range(0, len(texts), 500):
             got = [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(texts[at : at + 500], 2)]
@@ -104,12 +109,27 @@ def test_elias_fano():
                 assert again.get(np.array([n - 1]))[0] == values[-1]
 
 
+def test_elias_fano_space():
+    """Near-minimal: two bits a value beside the lower ones, and the sampled counts are few."""
+    rng = np.random.default_rng(1)
+    for values in (np.sort(rng.integers(0, 10**9, 200_000)), np.sort(np.concatenate((np.zeros(150_000, np.int64), rng.integers(0, 10**12, 50_000))))):
+        sequence = token_files.EliasFano.of(values.astype(np.uint64))
+        assert (sequence.all() == values).all()
+        assert len(sequence.high) * 8 <= 3 * len(values) + 8
+        assert sequence.blocks.nbytes + sequence.supers.nbytes < 0.05 * len(sequence.high) + 600
+
+
+def test_settings_are_back_after_files(spark):
+    before = {k: spark.conf.get(k) for k in common.BATCH_SETTINGS}
+    token_files.read_files(token_files.write_files(docs_of(spark, ["a b", "c"]), VOCABULARY, 2)).count()
+    assert {k: spark.conf.get(k) for k in common.BATCH_SETTINGS} == before
+
+
 def test_token_files(spark, monkeypatch):
     monkeypatch.setattr(token_files, "SEGMENT_IDS", 64)
-    texts = ODD + [f"word number {i}, and more." * (i % 7) for i in range(60)]
+    texts = ODD + MARKED + [f"word number {i}, and more." * (i % 7) for i in range(60)]
     ids = [None, -5, 7, 7] + list(range(100, 100 + len(texts) - 4))
     own = Tokenizer.from_file(VOCABULARY)
-    own.encode_special_tokens = True
     files = token_files.write_files(docs_of(spark, texts, ids), VOCABULARY, 2)
     assert files.count() > 3
     rows = sorted(token_files.read_files(files).collect(), key=lambda r: r["start"])
