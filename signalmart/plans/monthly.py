@@ -247,6 +247,7 @@ def run_monthly(spark, entries: DataFrame, responses: DataFrame, paths: RunPaths
     # reader reads only its columns)
     gated = materialize(gated_articles(entries, seen, responses, as_of, languages, key, bloom=True), "gated-entries")
     new = materialize(joins.dedup_cross_feed(gated).withColumn("ai_insights", scalars.with_impact_score("ai_insights")), "accepted-entries")
+    cut = [gated, new]
     arts = article_project(new, run_date)
     # of repeats inside one feed, the later entry is the one the recent list keeps
     last = new.groupBy("article_id").agg(F.max_by(F.struct(*[c for c in new.columns if c != "article_id"]), "entry_ord").alias("e")).select("article_id", "e.*")
@@ -280,6 +281,7 @@ def run_monthly(spark, entries: DataFrame, responses: DataFrame, paths: RunPaths
     if meetings is not None or work_items is not None:
         totals = None if work_items is None else standards.work_item_totals(filters.filter_release_exact(work_items))
         std = materialize(standards.standards_bundle_rows(totals, meetings, run_date), "standardization")
+        cut.append(std)
         out["standardization"] = sinks.write_digest(std, paths.standardization, run_date)
         if not quiet:
             out["std_snapshots"] = sinks.append_snapshot(std.withColumn("date", F.lit(run_date)), paths.std_snapshots)
@@ -288,7 +290,7 @@ def run_monthly(spark, entries: DataFrame, responses: DataFrame, paths: RunPaths
     if not quiet:
         store.append(last.select("article_id", F.col("link").alias("url"), "title"), run_date, expire_before=commits.days_before(as_of))
     out["seen"] = paths.seen
-    for table in (gated, new):
+    for table in cut:
         discard(table)
     return out
 
