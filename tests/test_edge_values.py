@@ -71,3 +71,18 @@ def test_corrupt_state_is_an_error(spark, tmp_dir):
             file.write(body)
     with pytest.raises(Exception):
         state.read_latest(spark, f"{tmp_dir}/t", spark.createDataFrame([(1,)], "a int").schema).collect()
+
+
+def test_markup_inside_scripts_comments_and_values(spark):
+    """Quotes, comments and ">" in values, in all three readers of a page."""
+    html = (
+        """<head><link rel='alternate' title="a > b" type="application/rss+xml" href='/f?a=1&amp;b=2'><!-- <link rel="alternate" type="application/rss+xml" href="no"> --></head>"""
+        """<body><script>var s = '<a href="in script">'; if (1 > 0) {}</script><a title='<a href="in value">' href="one">1</a><style>a > b { }</style>"""
+        """<p title="x > y">text &gt; <b>bold</b></p><a href=it's>odd</a><A\nHREF='two' >2</A><abbr href="no">n</abbr><!-- open <a href="gone">"""
+    )
+    assert one(spark, urls.href_list(F.col("t")), t=html) == ["one", "it's", "two"]
+    assert one(spark, text.html_to_text(F.col("t")), t=html) == "1 text > bold odd 2 n"
+    page = spark.createDataFrame([("https://h.org/x/", html, "text/html")], "url string, html string, content_type string")
+    from signalmart.sources import pages
+
+    assert pages.feed_autodiscovery(page).first()["feed_url"] == "https://h.org/f?a=1&b=2"
