@@ -47,9 +47,9 @@ from tokenizers import Tokenizer, pre_tokenizers
 from signalmart.llm.common import TEXT_BATCH_ROWS, batch_settings, keep, mapped_table, shared_table, small_side, without_cycles
 
 MAX_VOCABULARY_BYTES = 64 << 20
-MAX_CHUNKS = 150_000
+MAX_CHUNKS = 80_000
 MAX_LENGTH = 64
-GROUP = 1 << 20
+GROUP = 1 << 19
 SEGMENT_IDS = 1 << 20
 RANGE_ROWS = 20_000
 MAGIC = b"EFID"
