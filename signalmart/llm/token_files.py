@@ -56,8 +56,9 @@ MAGIC = b"EFID"
 
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 MARKS = ".,;:!?"
-# What keeps a text from being split as a whole: another character, or a run of marks.
-NOT_PLAIN = re.compile(f"[^A-Za-zÀ-ÖØ-öø-ÿ {MARKS}\n]|[{MARKS}]{{2}}")
+# Letters as in ``PLAIN``, marks, blanks and line ends, one byte each; and all marks as one.
+PLAIN_BYTES = bytes(b for b in range(256) if re.fullmatch(f"[A-Za-zÀ-ÖØ-öø-ÿ {MARKS}\n]", chr(b)))
+ONE_MARK = bytes.maketrans(MARKS.encode(), b"." * len(MARKS))
 WORDS_TO_A_CALL = 512
 
 
@@ -71,6 +72,15 @@ def _spaced(text: str) -> str:
     return text
 
 
+def _is_plain(text: str) -> bool:
+    """Whether a text can be split as a whole: no other character, no run of marks."""
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return not raw.translate(None, PLAIN_BYTES) and b".." not in raw.translate(ONE_MARK)
+
+
 class ChunkEncoder:
     """Texts to packed ids through a memo of chunks."""
 
@@ -137,7 +147,7 @@ class ChunkEncoder:
 
     def _chunks(self, text: str) -> list[str] | None:
         """What a text's ids are made of, in order; None for one that the library takes whole."""
-        if self.tells_ends and not NOT_PLAIN.search(text):
+        if self.tells_ends and _is_plain(text):
             text = text.lower()
             for mark in MARKS:
                 if mark in text:
