@@ -15,16 +15,16 @@ or not.  Lines are ordered by (doc_id, text hash, place in the text).
    tokens.  Rows (token, line) meet by token; length, positional and bitmap
    filters bound the overlap from above, as do a pair's number of shared prefix
    tokens and a quarter of its words; pairs that stay are verified on the
-   whole token sets, tokenised anew from the texts.  The bitmap has 64 bits, 128 for lines of
-   ``WIDE`` tokens or more: a full bitmap tells nothing, and lines of some hundred words
-   that share a rare one would then meet by the square of its lines.
-4. First each line is compared with the earliest line of each of its tokens,
-   which is linear; only lines without a match there enter the full join, so
-   large groups of near-equal lines aren't compared pair by pair.  What was compared is not
-   joined again: of a token's lines the earliest is left out on the earlier side, the first
-   two on the later side and the last on the earlier one, so a token of two lines has no row there.
-   (A pair that is yet undecided meets the earliest line of none of its shared tokens, so all
-   its rows are in the join.)  Tokens of
+   whole token sets, tokenised anew from the texts.  A bit of the bitmap is the parity of its tokens, so it bounds the
+   difference of two lines however many tokens they have; it has 64 bits, 128 for lines of ``WIDE`` tokens or more.
+4. First each line is compared with the earliest line of each of its tokens and with the ``BEFORE`` lines
+   next before it there, which is linear; only lines without a match there enter the full join, so
+   large groups of near-equal lines are hardly compared pair by pair.  What was compared is not
+   joined again: of a token's lines the earliest and the last ``BEFORE + 1`` are left out on the earlier side, the first
+   ``BEFORE + 2`` on the later side, so a token of that many lines has no row there.  What is left
+   grows with the square of a group only for lines near the threshold without a similar line among those compared.
+   (A pair that is yet undecided may lack rows there for some of its shared tokens, but only such as met in the
+   window; if the filters passed it there, it was verified.)  Tokens of
    the classes from ``HOT_CLASS`` are dealt over ``PARTS`` parts there (any
    other bucket has at most 1/1024 of all words); the full join is an equi-join
    that adaptive execution can split.
@@ -53,7 +53,8 @@ HOT_CLASS = 10
 PARTS = 64
 OTHER_SPACE = "\t\x0b\f\r"
 LINE_BITS = 36
-WIDE = 96
+WIDE = 24
+BEFORE = 16
 
 
 def _ceil_div(top: str, by: int) -> str:
@@ -105,8 +106,7 @@ def tokenised(lines: DataFrame, classes: Column, num: int, den: int, min_tokens:
     """Of rows with ``line``: number of tokens, set hash, bitmap and prefix (none where there are too few tokens).
 
     A prefix token is a hash of the token, odd if its class is hot; such hashes
-    only bring pairs together.  The bitmap holds the odd tokens, about half,
-    which bounds differences better than all would.  There is no filter here:
+    only bring pairs together.  There is no filter here:
     pushed down, it would tokenise every line twice.
     """
 
@@ -119,12 +119,9 @@ def tokenised(lines: DataFrame, classes: Column, num: int, den: int, min_tokens:
         "lkey",
         F.size("keys").alias("n"),
         F.xxhash64("keys").alias("sig"),
-        # a shift takes its distance modulo 64; a wide bitmap has two words, told apart by one more bit of the hash
-        F.expr(
-            f"if(size(keys) < {WIDE}, aggregate(keys, 0L, (acc, k) -> acc | shiftleft(k & 1L, hash(k))),"
-            f" aggregate(filter(keys, k -> hash(k) & 64 = 0), 0L, (acc, k) -> acc | shiftleft(k & 1L, hash(k))))"
-        ).alias("bits"),
-        F.expr(f"if(size(keys) < {WIDE}, 0L, aggregate(filter(keys, k -> hash(k) & 64 <> 0), 0L, (acc, k) -> acc | shiftleft(k & 1L, hash(k))))").alias("bits2"),
+        # a shift takes its distance modulo 64; every token turns a bit of ``bits``, odd ones one of ``bits2`` too
+        F.expr("aggregate(keys, 0L, (acc, k) -> acc ^ shiftleft(1L, hash(k)))").alias("bits"),
+        F.expr(f"if(size(keys) < {WIDE}, 0L, aggregate(keys, 0L, (acc, k) -> acc ^ shiftleft(k & 1L, hash(k))))").alias("bits2"),
         F.expr(
             f"if(size(keys) < {min_tokens}, array(), transform(slice(keys, 1, cast(size(keys) - {_ceil_div(f'{num}L * size(keys)', den)} + 1 as int)),"
             f" k -> if(k >= {HOT_CLASS << 59}L, hash(k) | 1, hash(k) & -2)))"
@@ -141,10 +138,10 @@ def exploded(docs: DataFrame) -> DataFrame:
 def _may_match(a: str, b: str, num: int, den: int) -> Column:
     """Length, positional and bitmap filters for rows a and b that share a token."""
     need = _ceil_div(f"{num}L * ({a}n + {b}n)", num + den)
-    # a wide bitmap meets a narrow one folded to its width
+    # odd and even tokens apart, where both lines have both
     apart = (
-        f"if({a}n < {WIDE} or {b}n < {WIDE}, bit_count(({a}bits | {a}bits2) ^ ({b}bits | {b}bits2)),"
-        f" bit_count({a}bits ^ {b}bits) + bit_count({a}bits2 ^ {b}bits2))"
+        f"if({a}n < {WIDE} or {b}n < {WIDE}, bit_count({a}bits ^ {b}bits),"
+        f" bit_count({a}bits2 ^ {b}bits2) + bit_count({a}bits ^ {a}bits2 ^ {b}bits ^ {b}bits2))"
     )
     return F.expr(
         f"least({a}n, {b}n) * {den} >= {num} * greatest({a}n, {b}n)"
@@ -193,16 +190,20 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, min_tokens: int
     rows = firsts.select("lid", "n", "bits", "bits2", F.posexplode("prefix").alias("pos", "token"))
     rows = rows.withColumn("deal", F.when(F.col("token").bitwiseAND(F.lit(1)) == 1, F.pmod(F.hash("lid"), F.lit(PARTS)) + 1).otherwise(0))
     group = Window.partitionBy("token", "deal")
-    lead = F.first(F.struct("lid", "n", "pos", "bits", "bits2")).over(group.orderBy("lid"))
-    rank = F.row_number().over(group.orderBy("lid"))
-    rows = rows.select("*", lead.alias("p"), rank.alias("rank"), F.count(F.lit(1)).over(group).alias("rows")).filter("rows > 1 or deal > 0")
-    close = (F.col("lid") != F.col("p.lid")) & _may_match("", "p.", num, den)
-    sides = F.expr("deal > 0 or rank > 2").alias("later"), F.expr("deal > 0 or (rank > 1 and rank < rows)").alias("early")
+    order = group.orderBy("lid")
+    rows = rows.withColumn("own", F.struct("lid", "n", "pos", "bits", "bits2"))
+    met = F.first("own").over(order), *(F.lag("own", i).over(order) for i in range(1, BEFORE + 1))
+    partners = {f"p{i}": p for i, p in enumerate(met)}
+    rows = rows.select("*", *(p.alias(c) for c, p in partners.items()), F.row_number().over(order).alias("rank"), F.count(F.lit(1)).over(group).alias("rows"))
+    # place 0 is the row itself, for the join; the others are the lines met, null where there are fewer
+    rows = rows.filter("rows > 1 or deal > 0").select("*", F.posexplode(F.array(F.lit(None).cast(rows.schema["own"].dataType), *partners)).alias("i", "p"))
+    sides = F.expr(f"i = 0 and (deal > 0 or rank > {BEFORE + 2})").alias("later"), F.expr(f"i = 0 and (deal > 0 or (rank > 1 and rank < rows - {BEFORE}))").alias("early")
+    close = F.col("p").isNotNull() & (F.col("lid") != F.col("p.lid")) & _may_match("", "p.", num, den)
     rows = rows.select("token", "lid", "n", "pos", "bits", "bits2", F.when(close, F.col("p.lid")).alias("p_lid"), *sides)
     rows = shared_table(rows.filter("p_lid is not null or later or early"), "prefixes")
 
-    with_first = shared_table(rows.filter("p_lid is not null").select("lid", "p_lid").distinct(), "pairs-with-first")
-    gone = _verified(with_first, firsts, docs, num, den, "similar-to-first")
+    with_near = rows.filter("p_lid is not null").select("lid", "p_lid").distinct()
+    gone = _verified(shared_table(with_near, "pairs-with-near"), firsts, docs, num, den, "similar-to-near")
 
     left = rows.filter("later").join(small_side(gone), "lid", "left_anti").select("token", "lid", "n", "pos", "bits", "bits2")
     earlier = rows.filter("early").select(*(F.col(c).alias(f"p_{c}") for c in ("token", "lid", "n", "pos", "bits", "bits2")))

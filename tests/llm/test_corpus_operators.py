@@ -190,6 +190,22 @@ def test_line_dedup_of_long_lines(spark):
     assert got == want and 0 < sum(t.count("\n") for t in got.values()) < 6 * len(docs)
 
 
+def test_line_dedup_of_near_copies_close_to_the_threshold(spark):
+    """In a group of near copies the filters pass every similar pair and few others, though the lines fill a bitmap of 64 bits."""
+    rng = random.Random(13)
+    base = [f"b{i}" for i in range(60)]
+    lines = [[w if at not in gone else f"x{i}-{at}" for at, w in enumerate(base)] for i in range(60) for gone in [rng.sample(range(60), rng.randint(3, 6) if i else 12)]]
+    docs = [(i, " ".join(words)) for i, words in enumerate(lines)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(table).collect()} == brute_lines(docs)
+    rows = line_dedup.tokenised(line_dedup.exploded(table), line_dedup.rarity(table), 800, 1000, 5).selectExpr("doc_id as id", "n", "0 as pos", "bits", "bits2")
+    pairs = rows.join(rows.selectExpr(*(f"{c} as p_{c}" for c in rows.columns)), F.expr("p_id < id"))
+    passed = {(r["p_id"], r["id"]) for r in pairs.filter(line_dedup._may_match("", "p_", 800, 1000)).collect()}
+    every = {(a, b) for b in range(60) for a in range(b)}
+    similar = {(a, b) for a, b in every if 1000 * len({*lines[a]} & {*lines[b]}) >= 800 * len({*lines[a]} | {*lines[b]})}
+    assert 100 < len(similar) and similar <= passed and 2 * len(passed - similar) < len(every - similar)
+
+
 def test_line_dedup_tells_documents_without_id_apart(spark, monkeypatch):
     """Texts of null ids are documents of their own, also where the short hash of their texts is the same."""
     real = line_dedup.part_of
